@@ -52,5 +52,24 @@ def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(spark.read.parquet(f"{sf_dir}/documents.parquet"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN)
 
 
-QUERIES = {f.__name__: f for f in (op1_exact_top_k, op2_source_mixing, op3_exact_dedup, op4_byte_bpe, op5_url_filter, op8_token_counts, op10_toxicity)}
+def op6_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .ngram_join import ngram_join
+
+    return ngram_join(spark.read.parquet(f"{sf_dir}/documents.parquet"), n=4, percent=85)
+
+
+def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .substring_dedup import substring_dedup
+
+    out = substring_dedup(spark.read.parquet(f"{sf_dir}/documents.parquet"), length=100)
+    return out.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+def op9_pitman_yor(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .pitman_yor import pitman_yor
+
+    return pitman_yor(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
+QUERIES = {f.__name__: f for f in (op1_exact_top_k, op2_source_mixing, op3_exact_dedup, op4_byte_bpe, op5_url_filter, op6_ngram_jaccard, op7_substring_dedup, op8_token_counts, op9_pitman_yor, op10_toxicity)}
 ORACLE_SQL: dict[str, str] = {}

@@ -68,15 +68,16 @@ class CountingQuotientFilter:
         return cls(int(q[0]), ends.astype(np.int64), remainders, counts.astype(np.int64))
 
 
-def _build(batches, bits: int):
-    """One filter for each range of fingerprints, of all rows of a partition."""
-    seen = [longs(b, "fp").view(np.uint64) for b in batches]
-    if not seen:
-        return
-    f = np.sort(np.concatenate(seen))
+def build(found: list[np.ndarray], bits: int):
+    """One filter for each range of fingerprints, of all those that a partition found."""
+    f = np.sort(np.concatenate([np.zeros(0, np.uint64), *found]))
     cuts = np.searchsorted((f >> np.uint64(64 - bits)).astype(np.int64), np.arange((1 << bits) + 1))
-    found = [(k, CountingQuotientFilter.of(f[a:b]).to_bytes()) for k, (a, b) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)) if b > a]
-    yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in found], pa.int32()), pa.array([x for _, x in found], pa.binary())], ["slice", "filter"])
+    made = [(k, CountingQuotientFilter.of(f[a:b]).to_bytes()) for k, (a, b) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)) if b > a]
+    yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in made], pa.int32()), pa.array([x for _, x in made], pa.binary())], ["slice", "filter"])
+
+
+def _build(batches, bits: int):
+    yield from build([longs(b, "fp").view(np.uint64) for b in batches], bits)
 
 
 def _merged(table: pa.Table) -> CountingQuotientFilter:
@@ -102,9 +103,14 @@ def _counted(table: pa.Table) -> pa.Table:
     return pa.table({"fp": pa.array(f.fingerprints()[more].view(np.int64)), "n": pa.array(f.counts[more].astype(np.int64))})
 
 
+def slice_bits(df: DataFrame) -> int:
+    """Bits of the ranges that filters are dealt by."""
+    return min(16, max(6, (slices(df, 2) - 1).bit_length()))
+
+
 def filters(df: DataFrame) -> tuple[DataFrame, int]:
     """The filters of a table's column fp (long), by partition and range of fingerprints; the bits of the ranges."""
-    bits = min(16, max(6, (slices(df, 2) - 1).bit_length()))
+    bits = slice_bits(df)
     return df.select("fp").mapInArrow(partial(_build, bits=bits), "slice int, filter binary"), bits
 
 
@@ -114,15 +120,20 @@ def counts(df: DataFrame) -> DataFrame:
     return made.groupBy("slice").applyInArrow(grouped(_counted), "fp long, n long")
 
 
-def bitmap(df: DataFrame, repeated: bool):
-    """A broadcast bitmap of BITMAP_BITS bits with the bit of every fingerprint in df.fp (or of every one that occurs more than once). Its size is fixed; false hits are for the caller's exact step."""
-    made, bits = filters(df)
+def bitmap_of(spark, made: DataFrame, bits: int, repeated: bool):
+    """A broadcast bitmap of BITMAP_BITS bits with the bit of every fingerprint in the filters (or of every one counted more than once). Its size is fixed; false hits are for the caller's exact step."""
     whole = np.zeros(1 << (BITMAP_BITS - 3), np.uint8)
     size = 1 << (BITMAP_BITS - 3 - bits)
     parts = made.groupBy("slice").applyInArrow(grouped(_bitmap, repeated=repeated, bits=bits), "slice int, bits binary")
     for row in parts.collect():  # 2 ** BITMAP_BITS bits in all
         whole[row[0] * size : (row[0] + 1) * size] = np.frombuffer(row[1], np.uint8)
-    return df.sparkSession.sparkContext.broadcast(whole.tobytes())
+    return spark.sparkContext.broadcast(whole.tobytes())
+
+
+def bitmap(df: DataFrame, repeated: bool):
+    """bitmap_of the fingerprints in a table's column fp."""
+    made, bits = filters(df)
+    return bitmap_of(df.sparkSession, made, bits, repeated)
 
 
 def hit(fp: Column, bits) -> Column:
