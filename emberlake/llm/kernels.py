@@ -78,12 +78,19 @@ def words(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, n
     if not len(starts):
         z = np.zeros(0, np.int64)
         return z, z, z, np.zeros(0, U)
-    number = np.cumsum(first) - 1
+    small = np.int32 if n < 1 << 31 else np.int64
+    number = np.cumsum(first, dtype=small) - small(1)
     lengths = np.bincount(number[inside], minlength=len(starts))
-    place = np.arange(n)
-    place -= starts[np.maximum(number, 0)]
+    place = np.arange(n, dtype=small)
+    place -= starts.astype(small)[np.maximum(number, 0)]
+    del number
     place[~inside] = 0
-    value = (LOWER[data].astype(U) + U(1)) * powers(int(lengths.max()) + 1)[place]
+    value = powers(int(lengths.max()) + 1)[place]
+    del place
+    letters = LOWER[data].astype(U)
+    letters += U(1)
+    value *= letters
+    del letters
     value[~inside] = 0
     hashed = np.add.reduceat(value, starts)
     hashed = mix(hashed ^ (lengths.astype(U) * U(0xD6E8FEB86659FD93)))
@@ -125,6 +132,16 @@ def unpack(blob: bytes) -> list[np.ndarray]:
     return out
 
 
+def squeezed(blob: bytes) -> bytes:
+    """A packed value, compressed: text shrinks to less than half."""
+    return len(blob).to_bytes(8, "little") + pa.compress(blob, codec="zstd", asbytes=True)
+
+
+def unsqueezed(blob) -> bytes:
+    blob = memoryview(blob)
+    return pa.decompress(pa.py_buffer(blob[8:]), int.from_bytes(blob[:8], "little"), codec="zstd", asbytes=True)
+
+
 def runs(sorted_keys: np.ndarray) -> np.ndarray:
     """Bounds of equal runs: starts, then the length."""
     if not len(sorted_keys):

@@ -78,7 +78,7 @@ def sainte_lague(parties: DataFrame, seats: int, votes: str, cap: str, order: li
     return base.join(won, same, "left").withColumn("quota", F.col("quota") + F.coalesce("extra", F.lit(0))).drop("extra", *[f"__{c}" for c in order])
 
 
-def mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), shard_rows: int = 50_000, seed: int = 0, extra: list[str] = ()) -> DataFrame:
+def mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), shard_rows: int = 5_000, seed: int = 0, extra: list[str] = ()) -> DataFrame:
     """For each row: doc_id, size, source, source_size, target, taken, first (the first word taken within the last round, 0-based), place (its order), and `extra` columns.
 
     Sources by code point, null last, weigh `weights` in turn. Each source's rows are dealt to shards

@@ -46,6 +46,10 @@ def slices(df: DataFrame, factor: int = 4) -> int:
     return max(factor * int(spark.conf.get("spark.sql.shuffle.partitions")), 2 * df.rdd.getNumPartitions())
 
 
-def column(df: DataFrame, name: str):
-    """A column by its exact name, dots and all."""
-    return df["`" + name.replace("`", "``") + "`"]
+def slices_by_size(df: DataFrame, each: int = 8 << 20, least: int = 64) -> int:
+    """How many groups to deal a table's contents to, by its size alone: about `each` bytes of its files in a group."""
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    if size > 1 << 60:  # unknown
+        size = 4 * each * df.rdd.getNumPartitions()
+    return min(65536, max(least, -(-size // each)))
+
