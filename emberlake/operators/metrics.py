@@ -68,7 +68,7 @@ def discrimination(scored: DataFrame, threshold: float = 0.5, by: list[str] = ()
         F.col("p").cast("long").alias("n_positive"),
         F.round(F.coalesce(F.try_divide(F.col("pairs").cast("double"), (2 * F.col("p") * q).cast("double")), F.lit(0.5)), 6).alias("auc"),
         rate(F.col("ap"), F.col("p")).alias("average_precision"),
-        rate(F.col("brier"), F.col("n")).alias("brier"),
+        F.round(F.col("brier") / F.col("n"), 8).alias("brier"),
         rate(F.col("tp"), F.col("p")).alias("recall"),
         rate(F.col("tp"), F.col("tp") + F.col("fp")).alias("precision"),
         rate(q - F.col("fp"), q).alias("specificity"),
@@ -114,7 +114,7 @@ def skill(scored: DataFrame, climatology: float | None = None) -> DataFrame:
     )
     c = F.lit(climatology) if climatology is not None else F.col("o")
     reference = F.col("o") * (1 - c) ** 2 + (1 - F.col("o")) * c**2
-    return s.where("n > 0").select("n", F.round("brier", 6).alias("brier"), F.round(F.when(reference > 0, 1 - F.col("brier") / reference).otherwise(0.0), 6).alias("bss"), F.round("rel", 6).alias("reliability"), F.round("res", 6).alias("resolution"), F.round(F.col("o") * (1 - F.col("o")), 6).alias("uncertainty"))
+    return s.where("n > 0").select("n", F.round("brier", 8).alias("brier"), F.round(F.when(reference > 0, 1 - F.col("brier") / reference).otherwise(0.0), 6).alias("bss"), F.round("rel", 6).alias("reliability"), F.round("res", 6).alias("resolution"), F.round(F.col("o") * (1 - F.col("o")), 6).alias("uncertainty"))
 
 
 def roc_curve(scored: DataFrame) -> DataFrame:

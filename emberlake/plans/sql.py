@@ -30,7 +30,7 @@ def _discrimination(by: str = "") -> str:
 c AS (SELECT {g}prob, n, n1, sum(n1) OVER w AS tp, sum(n - n1) OVER w AS fp, sum(n) OVER ({part}) AS total, sum(n1) OVER ({part}) AS pos FROM d WINDOW w AS ({part}ORDER BY prob DESC ROWS UNBOUNDED PRECEDING)),
 s AS (SELECT {g}max(total) AS n, max(pos) AS p, sum(n1 * (2 * (total - pos - fp) + n - n1)) AS pairs, sum(n1 * tp / (tp + fp)::DOUBLE) AS ap, sum(n1 * (1 - prob) * (1 - prob) + (n - n1) * prob * prob) AS br,
  coalesce(sum(n1) FILTER (prob >= 0.5), 0) AS tp, coalesce(sum(n - n1) FILTER (prob >= 0.5), 0) AS fp FROM c {on}),
-m AS (SELECT {g}n::BIGINT AS n, p::BIGINT AS n_positive, {_ratio('pairs', '2 * p * (n - p)', '0.5')} AS auc, {_ratio('ap', 'p')} AS average_precision, {_ratio('br', 'n')} AS brier, {_ratio('tp', 'p')} AS recall, {_ratio('tp', 'tp + fp')} AS precision,
+m AS (SELECT {g}n::BIGINT AS n, p::BIGINT AS n_positive, {_ratio('pairs', '2 * p * (n - p)', '0.5')} AS auc, {_ratio('ap', 'p')} AS average_precision, round(br / n, 8) AS brier, {_ratio('tp', 'p')} AS recall, {_ratio('tp', 'tp + fp')} AS precision,
  {_ratio('n - p - fp', 'n - p')} AS specificity, {_ratio('tp + n - p - fp', 'n')} AS accuracy, {_ratio('2 * tp', '2 * tp + fp + p - tp')} AS f1 FROM s)"""
 
 
@@ -96,7 +96,7 @@ ORACLE_SQL = {
     "discrimination": _with(SCORED_SQL, V, _discrimination(), select="SELECT * FROM m"),
     **{
         name: _with(SCORED_SQL, V, BINS, "t AS (SELECT sum(n) AS tn, sum(sy) AS ty, sum(se) AS te, sum(sy) / sum(n)::DOUBLE AS o FROM b)", f"s AS (SELECT max(tn) AS n, max(o) AS o, max(te / tn) AS brier, sum(n * (sp / n - sy / n::DOUBLE) * (sp / n - sy / n::DOUBLE) / tn) AS rel, sum(n * (sy / n::DOUBLE - o) * (sy / n::DOUBLE - o) / tn) AS res FROM b, t)",
-            select=f"SELECT n::BIGINT AS n, round(brier, 6) AS brier, round(1 - brier / (o * (1 - {c}) * (1 - {c}) + (1 - o) * {c} * {c}), 6) AS bss, round(rel, 6) AS reliability, round(res, 6) AS resolution, round(o * (1 - o), 6) AS uncertainty FROM s")
+            select=f"SELECT n::BIGINT AS n, round(brier, 8) AS brier, round(1 - brier / (o * (1 - {c}) * (1 - {c}) + (1 - o) * {c} * {c}), 6) AS bss, round(rel, 6) AS reliability, round(res, 6) AS resolution, round(o * (1 - o), 6) AS uncertainty FROM s")
         for name, c in (("skill_scores", "o"), ("skill_against_climatology", "0.3::DOUBLE"))
     },
     "roc_curve": _with(SCORED_SQL, V, CURVE, select="SELECT round(prob, 6) AS threshold, tp::BIGINT AS tp, fp::BIGINT AS fp, round(tp / nullif(pos, 0)::DOUBLE, 6) AS tpr, round(fp / nullif(total - pos, 0)::DOUBLE, 6) AS fpr FROM c"),
