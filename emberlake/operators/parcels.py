@@ -177,3 +177,14 @@ def quadkey_bounds(key: Column) -> Column:
 def numbered_apart(df: DataFrame, by: str, prefix: str = "MS-") -> DataFrame:
     w = Window.partitionBy("__g").orderBy(by)
     return df.withColumn("__g", F.lit(0)).withColumn("building_id", F.format_string(f"{prefix}%08d", F.row_number().over(w) - 1)).drop("__g")
+
+
+def common_bounds(rasters: DataFrame) -> DataFrame:
+    """One row: where all rasters (minx, miny, maxx, maxy) overlap."""
+    return rasters.agg(F.max("minx").alias("minx"), F.max("miny").alias("miny"), F.min("maxx").alias("maxx"), F.min("maxy").alias("maxy"))
+
+
+def clip(cells: DataFrame, boxes: DataFrame, spec: GridSpec, all_touched: bool = False) -> DataFrame:
+    """The cells inside any of the boxes."""
+    inside = (cells_touched if all_touched else cells_inside)(boxes, spec).select("row", "col").distinct()
+    return cells.join(inside, ["row", "col"], "left_semi")

@@ -318,6 +318,30 @@ def burn_percentiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(montecarlo.percentiles(counts, 100), "p05", "p50", "p95")
 
 
+@query
+def ignition_points(spark: SparkSession, sf_dir: str) -> DataFrame:
+    f = tables.fires(spark, sf_dir).where("gis_acres > 5000")
+    return rounded(montecarlo.ignition_points(f, tables.grid(spark, sf_dir).where("row < 40"), WORLD), "x", "y")
+
+
+@query
+def clipped_fuels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return parcels.clip(tables.grid(spark, sf_dir).where("row < 40"), tables.zones(spark, sf_dir), WORLD).select("row", "col", "fuel_model")
+
+
+@query
+def common_bounds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(parcels.common_bounds(tables.fires(spark, sf_dir).where("gis_acres > 19000")), "minx", "miny", "maxx", "maxy")
+
+
+@query
+def synthetic_landscape(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ..sources import synthetic
+
+    spec = GridSpec(0.0, 0.0, 6480.0, 6480.0, 270.0)
+    return parcels.stack([synthetic.dem(spark, spec).select("row", "col", F.round("elevation", 3).alias("elevation")), synthetic.fuels(spark, spec).select("row", "col", "fuel_model", "canopy_cover")])
+
+
 # learning
 def _training(spark, sf_dir):
     w = _weather(spark, sf_dir)

@@ -147,6 +147,10 @@ ORACLE_SQL = {
     "calibration_factor": _with(FIRES_SQL, WORLD_CELLS, INSIDE.format("f.gis_acres < 200 AND f.year_ = 1997"), "o AS (SELECT count(*) / 2000.0::DOUBLE AS o FROM mask)", "p AS (SELECT sum(burn_probability) / 2000.0::DOUBLE AS p FROM cells)", "r AS (SELECT o, p, CASE WHEN o > 0 AND o < 1 THEN 1.0::DOUBLE - pow(1.0::DOUBLE - o, 0.125::DOUBLE) ELSE o / 8 END AS a FROM o, p)", select="SELECT round(o, 6) AS observed, round(a, 6) AS annual, round(p, 6) AS predicted, round(CASE WHEN a > 0 AND p > 0 THEN a / p ELSE 1.0::DOUBLE END, 6) AS factor FROM r"),
     "tile_merge": _with(WORLD_CELLS, select='SELECT "row", col, round(CASE WHEN col < 20 THEN burn_probability WHEN col < 30 THEN (burn_probability + burn_probability / 2) / 2 ELSE burn_probability / 2 END, 6) AS burn_probability, CAST(CASE WHEN col BETWEEN 20 AND 29 THEN 2 ELSE 1 END AS BIGINT) AS n_tiles FROM cells'),
     "fuel_at_points": _with(FIRES_SQL, GRID_SQL, select='SELECT fire_id, coalesce(fuel_model, -1) AS value FROM fires LEFT JOIN grid g ON g."row" = CAST(floor((0.0::DOUBLE - (miny + maxy) / 2) / 270.0::DOUBLE) AS INTEGER) AND g.col = CAST(floor(((minx + maxx) / 2) / 270.0::DOUBLE) AS INTEGER)'),
+    "ignition_points": _with(FIRES_SQL, GRID_SQL, f"t0 AS (SELECT fire_id, k, CASE WHEN k = 0 THEN (minx + maxx) / 2 ELSE minx + (maxx - minx) * {uniform_sql('ix', 'fire_id', 'k')} END AS x, CASE WHEN k = 0 THEN (miny + maxy) / 2 ELSE miny + (maxy - miny) * {uniform_sql('iy', 'fire_id', 'k')} END AS y FROM fires, range(51) AS r(k) WHERE gis_acres > 5000)",
+        """t AS (SELECT t0.*, row_number() OVER (PARTITION BY fire_id ORDER BY k) AS n FROM t0 JOIN grid g ON g."row" = CAST(floor((0.0::DOUBLE - y) / 270.0::DOUBLE) AS INTEGER) AND g.col = CAST(floor(x / 270.0::DOUBLE) AS INTEGER) WHERE g."row" < 40 AND fuel_model BETWEEN 101 AND 204)""", select="SELECT fire_id, round(x, 6) AS x, round(y, 6) AS y FROM t WHERE n = 1"),
+    "clipped_fuels": _with(GRID_SQL, ZONES_SQL, select='SELECT "row", col, fuel_model FROM grid k WHERE "row" < 40 AND EXISTS (SELECT 1 FROM zones f WHERE (k.col + 0.5::DOUBLE) * 270.0::DOUBLE BETWEEN f.minx AND f.maxx AND 0.0::DOUBLE - (k."row" + 0.5::DOUBLE) * 270.0::DOUBLE BETWEEN f.miny AND f.maxy)'),
+    "common_bounds": _with(FIRES_SQL, select="SELECT round(max(minx), 6) AS minx, round(max(miny), 6) AS miny, round(min(maxx), 6) AS maxx, round(min(maxy), 6) AS maxy FROM fires WHERE gis_acres > 19000"),
     "poisson_ignitions": _poisson(),
     "weighted_ignitions": _with(GRID_SQL, f'w AS (SELECT "row", col, ln({uniform_sql("pick", chr(34) + "row" + chr(34), "col")} + 1.1102230246251565e-16::DOUBLE) / {ROS_OF} AS k FROM grid WHERE {ROS_OF} > 0)', 'n AS (SELECT *, row_number() OVER (PARTITION BY "row" ORDER BY k DESC, col) AS i FROM w)', select='SELECT "row", col FROM n WHERE i <= 4'),
     "daily_events": "SELECT CAST(ts AS DATE) AS day, count(*) AS n, round(avg(value), 6) AS mean, round(max(value), 6) AS max FROM events GROUP BY 1",

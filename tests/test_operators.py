@@ -59,8 +59,10 @@ def plane(spark, fx, n=30, cell=30.0):
 def test_slope_of_a_plane(spark):
     t = terrain.derivatives(plane(spark, lambda y, x: 0.1 * x), 30.0).collect()
     assert all(abs(r.slope - 5.710593) < 1e-4 for r in t)
-    inner = [r for r in t if 0 < r.col < 29]
-    assert all(abs(r.tpi) < 1e-9 for r in inner)
+    # sixteen cells reach half a cell further to the west: half of 3 m
+    inner = [r for r in t if 8 <= r.col < 22]
+    assert all(abs(r.tpi - 1.5) < 1e-9 for r in inner)
+    assert all(abs(r.tpi) < 1e-9 for r in terrain.tpi(plane(spark, lambda y, x: 0.1 * x), 100.0).collect() if 2 <= r.col < 28)
 
 
 def test_aspect_of_a_plane(spark):
