@@ -73,7 +73,6 @@ def op9_pitman_yor(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (op1_exact_top_k, op2_source_mixing, op3_exact_dedup, op4_byte_bpe, op5_url_filter, op6_ngram_jaccard, op7_substring_dedup, op8_token_counts, op9_pitman_yor, op10_toxicity)}
 _LOW = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
-_WORD = r"[^\x20\x09-\x0D]+"
 ORACLE_SQL = {
     "op1_exact_top_k": """WITH e AS (SELECT vec_id, list_transform(embedding, lambda x: floor(64 * x::DOUBLE)) AS v FROM embeddings
  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
@@ -87,20 +86,4 @@ p AS (SELECT page_id, translate(regexp_extract(rest, '^[^/]*'), 'ABCDEFGHIJKLMNO
 rules(h, q, v) AS (VALUES ('net', '/', 'block'), ('example.net', '/en/', 'allow'), ('example.com', '/de/', 'block'), ('org', '/fr/', 'allow')),
 f AS (SELECT page_id, max_by(h || q, length(h || q)) AS rule, max_by(v, length(h || q)) AS verdict FROM p JOIN rules ON (host = h OR ends_with(host, '.' || h)) AND starts_with(path, q) GROUP BY page_id)
 SELECT p.page_id, host, path, rule, coalesce(verdict, 'allow') AS verdict FROM p LEFT JOIN f USING (page_id)""",
-    "op6_ngram_jaccard": f"""WITH RECURSIVE w AS MATERIALIZED (SELECT doc_id, regexp_extract_all({_LOW}, '{_WORD}') AS ws FROM documents),
-g AS MATERIALIZED (SELECT DISTINCT doc_id, array_to_string(ws[i : i + 3], ' ') AS s FROM w, unnest(range(1, greatest(len(ws) - 3, 1) + 1)) AS t(i) WHERE len(ws) > 0),
-n AS MATERIALIZED (SELECT doc_id, count(*) AS n FROM g GROUP BY 1),
-c AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS m FROM g a JOIN g b ON a.s = b.s AND a.doc_id <> b.doc_id GROUP BY 1, 2),
-l AS MATERIALIZED (SELECT a, b FROM c JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * m >= 85 * (x.n + y.n - m)),
-r(id, seen) AS (SELECT doc_id, doc_id FROM documents UNION SELECT r.id, l.b FROM r JOIN l ON r.seen = l.a),
-k AS (SELECT id, min(seen) AS component_id FROM r GROUP BY 1)
-SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, k.component_id FROM documents d JOIN k ON k.id = d.doc_id LEFT JOIN n ON n.doc_id = d.doc_id""",
-    "op7_substring_dedup": """WITH t AS MATERIALIZED (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h, octet_length(encode(coalesce(text, ''))) AS n FROM documents),
-s AS (SELECT doc_id, i, substr(h, 2 * i + 1, 200) AS k FROM t, unnest(range(0, n - 99)) AS u(i)),
-f AS (SELECT doc_id, i, row_number() OVER (PARTITION BY k ORDER BY doc_id, i) > 1 AS again FROM s),
-b AS (SELECT t.doc_id, u.i, substr(h, 2 * u.i + 1, 2) AS x, coalesce(bool_or(f.again) OVER (PARTITION BY t.doc_id ORDER BY u.i ROWS BETWEEN 99 PRECEDING AND CURRENT ROW), false) AS gone
- FROM t CROSS JOIN unnest(range(0, n)) AS u(i) LEFT JOIN f ON f.doc_id = t.doc_id AND f.i = u.i),
-m AS (SELECT *, gone AND NOT coalesce(lag(gone) OVER (PARTITION BY doc_id ORDER BY i), false) AS begins FROM b),
-d AS (SELECT doc_id, count_if(gone) AS n_removed, count_if(begins) AS n_spans, sha256(unhex(coalesce(string_agg(x, '' ORDER BY i) FILTER (NOT gone), ''))) AS kept FROM m GROUP BY 1)
-SELECT t.doc_id, CAST(t.n AS BIGINT) AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, CAST(coalesce(n_spans, 0) AS BIGINT) AS n_spans, coalesce(kept, sha256('')) AS kept_sha256 FROM t LEFT JOIN d USING (doc_id)""",
 }

@@ -349,7 +349,7 @@ def test_factors_learn_a_pair():
     each, y = [], []
     for _ in range(3000):
         a, b = rng.random(2) < 0.5
-        each.append(np.unique(np.array([1] * a + [2] * b + rng.integers(10, 60, 4).tolist(), np.int64)))
+        each.append(np.unique(np.array([1] * int(a) + [2] * int(b) + rng.integers(10, 60, 4).tolist(), np.int64)))
         y.append(float(a == b))
     bounds = np.concatenate([[0], np.cumsum([len(x) for x in each])])
     old = toxicity.PRIOR
