@@ -12,8 +12,8 @@ from pyspark.sql import functions as F
 from .kernels import grouped, longs, pack, unpack
 from .workspace import slices
 
-#: Bits of a routing bitmap: 2 ** 25 bits are 4 MB, whatever the corpus holds.
-BITMAP_BITS = 25
+#: Bits of a routing bitmap: 2 ** 27 bits are 16 MB, whatever the corpus holds.
+BITMAP_BITS = 27
 
 
 class CountingQuotientFilter:
@@ -50,8 +50,8 @@ class CountingQuotientFilter:
         every = (self, *others)
         return CountingQuotientFilter.of(np.concatenate([x.fingerprints() for x in every]), np.concatenate([x.counts for x in every]), max(x.q for x in every))
 
-    def repeated(self) -> np.ndarray:
-        return self.fingerprints()[self.counts > 1]
+    def repeated(self, least: int = 2) -> np.ndarray:
+        return self.fingerprints()[self.counts >= least]
 
     def count(self, fingerprint: int) -> int:
         quotient, rest = fingerprint >> (64 - self.q), fingerprint & ((1 << (64 - self.q)) - 1)
@@ -85,16 +85,15 @@ def _merged(table: pa.Table) -> CountingQuotientFilter:
     return first.merge(*rest)
 
 
-def _bitmap(table: pa.Table, repeated: bool, bits: int) -> pa.Table:
-    """The slice's part of the bitmap; the slice is a range of fingerprints, so of bits."""
-    f = _merged(table)
-    found = f.repeated() if repeated else f.fingerprints()
-    places = np.unique(found >> np.uint64(64 - BITMAP_BITS)).astype(np.int64)
-    size = 1 << (BITMAP_BITS - bits)
-    k = table.column("slice")[0].as_py()
-    part = np.zeros(size, bool)
-    part[places - k * size] = True
-    return pa.table({"slice": pa.array([k], pa.int32()), "bits": pa.array([np.packbits(part).tobytes()], pa.binary())})
+def _bitmap(table: pa.Table, least: tuple[int, ...], bits: int) -> pa.Table:
+    """The slice's part of each bitmap; the slice is a range of fingerprints, so of bits."""
+    f, k, size = _merged(table), table.column("slice")[0].as_py(), 1 << (BITMAP_BITS - bits)
+    out = []
+    for n in least:
+        part = np.zeros(size, bool)
+        part[(f.repeated(n) >> np.uint64(64 - BITMAP_BITS)).astype(np.int64) - k * size] = True
+        out.append(np.packbits(part).tobytes() if part.any() else None)
+    return pa.table({"slice": pa.array([k] * len(least), pa.int32()), "least": pa.array(least, pa.int32()), "bits": pa.array(out, pa.binary())})
 
 
 def _counted(table: pa.Table) -> pa.Table:
@@ -120,20 +119,31 @@ def counts(df: DataFrame) -> DataFrame:
     return made.groupBy("slice").applyInArrow(grouped(_counted), "fp long, n long")
 
 
-def bitmap_of(spark, made: DataFrame, bits: int, repeated: bool):
-    """A broadcast bitmap of BITMAP_BITS bits with the bit of every fingerprint in the filters (or of every one counted more than once). Its size is fixed; false hits are for the caller's exact step."""
-    whole = np.zeros(1 << (BITMAP_BITS - 3), np.uint8)
+def bitmaps_of(spark, made: DataFrame, bits: int, *least: int) -> list:
+    """Broadcast bitmaps of BITMAP_BITS bits with the bit of every fingerprint that the filters count `least` times or more. Their size is fixed; false hits are for the caller's exact step."""
+    whole = {n: np.zeros(1 << (BITMAP_BITS - 3), np.uint8) for n in least}
     size = 1 << (BITMAP_BITS - 3 - bits)
-    parts = made.groupBy("slice").applyInArrow(grouped(_bitmap, repeated=repeated, bits=bits), "slice int, bits binary")
-    for row in parts.collect():  # 2 ** BITMAP_BITS bits in all
-        whole[row[0] * size : (row[0] + 1) * size] = np.frombuffer(row[1], np.uint8)
-    return spark.sparkContext.broadcast(whole.tobytes())
+    parts = made.groupBy("slice").applyInArrow(grouped(_bitmap, least=least, bits=bits), "slice int, least int, bits binary")
+    for row in parts.where("bits IS NOT NULL").collect():  # 2 ** BITMAP_BITS bits each in all
+        whole[row[1]][row[0] * size : (row[0] + 1) * size] = np.frombuffer(row[2], np.uint8)
+    return [spark.sparkContext.broadcast(whole[n].tobytes()) for n in least]
 
 
-def bitmap(df: DataFrame, repeated: bool):
-    """bitmap_of the fingerprints in a table's column fp."""
+def bitmaps(df: DataFrame, *least: int) -> list:
+    """bitmaps_of the fingerprints in a table's column fp."""
     made, bits = filters(df)
-    return bitmap_of(df.sparkSession, made, bits, repeated)
+    return bitmaps_of(df.sparkSession, made, bits, *least)
+
+
+def bitmap(df: DataFrame, repeated: bool):
+    """The bitmap of all fingerprints, or of those that occur more than once."""
+    return bitmaps(df, 2 if repeated else 1)[0]
+
+
+def in_bitmap(fp: np.ndarray, whole: np.ndarray) -> np.ndarray:
+    """Whether the bit of each unsigned fingerprint is set."""
+    place = fp >> np.uint64(64 - BITMAP_BITS)
+    return (whole[(place >> np.uint64(3)).astype(np.int64)] >> (np.uint8(7) - (place & np.uint64(7)).astype(np.uint8))) & np.uint8(1) == 1
 
 
 def hit(fp: Column, bits) -> Column:
@@ -141,9 +151,7 @@ def hit(fp: Column, bits) -> Column:
 
     @F.pandas_udf("boolean")
     def test(f: pd.Series) -> pd.Series:
-        place = f.to_numpy(np.int64).view(np.uint64) >> np.uint64(64 - BITMAP_BITS)
-        whole = np.frombuffer(bits.value, np.uint8)
-        return pd.Series((whole[(place >> np.uint64(3)).astype(np.int64)] >> (np.uint8(7) - (place & np.uint64(7)).astype(np.uint8))) & np.uint8(1) == 1)
+        return pd.Series(in_bitmap(f.to_numpy(np.int64).view(np.uint64), np.frombuffer(bits.value, np.uint8)))
 
     return test(fp)
 

@@ -1,12 +1,12 @@
 """Removal of repeated substrings by prefix-free parsing: rolling-hash triggers, a dictionary of phrases, a parse, and the order of both.
 
-A trigger is a gram of GRAM bytes whose rolling hash is the least of some window of SPAN grams, so
-every string of `length` bytes holds a trigger, and equal strings hold equal ones. A phrase is a
-trigger with SPAN - 1 bytes on either side: all strings of `length` bytes that hold the trigger.
-Equal phrases are one entry of the dictionary; the parse says where each occurs, in corpus order.
-Sorting the dictionary's suffixes (to `length` bytes, those that begin at or before the trigger)
-brings equal strings together; the parse's first place of each phrase says which of them is first.
-In highly repetitive text nearly all occurrences fall on few phrases, so little is sorted.
+A string of `length` bytes has a trigger: its gram of GRAM bytes with the least rolling hash, so
+equal strings have equal triggers at the same place. Neighbouring strings with one trigger are a
+phrase. Equal phrases are one entry of the dictionary; the parse says where each occurs, in corpus
+order. All places of a phrase but the first repeat it. Sorting the suffixes of the dictionary's
+phrases under each trigger (to `length` bytes) brings equal strings of different phrases together;
+the first places say which is earliest. In highly repetitive text nearly all occurrences fall on few
+phrases, so little is sorted: only phrases whose trigger has others.
 """
 from __future__ import annotations
 
@@ -18,12 +18,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .kernels import ROOT, U, chunks, dealt, grouped, longs, mix, pack, powers, runs, unpack
-from .quotient import BITMAP_BITS, bitmap_of, build, slice_bits
+from .kernels import ROOT, U, chunks, dealt, grouped, longs, mix, pack, powers, runs, squeezed, unpack, unsqueezed
+from .quotient import bitmap, bitmaps, bitmaps_of, build, in_bitmap, slice_bits
 from .workspace import Workspace, slices
 
 GRAM = 32
 CHUNK = 1 << 20
+TOGETHER = 1 << 24  # bytes of text whose phrases a task compares before it deals them out
+COMMON = 4096  # phrases of a trigger from which on its strings are dealt by their neighbourhood
 SORTED = 1 << 18  # windows sorted at once
 INVERSE = pow(ROOT, -1, 1 << 64)
 FIRST = -(2**63)
@@ -40,34 +42,62 @@ def _inverses(n: int) -> np.ndarray:
     return _inverse[:n]
 
 
-def triggers(data: np.ndarray, offs: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
-    """Positions and hashes of the triggers of several texts."""
-    n, span = len(data), length - GRAM + 1
-    if n < length:
-        return np.zeros(0, np.int64), np.zeros(0, U)
-    sums = np.zeros(n + 1, U)
-    np.cumsum((data.astype(U) + U(1)) * powers(n), out=sums[1:])
-    grams = mix((sums[GRAM:] - sums[:-GRAM]) * _inverses(n - GRAM + 1))
-    # the least of `span` grams, by doubling
-    least, have = grams, 1
-    while have * 2 <= span:
-        least = np.minimum(least[:-have], least[have:])
-        have *= 2
-    if have < span:
-        least = np.minimum(least[: len(grams) - span + 1], least[span - have : span - have + len(grams) - span + 1])
-    # windows that leave their text count for nothing
-    sizes = np.diff(offs)
-    last = np.repeat(offs[1:], sizes)[: len(least)]
-    least = np.where(np.arange(len(least)) + length <= last, least, U(0))
-    most = np.concatenate([np.zeros(span - 1, U), least, np.zeros(span - 1, U)])
-    have = 1
-    while have * 2 <= span:
-        most = np.maximum(most[:-have], most[have:])
-        have *= 2
-    if have < span:
-        most = np.maximum(most[: len(grams)], most[span - have : span - have + len(grams)])
-    at = np.flatnonzero((grams == most) & (most > 0))
-    return at, grams[at]
+class Parse:
+    """Phrases of several texts. Each string of `length` bytes belongs to the trigger it holds: its gram of least hash, the last of equals. Neighbouring strings share a trigger; together they are its phrase."""
+
+    def __init__(self, data: np.ndarray, offs: np.ndarray, length: int):
+        n, span = len(data), length - GRAM + 1
+        self.data, self.offs, self.length = data, offs, length
+        none = np.zeros(0, np.int64)
+        self.at, self.low, self.high, self.doc, self.hash = none, none, none, none, np.zeros(0, U)
+        if n < length:
+            return
+        self.sums = np.zeros(n + 1, U)
+        np.cumsum((data.astype(U) + U(1)) * powers(n), out=self.sums[1:])
+        grams = mix((self.sums[GRAM:] - self.sums[:-GRAM]) * _inverses(n - GRAM + 1))
+        # hash in the high bits, place in the low ones: the least is the last of equals
+        bits = U(int(n).bit_length())
+        mask = (U(1) << bits) - U(1)
+        least, have = (grams >> bits << bits) | (mask - np.arange(len(grams), dtype=U)), 1
+        while have * 2 <= span:  # the least of `span` grams, by doubling
+            least = np.minimum(least[:-have], least[have:])
+            have *= 2
+        if have < span:
+            many = len(grams) - span + 1
+            least = np.minimum(least[:many], least[span - have : span - have + many])
+        owner = (mask - (least & mask)).astype(np.int64)
+        doc = np.repeat(np.arange(len(offs) - 1), np.diff(offs))[: len(owner)]
+        inside = np.flatnonzero(np.arange(len(owner)) + length <= offs[doc + 1])  # strings that don't leave their text
+        if not len(inside):
+            return
+        owner, doc = owner[inside], doc[inside]
+        new = np.flatnonzero(np.concatenate([[True], (owner[1:] != owner[:-1]) | (doc[1:] != doc[:-1])]))
+        self.at, self.doc, self.low = owner[new], doc[new], inside[new]
+        self.high = inside[np.concatenate([new[1:], [len(inside)]]) - 1]
+        self.hash = grams[self.at]
+
+    def digests(self) -> np.ndarray:
+        """Of each phrase's bytes and of where its trigger stands in it."""
+        if not len(self.at):
+            return self.hash
+        whole = (self.sums[self.high + self.length] - self.sums[self.low]) * _inverses(int(self.low.max()) + 1)[self.low]
+        return mix(whole ^ mix(((self.at - self.low).astype(U) << U(32)) | (self.high - self.low).astype(U)))
+
+
+TRIGGER_BITS = 40  # of a trigger's hash that travel with a phrase; a clash only sorts more than is needed
+
+
+def _triggers(g: np.ndarray) -> np.ndarray:
+    return g >> U(64 - TRIGGER_BITS)
+
+
+def _phrase_keys(g: np.ndarray, d: np.ndarray) -> np.ndarray:
+    return mix(g ^ mix(d))
+
+
+def _place_prints(key, doc, low) -> np.ndarray:
+    """A fingerprint of a phrase at its place."""
+    return mix(key ^ mix(doc.view(U) * U(ROOT) + low.astype(U)))
 
 
 def _trigger_filters(batches, length: int, bits: int):
@@ -75,7 +105,7 @@ def _trigger_filters(batches, length: int, bits: int):
     found = []
     for batch in batches:
         for _, _, data, offs in chunks(batch, most=CHUNK):
-            found.append(triggers(data, offs, length)[1])
+            found.append(Parse(data, offs, length).hash)
     yield from build(found, bits)
 
 
@@ -83,97 +113,201 @@ def _text_mark(text: bytes) -> int:
     return int.from_bytes(hashlib.blake2b(text, digest_size=2).digest(), "little")
 
 
-def _phrases(batches, length: int, bits, p: int):
-    """Occurrences of triggers that are not certainly unique, and the phrases themselves, packed by slice."""
-    whole = np.frombuffer(bits.value, np.uint8)
-    side = length - GRAM
+def _dealt(parts: list[tuple], slice_of, p: int, kind: int):
+    """Rows (slice, kind, blob) of columns dealt by slice."""
+    columns = [np.concatenate(x) for x in zip(*parts, strict=True)]
+    order, cuts = dealt(slice_of(*columns), p)
+    return [(int(k), kind, squeezed(pack(*(x[order[cuts[k] : cuts[k + 1]]] for x in columns)))) for k in np.flatnonzero(np.diff(cuts))]
+
+
+def _by_doc(p: int):
+    return lambda doc, *_: (mix(doc.view(U)) % U(p)).astype(np.int64)
+
+
+def _small(length: int):
+    """The type of places within a phrase."""
+    return np.uint8 if length - GRAM < 256 else np.uint32
+
+
+def _rows(out: list[tuple]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.int32()), pa.array([x[1] for x in out], pa.int32()), pa.array([x[2] for x in out], pa.binary())], ["slice", "kind", "blob"])
+
+
+def _merged(doc, mark, a, b) -> tuple[np.ndarray, ...]:
+    """Runs of each document, merged where they touch."""
+    order = np.lexsort((a, mark, doc))
+    doc, mark, a, b = doc[order], mark[order], a[order].astype(np.int64), b[order].astype(np.int64)
+    if not len(doc):
+        return doc, mark, a, b
+    own = np.concatenate([[True], (doc[1:] != doc[:-1]) | (mark[1:] != mark[:-1])])
+    group = (np.cumsum(own) - 1) << 40
+    reach = np.maximum.accumulate(b + group)  # the furthest end so far in the document
+    new = own.copy()
+    new[1:] |= (a + group)[1:] > reach[:-1]
+    begin = np.flatnonzero(new)
+    end = np.concatenate([begin[1:], [len(a)]]) - 1
+    return doc[begin], mark[begin], a[begin], reach[end] - group[begin]
+
+
+def _covered(again, doc, mark, low, high, length):
+    doc, mark, a, b = _merged(doc[again], mark[again], low[again], high[again] + length)
+    return doc, mark, a.astype(np.uint32), b.astype(np.uint32)
+
+
+def _parse(batches, length: int, known, p: int):
+    """The parse: occurrences of phrases whose trigger isn't certainly unique. Of those that a task has met several times together, the first goes on (kind 0) and the others are covered already (kind 1)."""
+    whole = np.frombuffer(known.value, np.uint8)
+    held, size = [], 0
+
+    def put():
+        key, t, doc, mark, low, high = (np.concatenate(x) for x in zip(*held, strict=True))
+        order = np.lexsort((low, doc, key))
+        key, t, doc, mark, low, high = (x[order] for x in (key, t, doc, mark, low, high))
+        entry = np.concatenate([[True], key[1:] != key[:-1]])
+        first = np.flatnonzero(entry)[np.cumsum(entry) - 1]
+        again = (doc != doc[first]) | (low != low[first])
+        t = t[~again]
+        parts = (key[~again], t.astype(np.uint32), (t >> U(32)).astype(np.uint8), doc[~again], mark[~again], low[~again].astype(np.uint32), (high - low)[~again].astype(_small(length)))
+        out = _dealt([parts], lambda key, *_: (key % U(p)).astype(np.int64), p, 0)
+        if again.any():
+            out += _dealt([_covered(again, doc, mark, low, high, length)], _by_doc(p), p, 1)
+        return _rows(out)
+
     for batch in batches:
         every = longs(batch, "doc_id")
         for at, rows, data, offs in chunks(batch, most=CHUNK):
-            ids = every[at : at + rows]
-            pos, g = triggers(data, offs, length)
-            place = g >> U(64 - BITMAP_BITS)
-            known = (whole[(place >> U(3)).astype(np.int64)] >> (np.uint8(7) - (place & U(7)).astype(np.uint8))) & np.uint8(1) == 1
-            pos, g = pos[known], g[known]
-            if not len(pos):
+            x = Parse(data, offs, length)
+            keep = in_bitmap(x.hash, whole)
+            if not keep.any():
                 continue
-            doc = np.searchsorted(offs, pos, side="right") - 1
-            left = np.minimum(side, pos - offs[doc])
-            right = np.minimum(side, offs[doc + 1] - pos - GRAM)
-            wide = 2 * side + GRAM
-            reach = np.arange(wide)
-            index = pos[:, None] - side + reach
-            inside = (reach >= side - left[:, None]) & (reach < side + GRAM + right[:, None])
-            phrase = np.where(inside, data[np.clip(index, 0, len(data) - 1)], np.uint8(0))
-            padded = np.zeros((len(pos), -(-wide // 8) * 8), np.uint8)
-            padded[:, :wide] = phrase
-            w = mix(padded.view(U) + (np.arange(padded.shape[1] // 8, dtype=U) * U(ROOT)))
-            d = mix(w.sum(1) ^ mix((left.astype(U) << U(32)) | right.astype(U)))
-            marks = np.array([_text_mark(data[a:b].tobytes()) for a, b in zip(offs[:-1], offs[1:], strict=True)], np.uint16)
-            order, cuts = dealt((g % U(p)).astype(np.int64), p)
-            out_p, out = [], []
-            for k in np.flatnonzero(np.diff(cuts)):
-                o = order[cuts[k] : cuts[k + 1]]
-                _, new = np.unique(d[o], return_index=True)
-                new = o[new]
-                out_p.append(k)
-                out.append(pack(g[o], d[o], ids[doc[o]], (pos[o] - offs[doc[o]]).astype(np.uint32), marks[doc[o]], left[o].astype(np.uint16), right[o].astype(np.uint16), g[new], d[new], phrase[new].reshape(-1)))
-            yield pa.RecordBatch.from_arrays([pa.array(out_p, pa.int32()), pa.array(out, pa.binary())], ["slice", "blob"])
+            doc = x.doc[keep]
+            held.append((_phrase_keys(x.hash[keep], x.digests()[keep]), _triggers(x.hash[keep]), every[at : at + rows][doc], _marks(data, offs)[doc], x.low[keep] - offs[doc], x.high[keep] - offs[doc]))
+            size += len(data)
+            if size >= TOGETHER:
+                yield put()
+                held, size = [], 0
+    if held:
+        yield put()
+
+
+def _marks(data: np.ndarray, offs: np.ndarray) -> np.ndarray:
+    return np.array([_text_mark(data[a:b].tobytes()) for a, b in zip(offs[:-1], offs[1:], strict=True)], np.uint16)
+
+
+FIRSTS = "slice int, kind int, blob binary, trigger long, fp long"
+
+
+def _unpacked(table: pa.Table, kind: int, n: int) -> list[np.ndarray]:
+    kinds = table.column("kind").to_numpy()
+    blobs = [x.as_buffer() for c in table.column("blob").chunks for x in c]
+    parts = [unpack(unsqueezed(b)) for k, b in zip(kinds, blobs, strict=True) if k == kind]
+    return [np.concatenate([x[i] for x in parts]) for i in range(n)] if parts else []
 
 
 def _repeated(table: pa.Table, length: int, p: int) -> pa.Table:
-    """For each occurrence the bytes around it that earlier strings cover, packed by document."""
-    parts = [unpack(x.as_buffer()) for c in table.column("blob").chunks for x in c]
-    g, d, doc, pos, mark, left, right, g_new, d_new = (np.concatenate([x[i] for x in parts]) for i in range(9))
-    side, wide = length - GRAM, 2 * (length - GRAM) + GRAM
-    order = np.lexsort((pos, doc, d, g))
-    g, d, doc, pos, mark, left, right = g[order], d[order], doc[order], pos[order].astype(np.int64), mark[order], left[order].astype(np.int64), right[order].astype(np.int64)
-    entry = np.concatenate([[True], (g[1:] != g[:-1]) | (d[1:] != d[:-1])])  # the parse's first place of a phrase
-    number = np.cumsum(entry) - 1
-    first = np.flatnonzero(entry)
-    # strings of a phrase that begin `back` bytes before the trigger, low <= back <= high
-    low, high = np.maximum(0, side - right), left
-    some = low <= high
-    again = (doc != doc[first][number]) | (pos != pos[first][number])
-    use_low, use_high = np.where(again & some, low, 1), np.where(again & some, high, 0)
-    # a first place may hold strings of other phrases that come earlier: only where a trigger has several phrases
-    of_trigger = runs(g[first])
-    several = np.repeat(np.diff(of_trigger) > 1, np.diff(of_trigger))
-    candidates = np.flatnonzero(several & some[first])
-    if len(candidates):
-        phrase = np.concatenate([x[9].reshape(-1, wide) for x in parts])
-        dictionary = np.lexsort((d_new, g_new))
-        key = np.stack([g_new[dictionary], d_new[dictionary]], 1)
-        fresh = np.concatenate([[True], (key[1:] != key[:-1]).any(1)])
-        dictionary = dictionary[fresh]  # one row for each phrase, in the order of `first`
-        low_of, high_of = np.full(len(first), 1), np.full(len(first), 0)
-        at = np.flatnonzero(np.diff(np.repeat(np.arange(len(of_trigger) - 1), np.diff(of_trigger))[candidates], prepend=-1))
-        for a, b in _blocks(at, len(candidates), max(1, SORTED // (side + 1))):
-            c = candidates[a:b]
-            f = first[c]
-            n = high[f] - low[f] + 1
-            who = np.repeat(np.arange(len(c)), n)
-            back = low[f][who] + np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
-            rank = _suffix_ranks(phrase[dictionary[c]], who, side - back, length)
-            start_doc, start_pos = doc[f][who], pos[f][who] - back
-            o = np.lexsort((start_pos, start_doc, rank))
-            run = np.concatenate([[True], rank[o][1:] != rank[o][:-1]])
-            lead = o[np.flatnonzero(run)[np.cumsum(run) - 1]]
-            later = np.zeros(len(who), bool)
-            later[o] = (start_doc[o] != start_doc[lead]) | (start_pos[o] != start_pos[lead])
-            lows, highs = np.full(len(c), 1 << 30), np.full(len(c), -1)
-            np.minimum.at(lows, who[later], back[later])
-            np.maximum.at(highs, who[later], back[later])
-            low_of[c], high_of[c] = lows, highs
-        # occurrences at the very first place, in rows that repeat a doc_id, share its fate
-        use_low, use_high = np.where(again, use_low, low_of[number]), np.where(again, use_high, high_of[number])
-    used = use_low <= use_high
-    doc, mark, a, b = doc[used], mark[used], (pos - use_high)[used], (pos - use_low + length)[used]
-    to = (mix(doc.view(U)) % U(p)).astype(np.int64)
-    order, cuts = dealt(to, p)
-    full = np.flatnonzero(np.diff(cuts))
-    blobs = [pack(*(x[order[cuts[k] : cuts[k + 1]]] for x in (doc, mark, a.astype(np.uint32), b.astype(np.uint32)))) for k in full]
-    return pa.table({"slice": pa.array(full, pa.int32()), "blob": pa.array(blobs, pa.binary())})
+    """What later places of each phrase cover, by document, and the first place of each: its trigger and fingerprint."""
+    out, fps, triggers = [], np.zeros(0, np.int64), np.zeros(0, np.int64)
+    kinds, blobs = table.column("kind").to_pylist(), table.column("blob")
+    if found := _unpacked(table, 0, 7):
+        key, t, t_high, doc, mark, low, more = found
+        t, low, more = t.astype(U) | (t_high.astype(U) << U(32)), low.astype(np.int64), more.astype(np.int64)
+        order = np.lexsort((low, doc, key))
+        key, t, doc, mark, low, more = (x[order] for x in (key, t, doc, mark, low, more))
+        entry = np.concatenate([[True], key[1:] != key[:-1]])
+        first = np.flatnonzero(entry)
+        lead = first[np.cumsum(entry) - 1]
+        again = (doc != doc[lead]) | (low != low[lead])
+        if again.any():
+            out = _dealt([_covered(again, doc, mark, low, low + more, length)], _by_doc(p), p, 1)
+        fps, triggers = _place_prints(key[first], doc[first], low[first]).view(np.int64), mix(t[first]).view(np.int64)
+    slices_ = table.column("slice").to_pylist()
+    out += [(k, 1, blobs[i].as_py()) for i, k in enumerate(slices_) if kinds[i] == 1]
+    n, m = len(out), len(fps)
+    return pa.table({"slice": pa.array([x[0] for x in out] + [-1] * m, pa.int32()), "kind": pa.array([1] * n + [2] * m, pa.int32()), "blob": pa.concat_arrays([pa.array([x[2] for x in out], pa.binary()), pa.nulls(m, pa.binary())]), "trigger": pa.concat_arrays([pa.nulls(n, pa.int64()), pa.array(triggers)]), "fp": pa.concat_arrays([pa.nulls(n, pa.int64()), pa.array(fps)])})
+
+
+def _dictionary(batches, length: int, firsts, several, common, p: int):
+    """The dictionary: the bytes of phrases at their first place, where a trigger has several phrases.
+
+    A phrase goes to its trigger's slice. Where a trigger has very many phrases (a common line), its
+    strings are dealt by what stands next to the trigger: those that reach HALF bytes to the right of
+    it by these bytes, the others by the HALF bytes to its left, which they all hold.
+    """
+    a, b, c = (np.frombuffer(x.value, np.uint8) for x in (firsts, several, common))
+    half = (length - GRAM) // 2
+    for batch in batches:
+        every = longs(batch, "doc_id")
+        for at, rows, data, offs in chunks(batch, most=CHUNK):
+            x = Parse(data, offs, length)
+            keep = np.flatnonzero(in_bitmap(mix(_triggers(x.hash)), b))
+            if not len(keep):
+                continue
+            doc = x.doc[keep]
+            ids = every[at : at + rows][doc]
+            low = x.low[keep] - offs[doc]
+            keep = keep[in_bitmap(_place_prints(_phrase_keys(x.hash[keep], x.digests()[keep]), ids, low), a)]
+            if not len(keep):
+                continue
+            doc, g, at_, lo, hi = x.doc[keep], x.hash[keep], x.at[keep], x.low[keep], x.high[keep]
+            many = in_bitmap(mix(_triggers(g)), c)
+            # strings that begin at most `cut` before the trigger hold HALF bytes after it
+            cut = at_ - (length - GRAM - half)
+            parts = [(g, lo, hi, np.flatnonzero(~many)), ]
+            right = np.flatnonzero(many & (hi >= cut))
+            left = np.flatnonzero(many & (lo < cut))
+            span = lambda s, e: (x.sums[e] - x.sums[s]) * _inverses(int(s.max(initial=0)) + 1)[s]
+            if len(right):
+                e = at_[right] + GRAM
+                parts.append((mix(g[right] ^ mix(span(e, e + half))), np.maximum(lo, cut)[right], hi[right], right))
+            if len(left):
+                e = at_[left]
+                parts.append((mix(g[left] ^ mix(span(e - half, e) + U(1))), lo[left], np.minimum(hi, cut - 1)[left], left))
+            out = []
+            for key, s, e, who in parts:
+                if not len(who):
+                    continue
+                if len(key) != len(who):
+                    key, s, e = key[who], s[who], e[who]
+                order, cuts = dealt((key % U(p)).astype(np.int64), p)
+                marks = _marks(data, offs)
+                for k in np.flatnonzero(np.diff(cuts)):
+                    o = order[cuts[k] : cuts[k + 1]]
+                    gram = at_[who[o]]  # its bytes stay behind: the key stands for them
+                    texts = b"".join(data[s[i] : q].tobytes() + data[q + GRAM : e[i] + length].tobytes() for i, q in zip(o, gram, strict=True))
+                    w = doc[who[o]]
+                    columns = (key[o], every[at : at + rows][w], marks[w], (s[o] - offs[w]).astype(np.uint32), (e[o] - s[o]).astype(_small(length)), (gram - s[o]).astype(_small(length)))
+                    out.append((int(k), 0, squeezed(pack(*columns, np.frombuffer(texts, np.uint8)))))
+            yield _rows(out)
+
+
+def _sorted(table: pa.Table, length: int, p: int) -> pa.Table:
+    """Sorts the dictionary's suffixes and returns what each phrase's first place repeats of others that are earlier."""
+    key, doc, mark, low, more, back, text = _unpacked(table, 0, 7)
+    low, more, back, rest = low.astype(np.int64), more.astype(np.int64), back.astype(np.int64), length - GRAM
+    at = np.cumsum(more + rest) - (more + rest)
+    order = np.argsort(key, kind="stable")
+    key, doc, mark, low, more, back, at = (x[order] for x in (key, doc, mark, low, more, back, at))
+    bounds = runs(key)
+    group = np.repeat(np.arange(len(bounds) - 1), np.diff(bounds))
+    out = []
+    for a, b in _blocks(bounds[:-1], len(key), max(1, SORTED // 32)):
+        n = more[a:b] + 1
+        who = np.repeat(np.arange(a, b), n)
+        step = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
+        # equal strings hold their trigger at the same place
+        rank = _suffix_ranks(text, at[who] + step, rest, group[who] * length + back[who] - step)
+        begin = low[who] + step
+        o = np.lexsort((begin, doc[who], rank))
+        run = np.concatenate([[True], rank[o][1:] != rank[o][:-1]])
+        lead = o[np.flatnonzero(run)[np.cumsum(run) - 1]]
+        later = np.zeros(len(who), bool)
+        later[o] = (doc[who][o] != doc[who][lead]) | (begin[o] != begin[lead])
+        if later.any():
+            # strings of a phrase begin within one another's reach, so what they cover is one run
+            x = runs(who[later])
+            w, s = who[later][x[:-1]], begin[later]
+            out.append((doc[w], mark[w], s[x[:-1]].astype(np.uint32), (s[x[1:] - 1] + length).astype(np.uint32)))
+    return pa.Table.from_batches([_rows(_dealt(out, _by_doc(p), p, 1) if out else [])])
 
 
 def _blocks(starts: np.ndarray, n: int, most: int):
@@ -186,20 +320,21 @@ def _blocks(starts: np.ndarray, n: int, most: int):
             a = bounds[k]
 
 
-def _suffix_ranks(phrases: np.ndarray, who: np.ndarray, begin: np.ndarray, length: int) -> np.ndarray:
-    """The rank of each suffix, cut to `length` bytes, in the sorted order of all; equal strings share a rank.
+def _suffix_ranks(text: np.ndarray, begin: np.ndarray, length: int, kind: np.ndarray) -> np.ndarray:
+    """The rank of each suffix of the dictionary, cut to `length` bytes, in the sorted order of all, within its kind; equal strings of a kind share a rank.
 
     Eight bytes at a time, as prefix doubling does with ranks: the suffixes of one group are sorted by
     their next words until all are told apart or `length` bytes are used up.
     """
-    rank = np.zeros(len(who), np.int64)
-    open_ = np.arange(len(who))
+    _, rank, many = np.unique(kind, return_inverse=True, return_counts=True)
+    rank = (np.cumsum(many) - many)[rank]
+    open_ = np.arange(len(begin))
     for k in range(0, length, 8):
         width = min(8, length - k)
         index = begin[open_] + k
         word = np.zeros(len(open_), U)
         for j in range(width):
-            word = (word << U(8)) | phrases[who[open_], index + j].astype(U)
+            word = (word << U(8)) | text[index + j].astype(U)
         o = np.lexsort((word, rank[open_]))
         r, w = rank[open_][o], word[o]
         new = np.concatenate([[True], (r[1:] != r[:-1]) | (w[1:] != w[:-1])])
@@ -218,24 +353,11 @@ def _suffix_ranks(phrases: np.ndarray, who: np.ndarray, begin: np.ndarray, lengt
 
 def _by_document(table: pa.Table) -> pa.Table:
     """Each document's removed runs, merged where they touch."""
-    parts = [unpack(x.as_buffer()) for c in table.column("blob").chunks for x in c]
-    doc, mark, a, b = (np.concatenate([x[i] for x in parts]).astype(np.int64) for i in range(4))
-    order = np.lexsort((a, mark, doc))
-    doc, mark, a, b = doc[order], mark[order], a[order], b[order]
-    if not len(doc):
-        return pa.table({"doc_id": pa.array([], pa.int64()), "mark": pa.array([], pa.int32()), "spans": pa.array([], pa.binary())})
-    own = np.concatenate([[True], (doc[1:] != doc[:-1]) | (mark[1:] != mark[:-1])])
-    group = np.cumsum(own) - 1
-    far = b + group * (1 << 40)  # the furthest end so far in the document
-    reach = np.maximum.accumulate(far)
-    new = own.copy()
-    new[1:] |= (a + group * (1 << 40))[1:] > reach[:-1]
-    begin = np.flatnonzero(new)
-    end = np.concatenate([begin[1:], [len(a)]]) - 1
-    lo, hi, g = a[begin], reach[end] - group[begin] * (1 << 40), group[begin]
-    cuts = np.searchsorted(g, np.arange(int(group[-1]) + 2))
-    pairs = np.stack([lo, hi], 1).astype("<u4")
+    doc, mark, lo, hi = _merged(*_unpacked(table, 1, 4))
+    own = np.concatenate([[True], (doc[1:] != doc[:-1]) | (mark[1:] != mark[:-1])]) if len(doc) else np.zeros(0, bool)
     firsts = np.flatnonzero(own)
+    pairs = np.stack([lo, hi], 1).astype("<u4")
+    cuts = [*firsts.tolist(), len(doc)]
     return pa.table({"doc_id": pa.array(doc[firsts]), "mark": pa.array(mark[firsts].astype(np.int32)), "spans": pa.array([pairs[x:y].tobytes() for x, y in zip(cuts[:-1], cuts[1:], strict=True)], pa.binary())})
 
 
@@ -280,14 +402,20 @@ def substring_dedup(docs: DataFrame, length: int = 100) -> DataFrame:
     """
     spark = docs.sparkSession
     work = Workspace(spark, "substring-dedup")
-    docs = docs.select("doc_id", "text")
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     p = min(65536, slices(docs))
     bits = slice_bits(docs)
     made = docs.select("text").mapInArrow(partial(_trigger_filters, length=length, bits=bits), "slice int, filter binary")
-    known = bitmap_of(spark, made, bits, repeated=True)
-    parsed = docs.mapInArrow(partial(_phrases, length=length, bits=known, p=p), "slice int, blob binary")
-    covered = parsed.groupBy("slice").applyInArrow(grouped(_repeated, length=length, p=p), "slice int, blob binary")
-    spans = work.save(covered.groupBy("slice").applyInArrow(grouped(_by_document), "doc_id long, mark int, spans binary"))
+    [known] = bitmaps_of(spark, made, bits, 2)
+    packed = "slice int, kind int, blob binary"
+    parsed = docs.mapInArrow(partial(_parse, length=length, known=known, p=p), packed)
+    found = work.save(parsed.groupBy("slice").applyInArrow(grouped(_repeated, length=length, p=p), FIRSTS))
+    covered, first = found.where("kind = 1").select("slice", "kind", "blob"), found.where("kind = 2")
+    of_trigger = first.select(F.col("trigger").alias("fp"))
+    firsts, (several, common) = bitmap(first.select("fp"), repeated=False), bitmaps(of_trigger, 2, COMMON)
+    dictionary = docs.mapInArrow(partial(_dictionary, length=length, firsts=firsts, several=several, common=common, p=p), packed)
+    more = dictionary.groupBy("slice").applyInArrow(grouped(_sorted, length=length, p=p), packed)
+    spans = work.save(covered.unionByName(more).groupBy("slice").applyInArrow(grouped(_by_document), "doc_id long, mark int, spans binary"))
     texts = docs.mapInArrow(_marked, "doc_id long, text string, mark int")
     spans = spans.select(F.col("doc_id").alias("of"), F.col("mark").alias("of_mark"), "spans")
     key = F.coalesce("doc_id", F.lit(FIRST))
