@@ -16,14 +16,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .kernels import U, chunks, dealt, grouped, longs, mix, pack, runs, unpack, words
+from .kernels import U, chunks, column_of, dealt, grouped, longs, mix, pack, runs, unpack, words
 from .quotient import bitmap, hit
 from .workspace import Workspace, slices
 
 #: Cost of testing one pair of sketches, in index entries; and the share of all sets in one band.
 PAIR_COST, BAND_SHARE = 0.02, 0.25
 PLACE = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3], U)
-SKETCH = 8  # words of 64 bits
 
 
 def sets_of(data: np.ndarray, offs: np.ndarray, n: int) -> list[np.ndarray]:
@@ -95,10 +94,29 @@ class Scheme:
         return np.concatenate(keys), np.concatenate(owners)
 
 
-def _sketch(s: np.ndarray) -> np.ndarray:
-    """The parity of how many elements fall on each of 512 bits: two sketches differ in no more bits than the sets in elements."""
-    bits = np.bincount((s >> U(55)).astype(np.int64), minlength=64 * SKETCH) & 1
-    return np.packbits(bits.astype(np.uint8)).view("<i8")
+def differences(sizes: int, percent: int) -> int:
+    """How many elements two sets of so many together may differ in."""
+    return (100 - percent) * sizes // (100 + percent)
+
+
+def sketch(s: np.ndarray, percent: int) -> np.ndarray:
+    """The parity of how many elements fall on each of some bits: two sketches differ in no more bits than the sets in elements.
+
+    A power of two of at least four times the differences that partners of this size may have, so sets
+    that share little differ in about twice as many bits as they may; a fraction of a bit an element.
+    """
+    bits = max(64, 1 << (4 * differences(2 * len(s), percent)).bit_length())
+    parity = np.bincount((s & U(bits - 1)).astype(np.int64), minlength=bits) & 1
+    return np.packbits(parity.astype(np.uint8), bitorder="little").view("<u8")
+
+
+def apart(x: np.ndarray, y: np.ndarray) -> int:
+    """Bits in which two sketches differ, the longer one folded to the other's length."""
+    while len(x) > len(y):
+        x = x[: len(x) // 2] ^ x[len(x) // 2 :]
+    while len(y) > len(x):
+        y = y[: len(y) // 2] ^ y[len(y) // 2 :]
+    return int(np.bitwise_count(x ^ y).sum())
 
 
 def _index(batches, scheme: Scheme, n: int, p: int):
@@ -117,8 +135,8 @@ def _index(batches, scheme: Scheme, n: int, p: int):
                     lead[k] = leaders.setdefault(mark, int(ids[k]))
                     if lead[k] == ids[k]:
                         new.append(k)
-            sketches = np.stack([_sketch(s) for s in sets]) if rows else np.zeros((0, SKETCH), np.int64)
-            out = [(int(mix(ids[:1].view(U))[0] % U(p)), 0, pack(ids, np.array([len(s) for s in sets], np.int64), lead, sketches.reshape(-1)))]
+            sketches = [sketch(s, scheme.percent) for s in sets]
+            out = [(int(mix(ids[:1].view(U))[0] % U(p)), 0, pack(ids, np.array([len(s) for s in sets], np.int64), lead, np.array([len(x) for x in sketches]), np.concatenate(sketches)))]
             if new:
                 keys, owners = scheme.signatures([sets[k] for k in new], ids[new])
                 order, cuts = dealt((keys % U(p)).astype(np.int64), p)
@@ -127,7 +145,7 @@ def _index(batches, scheme: Scheme, n: int, p: int):
             yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.int32()), pa.array([x[1] for x in out], pa.int32()), pa.array([x[2] for x in out], pa.binary())], ["slice", "kind", "blob"])
 
 
-MADE = "kind int, key long, id long, n long, lead long, " + ", ".join(f"s{k} long" for k in range(SKETCH))
+MADE = "kind int, key long, id long, n long, lead long, sketch binary"
 
 
 def _buckets(table: pa.Table) -> pa.Table:
@@ -149,35 +167,39 @@ def _buckets(table: pa.Table) -> pa.Table:
     first = np.repeat(id_[at[:-1]], size) if len(key) else id_
     more = np.repeat(size > 1, size) if len(key) else np.zeros(0, bool)
     key, id_, first = key[more], id_[more], first[more]
-    d_id, d_n, d_lead, d_sketch = cat(docs, 0, np.int64), cat(docs, 1, np.int64), cat(docs, 2, np.int64), cat(docs, 3, np.int64).reshape(-1, SKETCH)
+    d_id, d_n, d_lead = (cat(docs, i, np.int64) for i in range(3))
+    sketches = []
+    for x in docs:
+        ends = np.cumsum(x[3])
+        sketches += [x[4][e - k : e].tobytes() for k, e in zip(x[3], ends, strict=True)]
     a, b = len(d_id), len(key)
     zeros = np.zeros(b, np.int64)
-    return pa.table(
-        {"kind": pa.array(np.concatenate([np.zeros(a), np.ones(b)]).astype(np.int32)), "key": pa.array(np.concatenate([np.zeros(a, np.int64), key.view(np.int64)])), "id": pa.array(np.concatenate([d_id, id_])), "n": pa.array(np.concatenate([d_n, zeros])), "lead": pa.array(np.concatenate([d_lead, first]))}
-        | {f"s{k}": pa.array(np.concatenate([d_sketch[:, k], zeros])) for k in range(SKETCH)}
-    )
+    return pa.table({"kind": pa.array(np.concatenate([np.zeros(a), np.ones(b)]).astype(np.int32)), "key": pa.array(np.concatenate([np.zeros(a, np.int64), key.view(np.int64)])), "id": pa.array(np.concatenate([d_id, id_])), "n": pa.array(np.concatenate([d_n, zeros])), "lead": pa.array(np.concatenate([d_lead, first])), "sketch": pa.concat_arrays([pa.array(sketches, pa.binary()), pa.nulls(b, pa.binary())])})
 
 
-def _cross_pairs(table: pa.Table, percent: int) -> pa.Table:
-    """Pairs of one bucket that are in different components so far, whose sizes and sketches allow a link."""
+def _open_pairs(table: pa.Table, percent: int) -> pa.Table:
+    """Pairs of a bucket to verify next: of different components so far, with sizes and sketches that allow a link, not verified before. No more than join the bucket's sets into trees: whether further pairs matter shows once these are verified."""
     key, id_, comp, n = (table.column(c).to_numpy() for c in ("key", "id", "comp", "n"))
-    sketch = np.stack([table.column(f"s{k}").to_numpy() for k in range(SKETCH)], 1).view(U)
+    sketches = [np.frombuffer(x.as_buffer(), U) for c in table.column("sketch").chunks for x in c]
+    failed = [set(x) if x else () for x in table.column("failed").to_pylist()]
     order = np.lexsort((id_, key))
-    key, id_, comp, n, sketch = key[order], id_[order], comp[order], n[order], sketch[order]
+    key, id_, comp, n = key[order], id_[order], comp[order], n[order]
     found = []
     at = runs(key)
     for a, b in zip(at[:-1], at[1:], strict=True):
-        for i in range(a, b - 1):
-            x, y = n[i], n[i + 1 : b]
-            near = (comp[i + 1 : b] != comp[i]) & (100 * np.minimum(x, y) >= percent * np.maximum(x, y))
-            j = i + 1 + np.flatnonzero(near)
-            if len(j):
-                far = np.bitwise_count(sketch[j] ^ sketch[i]).sum(1, dtype=np.int64)
-                j = j[(far <= (100 - percent) * (n[j] + x) // (100 + percent)) & (id_[j] != id_[i])]
-            if len(j):
-                found.append(np.stack([np.full(len(j), id_[i]), id_[j]]))
-    pairs = np.unique(np.concatenate(found, 1), axis=1) if found else np.zeros((2, 0), np.int64)
-    return pa.table({"a": pa.array(np.minimum(*pairs)), "b": pa.array(np.maximum(*pairs))})
+        tree = comp[a:b].copy()
+        size, ids = n[a:b], id_[a:b]
+        for i in range(b - a - 1):
+            x, y = size[i], size[i + 1 :]
+            near = (tree[i + 1 :] != tree[i]) & (100 * np.minimum(x, y) >= percent * np.maximum(x, y)) & (ids[i + 1 :] != ids[i])
+            for j in (i + 1 + np.flatnonzero(near)).tolist():
+                if tree[j] == tree[i] or int(ids[j]) in failed[order[a + i]]:
+                    continue
+                if apart(sketches[order[a + i]], sketches[order[a + j]]) <= differences(int(x + size[j]), percent):
+                    found.append((ids[i], ids[j]))
+                    tree[tree == tree[j]] = tree[i]
+    pairs = np.unique(np.array(found, np.int64).reshape(-1, 2), axis=0)
+    return pa.table({"a": pa.array(pairs[:, 0]), "b": pa.array(pairs[:, 1])})
 
 
 def _sets(batches, n: int):
@@ -187,6 +209,15 @@ def _sets(batches, n: int):
             yield pa.RecordBatch.from_arrays([pa.array(ids[at : at + rows]), pa.array([s.tobytes() for s in sets_of(data, offs, n)], pa.binary())], ["id", "elements"])
 
 
+def _plausible(batches, percent: int):
+    """Pairs whose sketches allow a link."""
+    for batch in batches:
+        total = column_of(batch, "n").to_numpy()
+        x, y = column_of(batch, "a_sketch"), column_of(batch, "b_sketch")
+        keep = [apart(np.frombuffer(x[k].as_buffer(), U), np.frombuffer(y[k].as_buffer(), U)) <= differences(int(total[k]), percent) for k in range(batch.num_rows)]
+        yield pa.RecordBatch.from_arrays([column_of(batch, "a"), column_of(batch, "b")], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+
 def _linked(batches, percent: int):
     for batch in batches:
         x, y = batch.column(2), batch.column(3)
@@ -235,20 +266,19 @@ def ngram_join(docs: DataFrame, n: int = 4, percent: int = 85) -> DataFrame:
     packed = docs.mapInArrow(partial(_index, scheme=scheme, n=n, p=p), "slice int, kind int, blob binary")
     made = work.save(packed.groupBy("slice").applyInArrow(grouped(_buckets), MADE))
     rows = made.where("kind = 0")
-    info = rows.where("n > 0 AND id = lead").select("id", "n", *[f"s{k}" for k in range(SKETCH)])
+    info = rows.where("n > 0 AND id = lead").select("id", "n", "sketch")
 
     def plausible(edges: DataFrame) -> DataFrame:
         x, y = (info.select(F.col("id").alias(e), *[F.col(c).alias(f"{e}_{c}") for c in info.columns[1:]]) for e in "ab")
-        both = edges.join(x, "a").join(y, "b")
-        apart = sum((F.bit_count(F.col(f"a_s{k}").bitwiseXOR(F.col(f"b_s{k}"))) for k in range(SKETCH)), F.lit(0))
-        sizes = F.lit(100) * F.least("a_n", "b_n") >= F.lit(percent) * F.greatest("a_n", "b_n")
-        return both.where(sizes & (apart * (100 + percent) <= (100 - percent) * (F.col("a_n") + F.col("b_n")))).select("a", "b").distinct()
+        both = edges.join(x, "a").join(y, "b").where(F.lit(100) * F.least("a_n", "b_n") >= F.lit(percent) * F.greatest("a_n", "b_n"))
+        both = both.select("a", "b", (F.col("a_n") + F.col("b_n")).alias("n"), "a_sketch", "b_sketch")
+        return both.mapInArrow(partial(_plausible, percent=percent), "a long, b long").distinct()
 
     def verified(edges: DataFrame) -> DataFrame:
         """The pairs that link, by their whole sets. Only texts that a candidate pair names are read into sets."""
         ids = edges.select(F.explode(F.array("a", "b")).alias("id")).distinct()
         bits = bitmap(ids.select(F.xxhash64("id").alias("fp")), repeated=False)
-        sets = work.save(docs.where(hit(F.xxhash64(F.coalesce("doc_id", F.lit(-(2**63)))), bits)).mapInArrow(partial(_sets, n=n), "id long, elements binary").distinct())
+        sets = work.save(docs.where(hit(F.xxhash64(F.coalesce("doc_id", F.lit(-(2**63)))), bits)).mapInArrow(partial(_sets, n=n), "id long, elements binary"))
         x, y = (sets.select(F.col("id").alias(e), F.col("elements").alias(f"{e}_set")) for e in "ab")
         out = work.save(edges.join(x, "a").join(y, "b").select("a", "b", "a_set", "b_set").mapInArrow(partial(_linked, percent=percent), "a long, b long").distinct())
         work.drop(sets)
@@ -258,16 +288,23 @@ def ngram_join(docs: DataFrame, n: int = 4, percent: int = 85) -> DataFrame:
     members = made.where("kind = 1").select("key", "id", "lead")
     stars = work.save(plausible(members.where("id != lead").select(F.col("lead").alias("a"), F.col("id").alias("b")).distinct()))
     links = verified(stars)
+    failed = work.save(stars.join(links, ["a", "b"], "left_anti"))
     found = components(links, work)
-    # then every pair of a bucket that still spans components: no link is lost
-    placed = members.select("key", "id").join(found, "id", "left").select("key", "id", F.coalesce("comp", "id").alias("comp"))
-    placed = work.save(placed)
-    split = placed.groupBy("key").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x != y").select("key")
-    open_ = placed.join(split, "key", "left_semi").join(info, "id").withColumn("slice", F.pmod("key", F.lit(p)))
-    pairs = open_.select("slice", "key", "id", "comp", "n", *[f"s{k}" for k in range(SKETCH)]).groupBy("slice").applyInArrow(grouped(_cross_pairs, percent=percent), "a long, b long")
-    pairs = work.save(pairs.distinct().join(stars, ["a", "b"], "left_anti"))
-    if not pairs.isEmpty():
-        found = components(links.union(verified(pairs)), work)
+    # then pairs of buckets that still span components, until none is left to verify: no link is lost
+    while True:
+        placed = work.save(members.select("key", "id").join(found, "id", "left").select("key", "id", F.coalesce("comp", "id").alias("comp")))
+        split = placed.groupBy("key").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x != y").select("key")
+        open_ = placed.join(split, "key", "left_semi").join(info, "id").withColumn("slice", F.pmod("key", F.lit(p)))
+        before = failed.groupBy(F.col("a").alias("id")).agg(F.collect_set("b").alias("failed"))
+        open_ = open_.join(before, "id", "left").select("slice", "key", "id", "comp", "n", "sketch", "failed")
+        pairs = work.save(open_.groupBy("slice").applyInArrow(grouped(_open_pairs, percent=percent), "a long, b long").distinct())
+        work.drop(placed)
+        if pairs.isEmpty():
+            break
+        links = verified(pairs)
+        failed = work.save(failed.union(pairs.join(links, ["a", "b"], "left_anti")))
+        if not links.isEmpty():
+            found = components(links.union(found.select(F.col("id").alias("a"), F.col("comp").alias("b"))), work)
     joined = rows.select("id", "n", "lead").join(found.select(F.col("id").alias("lead"), "comp"), "lead", "left")
     joined = joined.select("id", "n", F.coalesce("comp", "lead").alias("comp"))
     least = joined.groupBy("comp").agg(F.min("id").alias("component_id"))
