@@ -177,8 +177,8 @@ def _buckets(table: pa.Table) -> pa.Table:
     return pa.table({"kind": pa.array(np.concatenate([np.zeros(a), np.ones(b)]).astype(np.int32)), "key": pa.array(np.concatenate([np.zeros(a, np.int64), key.view(np.int64)])), "id": pa.array(np.concatenate([d_id, id_])), "n": pa.array(np.concatenate([d_n, zeros])), "lead": pa.array(np.concatenate([d_lead, first])), "sketch": pa.concat_arrays([pa.array(sketches, pa.binary()), pa.nulls(b, pa.binary())])})
 
 
-def _open_pairs(table: pa.Table, percent: int) -> pa.Table:
-    """Pairs of a bucket to verify next: of different components so far, with sizes and sketches that allow a link, not verified before. No more than join the bucket's sets into trees: whether further pairs matter shows once these are verified."""
+def _open_pairs(table: pa.Table, percent: int, width: int) -> pa.Table:
+    """Pairs of a bucket to verify next: of different components so far, with sizes and sketches that allow a link, not verified before. Those that join the bucket's sets into trees, and `width` - 1 further ones for each set: whether more matter shows once these are verified."""
     key, id_, comp, n = (table.column(c).to_numpy() for c in ("key", "id", "comp", "n"))
     sketches = [np.frombuffer(x.as_buffer(), U) for c in table.column("sketch").chunks for x in c]
     failed = [set(x) if x else () for x in table.column("failed").to_pylist()]
@@ -188,16 +188,19 @@ def _open_pairs(table: pa.Table, percent: int) -> pa.Table:
     at = runs(key)
     for a, b in zip(at[:-1], at[1:], strict=True):
         tree = comp[a:b].copy()
-        size, ids = n[a:b], id_[a:b]
+        size, ids, part = n[a:b], id_[a:b], comp[a:b]
         for i in range(b - a - 1):
-            x, y = size[i], size[i + 1 :]
-            near = (tree[i + 1 :] != tree[i]) & (100 * np.minimum(x, y) >= percent * np.maximum(x, y)) & (ids[i + 1 :] != ids[i])
+            x, y, spare = size[i], size[i + 1 :], width - 1
+            near = ((part[i + 1 :] != part[i]) if spare else (tree[i + 1 :] != tree[i])) & (100 * np.minimum(x, y) >= percent * np.maximum(x, y)) & (ids[i + 1 :] != ids[i])
             for j in (i + 1 + np.flatnonzero(near)).tolist():
-                if tree[j] == tree[i] or int(ids[j]) in failed[order[a + i]]:
+                if tree[j] == tree[i] and not spare or int(ids[j]) in failed[order[a + i]]:
                     continue
                 if apart(sketches[order[a + i]], sketches[order[a + j]]) <= differences(int(x + size[j]), percent):
                     found.append((ids[i], ids[j]))
-                    tree[tree == tree[j]] = tree[i]
+                    if tree[j] == tree[i]:
+                        spare -= 1
+                    else:
+                        tree[tree == tree[j]] = tree[i]
     pairs = np.unique(np.array(found, np.int64).reshape(-1, 2), axis=0)
     return pa.table({"a": pa.array(pairs[:, 0]), "b": pa.array(pairs[:, 1])})
 
@@ -291,16 +294,19 @@ def ngram_join(docs: DataFrame, n: int = 4, percent: int = 85) -> DataFrame:
     failed = work.save(stars.join(links, ["a", "b"], "left_anti"))
     found = components(links, work)
     # then pairs of buckets that still span components, until none is left to verify: no link is lost
+    # each round may take four times as many as the one before, so rounds grow as the logarithm of a bucket
+    width = 1
     while True:
         placed = work.save(members.select("key", "id").join(found, "id", "left").select("key", "id", F.coalesce("comp", "id").alias("comp")))
         split = placed.groupBy("key").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x != y").select("key")
         open_ = placed.join(split, "key", "left_semi").join(info, "id").withColumn("slice", F.pmod("key", F.lit(p)))
         before = failed.groupBy(F.col("a").alias("id")).agg(F.collect_set("b").alias("failed"))
         open_ = open_.join(before, "id", "left").select("slice", "key", "id", "comp", "n", "sketch", "failed")
-        pairs = work.save(open_.groupBy("slice").applyInArrow(grouped(_open_pairs, percent=percent), "a long, b long").distinct())
+        pairs = work.save(open_.groupBy("slice").applyInArrow(grouped(_open_pairs, percent=percent, width=width), "a long, b long").distinct())
         work.drop(placed)
         if pairs.isEmpty():
             break
+        width *= 4
         links = verified(pairs)
         failed = work.save(failed.union(pairs.join(links, ["a", "b"], "left_anti")))
         if not links.isEmpty():
