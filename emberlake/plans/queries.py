@@ -11,7 +11,7 @@ from ..sources import tables
 from ..streaming.daily import daily_summary
 
 QUERIES: dict = {}
-WORLD, CELL = tables.WORLD, tables.CELL
+CELL = tables.CELL
 
 
 def query(f):
@@ -103,15 +103,17 @@ def distance_to_roads(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def resample_bilinear(spark: SparkSession, sf_dir: str) -> DataFrame:
-    g = tables.grid(spark, sf_dir).where("row < 40")
-    out = parcels.resample(g, "elevation", WORLD, GridSpec(WORLD.minx, WORLD.miny, WORLD.maxx, WORLD.maxy, 540.0))
+    world = tables.world(spark, sf_dir)
+    g = tables.grid(spark, sf_dir)
+    out = parcels.resample(g, "elevation", world, GridSpec(world.minx, world.miny, world.maxx, world.maxy, 540.0))
     return rounded(out, "elevation")
 
 
 @query
 def resample_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    g = tables.grid(spark, sf_dir).where("row < 40")
-    return rounded(parcels.resample(g, "elevation", WORLD, GridSpec(WORLD.minx, WORLD.miny, WORLD.maxx, WORLD.maxy, 540.0), "nearest"), "elevation")
+    world = tables.world(spark, sf_dir)
+    g = tables.grid(spark, sf_dir)
+    return rounded(parcels.resample(g, "elevation", world, GridSpec(world.minx, world.miny, world.maxx, world.maxy, 540.0), "nearest"), "elevation")
 
 
 @query
@@ -205,19 +207,22 @@ def holdout_balance(spark: SparkSession, sf_dir: str) -> DataFrame:
 # parcels
 def burn_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A probability for each cell of the world, drawn by place."""
-    cells = WORLD.cells(spark)
+    world = tables.world(spark, sf_dir)
+    cells = world.cells(spark)
     return cells.select("row", "col", (0.3 * uniform("burn", F.col("row"), F.col("col"))).alias("burn_probability"), F.col("y").alias("northing"))
 
 
 @query
 def zonal_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = parcels.zonal_statistics(tables.parcels(spark, sf_dir), burn_cells(spark, sf_dir), "burn_probability", WORLD)
+    world = tables.world(spark, sf_dir)
+    out = parcels.zonal_statistics(tables.parcels(spark, sf_dir), burn_cells(spark, sf_dir), "burn_probability", world)
     return out.drop("minx", "miny", "maxx", "maxy")
 
 
 @query
 def multi_raster_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return parcels.multi_raster_statistics(tables.parcels(spark, sf_dir), burn_cells(spark, sf_dir), ["burn_probability", "northing"], WORLD)
+    world = tables.world(spark, sf_dir)
+    return parcels.multi_raster_statistics(tables.parcels(spark, sf_dir), burn_cells(spark, sf_dir), ["burn_probability", "northing"], world)
 
 
 @query
@@ -236,8 +241,9 @@ def burned_parcels(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def parcel_output(spark: SparkSession, sf_dir: str) -> DataFrame:
+    world = tables.world(spark, sf_dir)
     p = tables.parcels(spark, sf_dir)
-    z = parcels.zonal_statistics(p, burn_cells(spark, sf_dir), "burn_probability", WORLD)
+    z = parcels.zonal_statistics(p, burn_cells(spark, sf_dir), "burn_probability", world)
     h = parcels.hazard_zones(p, tables.zones(spark, sf_dir)).select("apn", "fhsz")
     return parcels.output_table(z.join(h, "apn"), 2020)
 
@@ -249,18 +255,21 @@ def parcels_by_county(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def county_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return parcels.county_summary(parcels.zonal_statistics(tables.parcels(spark, sf_dir), burn_cells(spark, sf_dir), "burn_probability", WORLD))
+    world = tables.world(spark, sf_dir)
+    return parcels.county_summary(parcels.zonal_statistics(tables.parcels(spark, sf_dir), burn_cells(spark, sf_dir), "burn_probability", world))
 
 
 @query
 def burned_mask(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return parcels.burned_mask(_year_fires(spark, sf_dir), WORLD)
+    world = tables.world(spark, sf_dir)
+    return parcels.burned_mask(_year_fires(spark, sf_dir), world)
 
 
 @query
 def calibration_factor(spark: SparkSession, sf_dir: str) -> DataFrame:
-    mask = parcels.burned_mask(_year_fires(spark, sf_dir).where("year_ = 1997"), WORLD)
-    return montecarlo.calibration(mask, burn_cells(spark, sf_dir), WORLD.nrows * WORLD.ncols, 8)
+    world = tables.world(spark, sf_dir)
+    mask = parcels.burned_mask(_year_fires(spark, sf_dir).where("year_ = 1997"), world)
+    return montecarlo.calibration(mask, burn_cells(spark, sf_dir), world.nrows * world.ncols, 8)
 
 
 @query
@@ -272,8 +281,9 @@ def tile_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def fuel_at_points(spark: SparkSession, sf_dir: str) -> DataFrame:
+    world = tables.world(spark, sf_dir)
     f = tables.fires(spark, sf_dir).select("fire_id", ((F.col("minx") + F.col("maxx")) / 2).alias("x"), ((F.col("miny") + F.col("maxy")) / 2).alias("y"))
-    return parcels.value_at(f, tables.grid(spark, sf_dir), "fuel_model", WORLD, -1).select("fire_id", "value")
+    return parcels.value_at(f, tables.grid(spark, sf_dir), "fuel_model", world, -1).select("fire_id", "value")
 
 
 @query
@@ -297,36 +307,41 @@ def weighted_ignitions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _landscape(spark, sf_dir):
-    return spread.landscape(_terrain(spark, sf_dir).where("row < 40"), CELL)
+    return spread.landscape(_terrain(spark, sf_dir), CELL)
 
 
 @query
 def conditional_monte_carlo(spark: SparkSession, sf_dir: str) -> DataFrame:
+    world = tables.world(spark, sf_dir)
     points = tables.fires(spark, sf_dir).where("gis_acres > 19000 AND year_ = 1997").select("fire_id", ((F.col("minx") + F.col("maxx")) / 2).alias("x"), ((F.col("miny") + F.col("maxy")) / 2).alias("y"))
-    return rounded(montecarlo.run_conditional(points, weather.scenarios(_weather(spark, sf_dir), 5), _landscape(spark, sf_dir), WORLD, 240), "raw_probability", "burn_probability")
+    return rounded(montecarlo.run_conditional(points, weather.scenarios(_weather(spark, sf_dir), 5), _landscape(spark, sf_dir), world, 240), "raw_probability", "burn_probability")
 
 
 @query
 def monte_carlo(spark: SparkSession, sf_dir: str) -> DataFrame:
+    world = tables.world(spark, sf_dir)
     config = montecarlo.MonteCarloConfig(n_iterations=40, duration_min=240, ignition_rate=0.01)
-    return rounded(montecarlo.run(spark, _landscape(spark, sf_dir), WORLD, config), "raw_probability", "burn_probability")
+    return rounded(montecarlo.run(spark, _landscape(spark, sf_dir), world, config), "raw_probability", "burn_probability")
 
 
 @query
 def burn_percentiles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    counts = WORLD.cells(spark).select("row", "col", F.floor(20 * uniform("n", F.col("row"), F.col("col"))).alias("burn_count"))
+    world = tables.world(spark, sf_dir)
+    counts = world.cells(spark).select("row", "col", F.floor(20 * uniform("n", F.col("row"), F.col("col"))).alias("burn_count"))
     return rounded(montecarlo.percentiles(counts, 100), "p05", "p50", "p95")
 
 
 @query
 def ignition_points(spark: SparkSession, sf_dir: str) -> DataFrame:
+    world = tables.world(spark, sf_dir)
     f = tables.fires(spark, sf_dir).where("gis_acres > 5000")
-    return rounded(montecarlo.ignition_points(f, tables.grid(spark, sf_dir).where("row < 40"), WORLD), "x", "y")
+    return rounded(montecarlo.ignition_points(f, tables.grid(spark, sf_dir), world), "x", "y")
 
 
 @query
 def clipped_fuels(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return parcels.clip(tables.grid(spark, sf_dir).where("row < 40"), tables.zones(spark, sf_dir), WORLD).select("row", "col", "fuel_model")
+    world = tables.world(spark, sf_dir)
+    return parcels.clip(tables.grid(spark, sf_dir), tables.zones(spark, sf_dir), world).select("row", "col", "fuel_model")
 
 
 @query
@@ -344,11 +359,12 @@ def synthetic_landscape(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # learning
 def _training(spark, sf_dir):
+    world = tables.world(spark, sf_dir)
     w = _weather(spark, sf_dir)
     cells = fuel.with_fuel(_terrain(spark, sf_dir)).select("row", "col", "elevation", "slope", "tpi", "ros", "canopy_cover")
     f = tables.fires(spark, sf_dir).where("gis_acres > 15000")
     x, y = (F.col("minx") + F.col("maxx")) / 2, (F.col("miny") + F.col("maxy")) / 2
-    positive = f.select(WORLD.row_of(y).alias("row"), WORLD.col_of(x).alias("col"), F.col("alarm_date").alias("day"))
+    positive = f.select(world.row_of(y).alias("row"), world.col_of(x).alias("col"), F.col("alarm_date").alias("day"))
     negative = ml.negative_samples(cells.select("row", "col"), positive.select("row", "col").distinct(), w.where("erc < 50").select("day"), 2)
     t = ml.training_set(positive, negative, cells, w)
     return t.withColumn("key", F.xxhash64("row", "col", "day", "label"))

@@ -1,7 +1,7 @@
 """Domain tables over the given star schema, each as a DataFrame and as SQL.
 
-Each is derived by key from one table, so that both sides agree row for row and no table needs
-another's statistics.
+Each is derived by key from one table, so that both sides agree row for row. Fires, parcels and zones
+need one figure besides: how many rows of cells the parts make.
 """
 from __future__ import annotations
 
@@ -12,8 +12,7 @@ from ..functions.grid import GridSpec
 from ..functions.hashing import uniform, uniform_sql
 
 COLS, CELL = 50, 270.0
-#: Bounds of the cells that 2000 parts make; fires and parcels lie in them at any scale.
-WORLD = GridSpec(0.0, -10800.0, 13500.0, 0.0, CELL)
+LEAST_ROWS = 40  # the rows that 2000 parts make
 # Fuel codes that the synthetic grid goes through, the last two not burnable.
 FUELS = (101, 102, 103, 104, 105, 106, 107, 108, 109, 121, 122, 123, 124, 141, 142, 143, 144, 145, 146, 147, 148, 149, 161, 162, 163, 164, 165, 181, 182, 183, 184, 185, 186, 187, 188, 189, 201, 202, 203, 204, 98, 99)
 
@@ -22,6 +21,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def world(spark: SparkSession, sf_dir: str) -> GridSpec:
+    """Bounds of the cells that the parts make, LEAST_ROWS rows at least; fires, parcels and zones lie in them at any scale."""
+    last = table(spark, sf_dir, "part").agg(F.max("p_partkey")).first()[0]
+    rows = max(LEAST_ROWS, (-1 if last is None else last) // COLS + 1)
+    return GridSpec(0.0, -rows * CELL, COLS * CELL, 0.0, CELL)
+
+
 def grid(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.col("p_partkey")
     return table(spark, sf_dir, "part").select(
@@ -73,7 +79,7 @@ def fires(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Square perimeters of the given acreage."""
     v, k = F.col("o_totalprice") / 500000.0, F.col("o_orderkey")
     df = table(spark, sf_dir, "orders").select(
-        k.alias("fire_id"), F.year("o_orderdate").alias("year_"), (v * v * v * 20000.0).alias("gis_acres"), F.to_date("o_orderdate").alias("alarm_date"), (13500.0 * uniform("fx", k)).alias("cx"), (-10800.0 * uniform("fy", k)).alias("cy")
+        k.alias("fire_id"), F.year("o_orderdate").alias("year_"), (v * v * v * 20000.0).alias("gis_acres"), F.to_date("o_orderdate").alias("alarm_date"), (13500.0 * uniform("fx", k)).alias("cx"), (world(spark, sf_dir).miny * uniform("fy", k)).alias("cy")
     )
     half = F.sqrt(F.col("gis_acres") * 4046.86) / 2.0
     return df.select("fire_id", "year_", "gis_acres", "alarm_date", (F.col("cx") - half).alias("minx"), (F.col("cy") - half).alias("miny"), (F.col("cx") + half).alias("maxx"), (F.col("cy") + half).alias("maxy"))
@@ -88,7 +94,7 @@ fires AS (SELECT fire_id, year_, gis_acres, alarm_date, cx - sqrt(gis_acres * 40
 def parcels(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.col("c_custkey")
     df = table(spark, sf_dir, "customer").join(table(spark, sf_dir, "nation"), F.col("c_nationkey") == F.col("n_nationkey"), "left")
-    df = df.select(k.cast("string").alias("apn"), F.col("n_name").alias("county"), (13000.0 * uniform("px", k)).alias("minx"), (-10500.0 * uniform("py", k) - 300.0).alias("miny"), (F.lit(100.0) + 400.0 * uniform("ps", k)).alias("side"))
+    df = df.select(k.cast("string").alias("apn"), F.col("n_name").alias("county"), (13000.0 * uniform("px", k)).alias("minx"), ((world(spark, sf_dir).miny + 300.0) * uniform("py", k) - 300.0).alias("miny"), (F.lit(100.0) + 400.0 * uniform("ps", k)).alias("side"))
     return df.select("apn", "county", "minx", "miny", (F.col("minx") + F.col("side")).alias("maxx"), (F.col("miny") + F.col("side")).alias("maxy"))
 
 
@@ -100,7 +106,7 @@ parcels AS (SELECT apn, county, minx, miny, minx + side AS maxx, miny + side AS
 def zones(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.col("n_nationkey")
     name = F.element_at(F.array(*map(F.lit, ("Very High", "High", "Moderate", "Other", "High"))), F.col("n_regionkey") + 1)
-    df = table(spark, sf_dir, "nation").select(k.alias("zone_id"), name.alias("haz_class"), (11000.0 * uniform("zx", k)).alias("minx"), (-9000.0 * uniform("zy", k) - 1800.0).alias("miny"))
+    df = table(spark, sf_dir, "nation").select(k.alias("zone_id"), name.alias("haz_class"), (11000.0 * uniform("zx", k)).alias("minx"), ((world(spark, sf_dir).miny + 1800.0) * uniform("zy", k) - 1800.0).alias("miny"))
     return df.withColumn("maxx", F.col("minx") + 2500.0).withColumn("maxy", F.col("miny") + 1800.0)
 
 

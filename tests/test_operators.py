@@ -11,6 +11,8 @@ from emberlake.functions.hashing import uniform
 from emberlake.operators import fuel, holdout, metrics, ml, montecarlo, parcels, spread, terrain, weather
 from emberlake.sources import readers, writers
 
+from .conftest import DATA
+
 
 def scored(spark, y, p):
     return spark.createDataFrame(list(zip(y, p, strict=True)), "label int, prob double")
@@ -274,3 +276,23 @@ def test_readers(spark, tmp_path):
     assert [tuple(r) for r in readers.building_footprints(spark, str(tmp_path / "b.json")).collect()] == [(1.0, 2.0, 3.0, 4.0)]
     spark.createDataFrame([(2015, 5.0), (2020, 6.0)], "YEAR_ int, GIS_ACRES double").write.parquet(str(tmp_path / "f"))
     assert readers.fire_perimeters(spark, str(tmp_path / "f"), (2014, 2016)).count() == 1
+
+
+def test_the_world_grows_with_the_parts(spark, tmp_path):
+    from emberlake.plans import queries
+    from emberlake.sources import tables
+
+    small = f"{DATA}/sf0.001"
+    for name in ("orders", "customer", "nation"):
+        (tmp_path / f"{name}.parquet").symlink_to(f"{small}/{name}.parquet")
+    part = spark.read.parquet(f"{small}/part.parquet")
+    n = part.count()
+    spark.range(5000).join(part, F.col("id") % n == F.col("p_partkey")).drop("p_partkey").withColumnRenamed("id", "p_partkey").write.parquet(str(tmp_path / "part.parquet"))
+    world, at = tables.world(spark, str(tmp_path)), str(tmp_path)
+    assert (world.nrows, world.ncols, tables.world(spark, small).nrows) == (100, 50, 40)
+    for name in ("resample_bilinear", "resample_nearest"):
+        assert queries.QUERIES[name](spark, at).where("elevation IS NOT NULL").count() == 50 * 25
+    assert queries._landscape(spark, at).nrows == 100
+    assert queries.clipped_fuels(spark, at).agg(F.max("row")).first()[0] >= 40
+    assert queries.ignition_points(spark, at).agg(F.min("y")).first()[0] < -10800
+    assert queries.burn_cells(spark, at).count() == 5000
