@@ -4,6 +4,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..config import production
 from ..functions.grid import GridSpec, tile_bounds
 from ..functions.hashing import uniform
 from ..operators import fuel, holdout, metrics, ml, montecarlo, parcels, spread, terrain, weather
@@ -314,14 +315,13 @@ def _landscape(spark, sf_dir):
 def conditional_monte_carlo(spark: SparkSession, sf_dir: str) -> DataFrame:
     world = tables.world(spark, sf_dir)
     points = tables.fires(spark, sf_dir).where("gis_acres > 19000 AND year_ = 1997").select("fire_id", ((F.col("minx") + F.col("maxx")) / 2).alias("x"), ((F.col("miny") + F.col("maxy")) / 2).alias("y"))
-    return rounded(montecarlo.run_conditional(points, weather.scenarios(_weather(spark, sf_dir), 5), _landscape(spark, sf_dir), world, 240), "raw_probability", "burn_probability")
+    return rounded(montecarlo.run_conditional(points, weather.scenarios(_weather(spark, sf_dir), 100), _landscape(spark, sf_dir), world), "raw_probability", "burn_probability")
 
 
 @query
 def monte_carlo(spark: SparkSession, sf_dir: str) -> DataFrame:
     world = tables.world(spark, sf_dir)
-    config = montecarlo.MonteCarloConfig(n_iterations=40, duration_min=240, ignition_rate=0.01)
-    return rounded(montecarlo.run(spark, _landscape(spark, sf_dir), world, config), "raw_probability", "burn_probability")
+    return rounded(montecarlo.run(spark, _landscape(spark, sf_dir), world, production().monte_carlo), "raw_probability", "burn_probability")
 
 
 @query
@@ -353,7 +353,7 @@ def common_bounds(spark: SparkSession, sf_dir: str) -> DataFrame:
 def synthetic_landscape(spark: SparkSession, sf_dir: str) -> DataFrame:
     from ..sources import synthetic
 
-    spec = GridSpec(0.0, 0.0, 6480.0, 6480.0, 270.0)
+    spec = GridSpec(0.0, 0.0, 64800.0, 64800.0, 270.0)
     return parcels.stack([synthetic.dem(spark, spec).select("row", "col", F.round("elevation", 3).alias("elevation")), synthetic.fuels(spark, spec).select("row", "col", "fuel_model", "canopy_cover")])
 
 
@@ -375,13 +375,13 @@ FEATURES = ["elevation", "slope", "tpi", "ros", "canopy_cover", "tmmx", "rmin",
 
 @query
 def training_set(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _training(spark, sf_dir).groupBy("label").agg(F.count(F.lit(1)).alias("n"))
+    return _training(spark, sf_dir)
 
 
 @query
 def ignition_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     train, test = ml.split(_training(spark, sf_dir), "key")
-    model = ml.IgnitionModel("random_forest", numTrees=20, maxDepth=6).fit(train, FEATURES)
+    model = ml.IgnitionModel("random_forest").fit(train, FEATURES)
     return metrics.discrimination(model.predict_proba(test).select("label", "prob"))
 
 

@@ -296,3 +296,29 @@ def test_the_world_grows_with_the_parts(spark, tmp_path):
     assert queries.clipped_fuels(spark, at).agg(F.max("row")).first()[0] >= 40
     assert queries.ignition_points(spark, at).agg(F.min("y")).first()[0] < -10800
     assert queries.burn_cells(spark, at).count() == 5000
+
+
+def test_counts_are_those_of_every_simulation(spark):
+    rng = np.random.default_rng(3)
+    land = spread.Landscape.of(rng.choice([101, 104, 121, 98], (12, 15)), rng.uniform(0, 30, (12, 15)), rng.uniform(0, 360, (12, 15)), 270.0)
+    rows = [(k, int(rng.integers(-1, 13)), int(rng.integers(0, 4)), float(k % 2), 270.0, 480) for k in range(60)]
+    scenarios = spark.createDataFrame(rows, "scenario_id long, ignition_row int, ignition_col int, wind_speed double, wind_direction double, duration_min int")
+    want = montecarlo.burn_counts(spread.simulate(scenarios, land))
+    got = spread.simulate_counts(scenarios, land)
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect())) != []
+
+
+def test_queries_have_production_settings(spark, monkeypatch):
+    from emberlake.plans import queries
+
+    small, seen = f"{DATA}/sf0.001", {}
+    run, conditional, model = montecarlo.run, montecarlo.run_conditional, ml.IgnitionModel
+    monkeypatch.setattr(montecarlo, "run", lambda spark, land, spec, config: seen.update(config=config) or run(spark, land, spec, montecarlo.MonteCarloConfig(10)))
+    monkeypatch.setattr(montecarlo, "run_conditional", lambda points, weather, land, spec, duration=480: seen.update(scenarios=weather.count(), duration=duration) or conditional(points.limit(1), weather.limit(1), land, spec))
+    monkeypatch.setattr(ml, "IgnitionModel", lambda kind, **params: seen.update(params=params) or model(kind, numTrees=1, maxDepth=2))
+    for name in ("monte_carlo", "conditional_monte_carlo", "ignition_model"):
+        queries.QUERIES[name](spark, small)
+    assert seen == {"config": montecarlo.MonteCarloConfig(n_iterations=10_000), "scenarios": 100, "duration": 480, "params": {}}
+    assert seen["config"].duration_min == 480 and ml.MODELS["random_forest"]().getNumTrees() == 500
+    assert queries.QUERIES["synthetic_landscape"](spark, small).count() == 240 * 240
+    assert {"row", "col", "day", "label", *queries.FEATURES} <= set(queries.QUERIES["training_set"](spark, small).columns)
