@@ -314,7 +314,7 @@ def _landscape(spark, sf_dir):
 @query
 def conditional_monte_carlo(spark: SparkSession, sf_dir: str) -> DataFrame:
     world = tables.world(spark, sf_dir)
-    points = tables.fires(spark, sf_dir).where("gis_acres > 19000 AND year_ = 1997").select("fire_id", ((F.col("minx") + F.col("maxx")) / 2).alias("x"), ((F.col("miny") + F.col("maxy")) / 2).alias("y"))
+    points = tables.fires(spark, sf_dir).select("fire_id", ((F.col("minx") + F.col("maxx")) / 2).alias("x"), ((F.col("miny") + F.col("maxy")) / 2).alias("y"))
     return rounded(montecarlo.run_conditional(points, weather.scenarios(_weather(spark, sf_dir), 100), _landscape(spark, sf_dir), world), "raw_probability", "burn_probability")
 
 
@@ -362,10 +362,10 @@ def _training(spark, sf_dir):
     world = tables.world(spark, sf_dir)
     w = _weather(spark, sf_dir)
     cells = fuel.with_fuel(_terrain(spark, sf_dir)).select("row", "col", "elevation", "slope", "tpi", "ros", "canopy_cover")
-    f = tables.fires(spark, sf_dir).where("gis_acres > 15000")
+    f = tables.fires(spark, sf_dir)
     x, y = (F.col("minx") + F.col("maxx")) / 2, (F.col("miny") + F.col("maxy")) / 2
     positive = f.select(world.row_of(y).alias("row"), world.col_of(x).alias("col"), F.col("alarm_date").alias("day"))
-    negative = ml.negative_samples(cells.select("row", "col"), positive.select("row", "col").distinct(), w.where("erc < 50").select("day"), 2)
+    negative = ml.negative_samples(cells.select("row", "col"), positive.select("row", "col").distinct(), w.select("day"), 2)
     t = ml.training_set(positive, negative, cells, w)
     return t.withColumn("key", F.xxhash64("row", "col", "day", "label"))
 

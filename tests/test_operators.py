@@ -322,3 +322,20 @@ def test_queries_have_production_settings(spark, monkeypatch):
     assert seen["config"].duration_min == 480 and ml.MODELS["random_forest"]().getNumTrees() == 500
     assert queries.QUERIES["synthetic_landscape"](spark, small).count() == 240 * 240
     assert {"row", "col", "day", "label", *queries.FEATURES} <= set(queries.QUERIES["training_set"](spark, small).columns)
+
+
+def test_all_fires_and_days_are_used(spark, monkeypatch):
+    from emberlake.plans import queries
+    from emberlake.sources import tables
+
+    small, seen = f"{DATA}/sf0.001", {}
+    monkeypatch.setattr(montecarlo, "run_conditional", lambda points, weather, land, spec: seen.update(points=points.count()) or montecarlo.burn_probability(spark.createDataFrame([(0, 0, 1)], "row int, col int, burn_count long"), 1))
+    queries.QUERIES["conditional_monte_carlo"](spark, small)
+    fires, cells = tables.fires(spark, small), tables.grid(spark, small)
+    assert seen == {"points": fires.count()}
+    t = queries.QUERIES["training_set"](spark, small).persist()
+    world = tables.world(spark, small)
+    x, y = (F.col("minx") + F.col("maxx")) / 2, (F.col("miny") + F.col("maxy")) / 2
+    lit = fires.select(world.row_of(y).alias("row"), world.col_of(x).alias("col")).join(cells, ["row", "col"])
+    assert t.where("label = 1").count() == lit.count() > 0
+    assert t.where("label = 0 AND erc >= 50").count() > 0
