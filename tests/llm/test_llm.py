@@ -301,6 +301,23 @@ def test_pitman_yor(docs, none):
     assert pitman_yor.pitman_yor(none).count() == 0
 
 
+def test_pitman_yor_is_the_same_for_any_slices(docs, monkeypatch):
+    scores = []
+    for p in (3, 50):
+        monkeypatch.setattr(pitman_yor, "slices_by_size", lambda *a, p=p, **k: p)
+        scores.append(sorted((r.doc_id, r.n_tokens, round(r.score, 6)) for r in pitman_yor.pitman_yor(docs).collect()))
+    assert scores[0] == scores[1]
+
+
+def test_binomial_draws():
+    key = pitman_yor.mix(np.arange(1, 40001, dtype=np.uint64))
+    for n, p in ((5, 0.1), (40, 0.9), (300, 0.02), (300, 0.3), (7, 0.0), (7, 1.0)):
+        x = pitman_yor._binomial(key, np.full(len(key), n), np.full(len(key), p), 3)
+        assert x.min() >= 0 and x.max() <= n
+        assert abs(x.mean() - n * p) <= 5 * math.sqrt(n * p * (1 - p) / len(key))
+        assert abs(x.var() - n * p * (1 - p)) <= 0.05 * n * p * (1 - p)
+
+
 def test_predictive_probabilities_sum_to_one():
     rng = np.random.default_rng(6)
     dish = np.sort(rng.integers(1, 40, 900).astype(np.uint64))
