@@ -1,7 +1,10 @@
 """Vectorised byte kernels on Arrow batches of texts."""
 from __future__ import annotations
 
+import ctypes
+import hashlib
 from collections.abc import Iterator
+from functools import wraps
 
 import numpy as np
 import pyarrow as pa
@@ -12,7 +15,9 @@ SPACE = np.zeros(256, bool)
 SPACE[[0x20, *range(0x09, 0x0E)]] = True
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
-ROOT = 0x9E3779B97F4A7C15 | 1
+ROOT, ROOT_2 = 0x9E3779B97F4A7C15, 0xC6BC279692B5C323
+LONG_WORD = 512
+TRIM_THRESHOLD, MMAP_THRESHOLD = -1, -3  # of the C library's mallopt
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -26,18 +31,53 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
-_powers = np.ones(1, U)
+TABLE = 1 << 22  # powers that a worker keeps; longer tables are made when they are asked for
+_tables: dict[int, np.ndarray] = {}
 
 
-def powers(n: int) -> np.ndarray:
-    """ROOT ** 0..n-1 modulo 2 ** 64."""
-    global _powers
-    if len(_powers) < n:
-        size = 1 << max(10, (n - 1).bit_length())
-        p = np.full(size, ROOT, U)
-        p[0] = 1
-        _powers = np.cumprod(p, dtype=U)
-    return _powers[:n]
+def _powers_of(root: int, n: int) -> np.ndarray:
+    found = _tables.get(root)
+    if found is None or len(found) < n:
+        found = np.full(1 << max(10, (n - 1).bit_length()) if n else 1, root, U)
+        found[0] = 1
+        found = np.cumprod(found, dtype=U)
+        if len(found) <= TABLE:
+            _tables[root] = found
+    return found[:n]
+
+
+def powers(n: int, root: int = ROOT) -> np.ndarray:
+    """root ** 0..n-1 modulo 2 ** 64."""
+    return _powers_of(root, n)
+
+
+def inverses(n: int, root: int = ROOT) -> np.ndarray:
+    """root ** 0..-(n-1) modulo 2 ** 64."""
+    return _powers_of(pow(root, -1, 1 << 64), n)
+
+
+def lean(f):
+    """f, a function on batches, as a task that gives back the memory it has used: large arrays are mapped and unmapped, and free pages go when the task ends."""
+
+    @wraps(f)
+    def run(batches, *args, **options):
+        trim = _returning()
+        try:
+            yield from f(batches, *args, **options)
+        finally:
+            trim(0)
+
+    return run
+
+
+def _returning():
+    """Lets the C library give freed memory back, and returns its malloc_trim (nothing, where it has none)."""
+    libc = ctypes.CDLL(None)
+    if mallopt := getattr(libc, "mallopt", None):
+        mallopt(MMAP_THRESHOLD, 1 << 20)
+        mallopt(TRIM_THRESHOLD, 1 << 20)
+    pa.set_memory_pool(pa.system_memory_pool())
+    return getattr(libc, "malloc_trim", lambda _: None)
 
 
 def chunks(batch: pa.RecordBatch, name: str = "text", most: int = 1 << 22) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
@@ -63,39 +103,41 @@ def chunks(batch: pa.RecordBatch, name: str = "text", most: int = 1 << 22) -> It
         at = to
 
 
-def words(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Start, end, text index and 64-bit hash of each word, A-Z lower-cased. Words are runs of bytes other than 0x20 and 0x09-0x0D."""
+def words(data: np.ndarray, offs: np.ndarray, root: int = ROOT) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Start, end, text index and 64-bit hash of each word, A-Z lower-cased. Words are runs of bytes other than 0x20 and 0x09-0x0D.
+
+    Hashes are polynomials of the bytes, mixed; another root gives independent ones. Words of over LONG_WORD
+    bytes are hashed by BLAKE2b, as there are known strings that collide in polynomials modulo 2 ** 64.
+    """
     n = len(data)
+    z = np.zeros(0, np.int64)
     if not n:
-        z = np.zeros(0, np.int64)
         return z, z, z, np.zeros(0, U)
     inside = ~SPACE[data]
-    first = inside.copy()
-    first[1:] &= ~inside[:-1]
-    bounds = offs[(offs > 0) & (offs < n)]
-    first[bounds] = inside[bounds]
-    starts = np.flatnonzero(first)
+    cut = np.zeros(n + 1, bool)
+    cut[offs] = True
+    first, last = inside.copy(), inside.copy()
+    first[1:] &= ~inside[:-1] | cut[1:-1]
+    last[:-1] &= ~inside[1:] | cut[1:-1]
+    starts, ends = np.flatnonzero(first), np.flatnonzero(last) + 1
+    del first, last, cut, inside
     if not len(starts):
-        z = np.zeros(0, np.int64)
         return z, z, z, np.zeros(0, U)
-    small = np.int32 if n < 1 << 31 else np.int64
-    number = np.cumsum(first, dtype=small) - small(1)
-    lengths = np.bincount(number[inside], minlength=len(starts))
-    place = np.arange(n, dtype=small)
-    place -= starts.astype(small)[np.maximum(number, 0)]
-    del number
-    place[~inside] = 0
-    value = powers(int(lengths.max()) + 1)[place]
-    del place
-    letters = LOWER[data].astype(U)
-    letters += U(1)
-    value *= letters
-    del letters
-    value[~inside] = 0
-    hashed = np.add.reduceat(value, starts)
+    lower = LOWER[data]
+    value = lower.astype(U)
+    value += U(1)
+    value *= powers(n, root)
+    sums = np.zeros(n + 1, U)
+    np.cumsum(value, out=sums[1:])
+    del value
+    lengths = ends - starts
+    hashed = (sums[ends] - sums[starts]) * inverses(n, root)[starts]
     hashed = mix(hashed ^ (lengths.astype(U) * U(0xD6E8FEB86659FD93)))
+    for k in np.flatnonzero(lengths > LONG_WORD).tolist():
+        digest = hashlib.blake2b(lower[starts[k] : ends[k]].tobytes(), digest_size=8, salt=(root % 2**64).to_bytes(8, "little"))
+        hashed[k] = int.from_bytes(digest.digest(), "little")
     doc = np.searchsorted(offs, starts, side="right") - 1
-    return starts, starts + lengths, doc, hashed
+    return starts, ends, doc, hashed
 
 
 def dealt(p: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -153,6 +195,7 @@ def grouped(f, **options):
     """f with its options set, with the type hints that applyInArrow looks for."""
 
     def run(table: pa.Table) -> pa.Table:
+        _returning()
         return f(table, **options)
 
     return run

@@ -7,10 +7,16 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
+#: Frees a query's shuffle files when it ends: what a step has written is read again, never its shuffles.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """spark.checkpoint.dir; where it is unset (tests, local mode) a temporary folder."""
+    """spark.checkpoint.dir. Where it is unset, a temporary folder, in local mode only: other executors could not read it."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith(("local[", "local ")) and spark.sparkContext.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         found = getattr(shared_dir, "own", None) or tempfile.mkdtemp(prefix="emberlake-")
         shared_dir.own = found
     return found.rstrip("/")
@@ -27,7 +33,12 @@ class Workspace:
     def save(self, df: DataFrame) -> DataFrame:
         self.n += 1
         path = f"{self.root}/{self.n}"
-        df.write.parquet(path)
+        before = self.spark.conf.get(CLEANUP, None)
+        self.spark.conf.set(CLEANUP, "true")
+        try:
+            df.write.parquet(path)
+        finally:
+            self.spark.conf.unset(CLEANUP) if before is None else self.spark.conf.set(CLEANUP, before)
         out = self.spark.read.schema(df.schema).parquet(path)
         out._workspace_path = path
         return out
@@ -51,5 +62,5 @@ def slices_by_size(df: DataFrame, each: int = 8 << 20, least: int = 64) -> int:
     size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
     if size > 1 << 60:  # unknown
         size = 4 * each * df.rdd.getNumPartitions()
-    return min(65536, max(least, -(-size // each)))
+    return max(least, -(-size // each))
 
