@@ -30,6 +30,12 @@ def classes(docs: DataFrame, bits) -> DataFrame:
     return groups.select(F.sha2("norm", 256).alias("sha"), "keep_id", "group_size")
 
 
+def large(groups: DataFrame, size: str, n_rows: int) -> DataFrame:
+    """The groups that would crowd a task of an evenly dealt join: each has more than half a task's share of all rows, so there are at most twice as many of them as tasks, whatever the data."""
+    tasks = int(groups.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return groups.where(F.col(size) > n_rows / (2 * tasks))
+
+
 def exact_dedup(docs: DataFrame) -> DataFrame:
     """doc_id, keep_id, group_size, kept, text_sha256 for each row.
 
@@ -41,14 +47,18 @@ def exact_dedup(docs: DataFrame) -> DataFrame:
     rows = work.save(_prepared(docs).select("doc_id", F.xxhash64("norm").alias("fp"), F.sha2("norm", 256).alias("text_sha256"), F.monotonically_increasing_id().alias("row")))
     bits = bitmap(rows, repeated=True)
     found = work.save(classes(docs, bits))
-    joined = rows.join(found, rows.text_sha256 == found.sha, "left")
+    # rows of large groups meet their group where they are
+    hot = F.broadcast(large(found, "group_size", rows.count()))
+    crowded = rows.join(hot, rows.text_sha256 == hot.sha)
+    others = rows.join(hot, rows.text_sha256 == hot.sha, "left_anti")
+    joined = others.join(found, others.text_sha256 == found.sha, "left").unionByName(crowded)
     nth = F.row_number().over(Window.partitionBy("text_sha256", "doc_id").orderBy("row"))
     keep = F.when(F.col("sha").isNotNull(), F.col("keep_id")).otherwise(F.col("doc_id"))
     return joined.select("doc_id", keep.alias("keep_id"), F.coalesce("group_size", F.lit(1)).cast("long").alias("group_size"), (F.col("doc_id").eqNullSafe(keep) & (nth == 1)).alias("kept"), "text_sha256")
 
 
 def drop_copies(docs: DataFrame) -> DataFrame:
-    """docs without the rows that exact_dedup drops, with all their columns. Texts that the filters show to be unique are never shuffled."""
+    """docs without the rows that exact_dedup drops, with all their columns, whatever their names; nulls, ties and repeated rows as there. Texts that the filters show to be unique are never shuffled."""
     work = Workspace(docs.sparkSession, "drop-copies")
     fp = F.xxhash64(normalised(F.col("text")))
     bits = bitmap(docs.select(fp.alias("fp")), repeated=True)
@@ -56,5 +66,6 @@ def drop_copies(docs: DataFrame) -> DataFrame:
     tagged = docs.withColumn("__maybe", hit(fp, bits))
     sure = tagged.where(~F.col("__maybe")).drop("__maybe")
     rest = tagged.where("__maybe").withColumn("__sha", F.sha2(normalised(F.col("text")), 256))
-    rest = rest.join(found.select(F.col("sha").alias("__sha"), F.col("keep_id").alias("__keep")), "__sha").where(F.col("doc_id").eqNullSafe(F.col("__keep")))
+    # joined by text and id together, so copies are dealt to as many tasks as they have ids
+    rest = rest.join(found.select("sha", "keep_id"), (F.col("__sha") == F.col("sha")) & F.col("doc_id").eqNullSafe(F.col("keep_id")), "left_semi")
     return sure.unionByName(rest.dropDuplicates(["__sha", "doc_id"]).select(*[F.col("`" + c + "`") for c in docs.columns]))
