@@ -1,12 +1,16 @@
 """Removal of repeated substrings by prefix-free parsing: rolling-hash triggers, a dictionary of phrases, a parse, and the order of both.
 
-A string of `length` bytes has a trigger: its gram of GRAM bytes with the least rolling hash, so
-equal strings have equal triggers at the same place. Neighbouring strings with one trigger are a
-phrase. Equal phrases are one entry of the dictionary; the parse says where each occurs, in corpus
-order. All places of a phrase but the first repeat it. Sorting the suffixes of the dictionary's
-phrases under each trigger (to `length` bytes) brings equal strings of different phrases together;
-the first places say which is earliest. In highly repetitive text nearly all occurrences fall on few
-phrases, so little is sorted: only phrases whose trigger has others.
+A gram of GRAM bytes whose rolling hash is small is a trigger, and text is cut into phrases that reach
+from one trigger to the next. A string of `length` bytes belongs to the first trigger in it (one that
+holds none to its gram of least hash, so that long phrases have places to meet, too). Before its
+trigger stands a suffix of a phrase, after it begins a suffix of the parse, the phrases that follow.
+So a string is known by three things: its trigger, the place of the phrase's suffix in the order of
+all such suffixes, and the place of the parse's suffix in theirs. Where whole phrases with what follows
+them are equal, all places but the first repeat it, and only the first goes on: in highly repetitive
+text little does. These first places make the dictionary: for each trigger with several of them, the
+suffixes of phrases and of the parse are sorted once each (read away from the trigger, as far as a
+string reaches), and both orders combined give each string's class, and the first of the class is the
+one that stays.
 """
 from __future__ import annotations
 
@@ -18,32 +22,21 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .kernels import ROOT, U, chunks, dealt, grouped, longs, mix, pack, powers, runs, squeezed, unpack, unsqueezed
+from .kernels import ROOT, ROOT_2, U, chunks, dealt, grouped, inverses, lean, longs, mix, pack, powers, runs, squeezed, unpack, unsqueezed
 from .quotient import bitmap, bitmaps, bitmaps_of, build, in_bitmap, slice_bits
-from .workspace import Workspace, slices
+from .workspace import Workspace, slices, slices_by_size
 
 GRAM = 32
+EVERY = 32  # one gram in so many is a trigger
 CHUNK = 1 << 20
-TOGETHER = 1 << 24  # bytes of text whose phrases a task compares before it deals them out
+TOGETHER = 1 << 23  # bytes of text whose phrases a task compares before it deals them out
 COMMON = 4096  # phrases of a trigger from which on its strings are dealt by their neighbourhood
-SORTED = 1 << 18  # windows sorted at once
-INVERSE = pow(ROOT, -1, 1 << 64)
+SORTED = 1 << 13  # phrases whose suffixes are sorted at once
 FIRST = -(2**63)
 
-_inverse = np.ones(1, U)
-
-
-def _inverses(n: int) -> np.ndarray:
-    global _inverse
-    if len(_inverse) < n:
-        p = np.full(1 << max(10, (n - 1).bit_length()), INVERSE, U)
-        p[0] = 1
-        _inverse = np.cumprod(p, dtype=U)
-    return _inverse[:n]
-
 
 class Parse:
-    """Phrases of several texts. Each string of `length` bytes belongs to the trigger it holds: its gram of least hash, the last of equals. Neighbouring strings share a trigger; together they are its phrase."""
+    """Phrases of several texts. Each string of `length` bytes belongs to the first trigger it holds, or else to its gram of least hash, the last of equals. Neighbouring strings share one; together they are what a phrase and the text after it hold."""
 
     def __init__(self, data: np.ndarray, offs: np.ndarray, length: int):
         n, span = len(data), length - GRAM + 1
@@ -52,20 +45,21 @@ class Parse:
         self.at, self.low, self.high, self.doc, self.hash = none, none, none, none, np.zeros(0, U)
         if n < length:
             return
-        self.sums = np.zeros(n + 1, U)
-        np.cumsum((data.astype(U) + U(1)) * powers(n), out=self.sums[1:])
-        grams = mix((self.sums[GRAM:] - self.sums[:-GRAM]) * _inverses(n - GRAM + 1))
-        # hash in the high bits, place in the low ones: the least is the last of equals
+        self.sums = self._sums(ROOT)
+        grams = mix((self.sums[GRAM:] - self.sums[:-GRAM]) * inverses(n - GRAM + 1))
+        # a trigger is known by its place, the first is least; others by their hash, then the last of equals
         bits = U(int(n).bit_length())
-        mask = (U(1) << bits) - U(1)
-        least, have = (grams >> bits << bits) | (mask - np.arange(len(grams), dtype=U)), 1
+        mask, top = (U(1) << bits) - U(1), U(1 << 63)
+        place = np.arange(len(grams), dtype=U)
+        least = np.where(grams < U(2**64 // EVERY), place, top | (grams >> U(1) >> bits << bits) | (mask - place))
+        have = 1
         while have * 2 <= span:  # the least of `span` grams, by doubling
             least = np.minimum(least[:-have], least[have:])
             have *= 2
         if have < span:
             many = len(grams) - span + 1
             least = np.minimum(least[:many], least[span - have : span - have + many])
-        owner = (mask - (least & mask)).astype(np.int64)
+        owner = np.where(least < top, least, mask - (least & mask)).astype(np.int64)
         doc = np.repeat(np.arange(len(offs) - 1), np.diff(offs))[: len(owner)]
         inside = np.flatnonzero(np.arange(len(owner)) + length <= offs[doc + 1])  # strings that don't leave their text
         if not len(inside):
@@ -76,12 +70,25 @@ class Parse:
         self.high = inside[np.concatenate([new[1:], [len(inside)]]) - 1]
         self.hash = grams[self.at]
 
-    def digests(self) -> np.ndarray:
-        """Of each phrase's bytes and of where its trigger stands in it."""
+    def _sums(self, root: int) -> np.ndarray:
+        sums = np.zeros(len(self.data) + 1, U)
+        np.cumsum((self.data.astype(U) + U(1)) * powers(len(self.data), root), out=sums[1:])
+        return sums
+
+    def digests(self) -> tuple[np.ndarray, np.ndarray]:
+        """128 bits of each phrase's bytes and of where its trigger stands in it, in two halves."""
         if not len(self.at):
-            return self.hash
-        whole = (self.sums[self.high + self.length] - self.sums[self.low]) * _inverses(int(self.low.max()) + 1)[self.low]
-        return mix(whole ^ mix(((self.at - self.low).astype(U) << U(32)) | (self.high - self.low).astype(U)))
+            return self.hash, self.hash
+        out = []
+        for root, sums in ((ROOT, self.sums), (ROOT_2, self._sums(ROOT_2))):
+            whole = (sums[self.high + self.length] - sums[self.low]) * inverses(int(self.low.max()) + 1, root)[self.low]
+            out.append(mix(whole ^ mix(((self.at - self.low).astype(U) << U(32)) | (self.high - self.low).astype(U) ^ U(root & 0xFF))))
+        return out[0], out[1]
+
+    def second(self) -> np.ndarray:
+        """Another hash of each trigger's bytes."""
+        sums = self._sums(ROOT_2)
+        return mix((sums[self.at + GRAM] - sums[self.at]) * inverses(int(self.at.max(initial=0)) + 1, ROOT_2)[self.at])
 
 
 TRIGGER_BITS = 40  # of a trigger's hash that travel with a phrase; a clash only sorts more than is needed
@@ -91,8 +98,8 @@ def _triggers(g: np.ndarray) -> np.ndarray:
     return g >> U(64 - TRIGGER_BITS)
 
 
-def _phrase_keys(g: np.ndarray, d: np.ndarray) -> np.ndarray:
-    return mix(g ^ mix(d))
+def _phrase_keys(g: np.ndarray, d: np.ndarray, key_bits: int) -> np.ndarray:
+    return mix(g ^ mix(d)) & U(2**key_bits - 1)
 
 
 def _place_prints(key, doc, low) -> np.ndarray:
@@ -100,6 +107,7 @@ def _place_prints(key, doc, low) -> np.ndarray:
     return mix(key ^ mix(doc.view(U) * U(ROOT) + low.astype(U)))
 
 
+@lean
 def _trigger_filters(batches, length: int, bits: int):
     """Counting quotient filters of all triggers of a partition."""
     found = []
@@ -110,7 +118,8 @@ def _trigger_filters(batches, length: int, bits: int):
 
 
 def _text_mark(text: bytes) -> int:
-    return int.from_bytes(hashlib.blake2b(text, digest_size=2).digest(), "little")
+    """What tells rows apart that repeat a doc_id with other texts."""
+    return int.from_bytes(hashlib.blake2b(text, digest_size=8).digest(), "little", signed=True)
 
 
 def _dealt(parts: list[tuple], slice_of, p: int, kind: int):
@@ -154,20 +163,21 @@ def _covered(again, doc, mark, low, high, length):
     return doc, mark, a.astype(np.uint32), b.astype(np.uint32)
 
 
-def _parse(batches, length: int, known, p: int):
+@lean
+def _parse(batches, length: int, known, p: int, key_bits: int):
     """The parse: occurrences of phrases whose trigger isn't certainly unique. Of those that a task has met several times together, the first goes on (kind 0) and the others are covered already (kind 1)."""
     whole = np.frombuffer(known.value, np.uint8)
     held, size = [], 0
 
     def put():
-        key, t, doc, mark, low, high = (np.concatenate(x) for x in zip(*held, strict=True))
-        order = np.lexsort((low, doc, key))
-        key, t, doc, mark, low, high = (x[order] for x in (key, t, doc, mark, low, high))
-        entry = np.concatenate([[True], key[1:] != key[:-1]])
+        key, other, t, doc, mark, low, high = (np.concatenate(x) for x in zip(*held, strict=True))
+        order = np.lexsort((low, doc, other, key))
+        key, other, t, doc, mark, low, high = (x[order] for x in (key, other, t, doc, mark, low, high))
+        entry = np.concatenate([[True], (key[1:] != key[:-1]) | (other[1:] != other[:-1])])
         first = np.flatnonzero(entry)[np.cumsum(entry) - 1]
         again = (doc != doc[first]) | (low != low[first])
         t = t[~again]
-        parts = (key[~again], t.astype(np.uint32), (t >> U(32)).astype(np.uint8), doc[~again], mark[~again], low[~again].astype(np.uint32), (high - low)[~again].astype(_small(length)))
+        parts = (key[~again], other[~again], t.astype(np.uint32), (t >> U(32)).astype(np.uint8), doc[~again], mark[~again], low[~again].astype(np.uint32), (high - low)[~again].astype(_small(length)))
         out = _dealt([parts], lambda key, *_: (key % U(p)).astype(np.int64), p, 0)
         if again.any():
             out += _dealt([_covered(again, doc, mark, low, high, length)], _by_doc(p), p, 1)
@@ -180,8 +190,8 @@ def _parse(batches, length: int, known, p: int):
             keep = in_bitmap(x.hash, whole)
             if not keep.any():
                 continue
-            doc = x.doc[keep]
-            held.append((_phrase_keys(x.hash[keep], x.digests()[keep]), _triggers(x.hash[keep]), every[at : at + rows][doc], _marks(data, offs)[doc], x.low[keep] - offs[doc], x.high[keep] - offs[doc]))
+            doc, (one, other) = x.doc[keep], x.digests()
+            held.append((_phrase_keys(x.hash[keep], one[keep], key_bits), other[keep], _triggers(x.hash[keep]), every[at : at + rows][doc], _marks(data, offs)[doc], x.low[keep] - offs[doc], x.high[keep] - offs[doc]))
             size += len(data)
             if size >= TOGETHER:
                 yield put()
@@ -191,7 +201,7 @@ def _parse(batches, length: int, known, p: int):
 
 
 def _marks(data: np.ndarray, offs: np.ndarray) -> np.ndarray:
-    return np.array([_text_mark(data[a:b].tobytes()) for a, b in zip(offs[:-1], offs[1:], strict=True)], np.uint16)
+    return np.array([_text_mark(data[a:b].tobytes()) for a, b in zip(offs[:-1], offs[1:], strict=True)], np.int64)
 
 
 FIRSTS = "slice int, kind int, blob binary, trigger long, fp long"
@@ -208,12 +218,12 @@ def _repeated(table: pa.Table, length: int, p: int) -> pa.Table:
     """What later places of each phrase cover, by document, and the first place of each: its trigger and fingerprint."""
     out, fps, triggers = [], np.zeros(0, np.int64), np.zeros(0, np.int64)
     kinds, blobs = table.column("kind").to_pylist(), table.column("blob")
-    if found := _unpacked(table, 0, 7):
-        key, t, t_high, doc, mark, low, more = found
+    if found := _unpacked(table, 0, 8):
+        key, other, t, t_high, doc, mark, low, more = found
         t, low, more = t.astype(U) | (t_high.astype(U) << U(32)), low.astype(np.int64), more.astype(np.int64)
-        order = np.lexsort((low, doc, key))
-        key, t, doc, mark, low, more = (x[order] for x in (key, t, doc, mark, low, more))
-        entry = np.concatenate([[True], key[1:] != key[:-1]])
+        order = np.lexsort((low, doc, other, key))
+        key, other, t, doc, mark, low, more = (x[order] for x in (key, other, t, doc, mark, low, more))
+        entry = np.concatenate([[True], (key[1:] != key[:-1]) | (other[1:] != other[:-1])])
         first = np.flatnonzero(entry)
         lead = first[np.cumsum(entry) - 1]
         again = (doc != doc[lead]) | (low != low[lead])
@@ -226,7 +236,8 @@ def _repeated(table: pa.Table, length: int, p: int) -> pa.Table:
     return pa.table({"slice": pa.array([x[0] for x in out] + [-1] * m, pa.int32()), "kind": pa.array([1] * n + [2] * m, pa.int32()), "blob": pa.concat_arrays([pa.array([x[2] for x in out], pa.binary()), pa.nulls(m, pa.binary())]), "trigger": pa.concat_arrays([pa.nulls(n, pa.int64()), pa.array(triggers)]), "fp": pa.concat_arrays([pa.nulls(n, pa.int64()), pa.array(fps)])})
 
 
-def _dictionary(batches, length: int, firsts, several, common, p: int):
+@lean
+def _dictionary(batches, length: int, firsts, several, common, p: int, key_bits: int):
     """The dictionary: the bytes of phrases at their first place, where a trigger has several phrases.
 
     A phrase goes to its trigger's slice. Where a trigger has very many phrases (a common line), its
@@ -245,68 +256,60 @@ def _dictionary(batches, length: int, firsts, several, common, p: int):
             doc = x.doc[keep]
             ids = every[at : at + rows][doc]
             low = x.low[keep] - offs[doc]
-            keep = keep[in_bitmap(_place_prints(_phrase_keys(x.hash[keep], x.digests()[keep]), ids, low), a)]
+            keep = keep[in_bitmap(_place_prints(_phrase_keys(x.hash[keep], x.digests()[0][keep], key_bits), ids, low), a)]
             if not len(keep):
                 continue
-            doc, g, at_, lo, hi = x.doc[keep], x.hash[keep], x.at[keep], x.low[keep], x.high[keep]
+            doc, g, at_, lo, hi, second = x.doc[keep], x.hash[keep], x.at[keep], x.low[keep], x.high[keep], x.second()[keep]
             many = in_bitmap(mix(_triggers(g)), c)
             # strings that begin at most `cut` before the trigger hold HALF bytes after it
             cut = at_ - (length - GRAM - half)
             parts = [(g, lo, hi, np.flatnonzero(~many)), ]
             right = np.flatnonzero(many & (hi >= cut))
             left = np.flatnonzero(many & (lo < cut))
-            span = lambda s, e: (x.sums[e] - x.sums[s]) * _inverses(int(s.max(initial=0)) + 1)[s]
+            span = lambda s, e: (x.sums[e] - x.sums[s]) * inverses(int(s.max(initial=0)) + 1)[s]
             if len(right):
                 e = at_[right] + GRAM
                 parts.append((mix(g[right] ^ mix(span(e, e + half))), np.maximum(lo, cut)[right], hi[right], right))
             if len(left):
                 e = at_[left]
                 parts.append((mix(g[left] ^ mix(span(e - half, e) + U(1))), lo[left], np.minimum(hi, cut - 1)[left], left))
-            out = []
+            out, marks = [], _marks(data, offs)
             for key, s, e, who in parts:
                 if not len(who):
                     continue
                 if len(key) != len(who):
                     key, s, e = key[who], s[who], e[who]
                 order, cuts = dealt((key % U(p)).astype(np.int64), p)
-                marks = _marks(data, offs)
                 for k in np.flatnonzero(np.diff(cuts)):
                     o = order[cuts[k] : cuts[k + 1]]
-                    gram = at_[who[o]]  # its bytes stay behind: the key stands for them
+                    gram = at_[who[o]]  # its bytes stay behind: two hashes stand for them
                     texts = b"".join(data[s[i] : q].tobytes() + data[q + GRAM : e[i] + length].tobytes() for i, q in zip(o, gram, strict=True))
                     w = doc[who[o]]
-                    columns = (key[o], every[at : at + rows][w], marks[w], (s[o] - offs[w]).astype(np.uint32), (e[o] - s[o]).astype(_small(length)), (gram - s[o]).astype(_small(length)))
+                    columns = (key[o], second[who[o]], every[at : at + rows][w], marks[w], (s[o] - offs[w]).astype(np.uint32), (e[o] - s[o]).astype(_small(length)), (gram - s[o]).astype(_small(length)))
                     out.append((int(k), 0, squeezed(pack(*columns, np.frombuffer(texts, np.uint8)))))
             yield _rows(out)
 
 
 def _sorted(table: pa.Table, length: int, p: int) -> pa.Table:
-    """Sorts the dictionary's suffixes and returns what each phrase's first place repeats of others that are earlier."""
-    key, doc, mark, low, more, back, text = _unpacked(table, 0, 7)
+    """Sorts the dictionary's suffixes and those of the parse, and returns what each phrase's first place repeats of others that are earlier."""
+    key, second, doc, mark, low, more, back, text = _unpacked(table, 0, 8)
     low, more, back, rest = low.astype(np.int64), more.astype(np.int64), back.astype(np.int64), length - GRAM
-    at = np.cumsum(more + rest) - (more + rest)
-    order = np.argsort(key, kind="stable")
-    key, doc, mark, low, more, back, at = (x[order] for x in (key, doc, mark, low, more, back, at))
-    bounds = runs(key)
-    group = np.repeat(np.arange(len(bounds) - 1), np.diff(bounds))
+    begin = np.cumsum(more + rest) - (more + rest)  # in the text
+    order = np.lexsort((low + back, doc, second, key))  # within a trigger, by where it stands
+    key, second, doc, mark, low, more, back, begin = (x[order] for x in (key, second, doc, mark, low, more, back, begin))
+    fresh = np.concatenate([[True], (key[1:] != key[:-1]) | (second[1:] != second[:-1])])
+    group = np.cumsum(fresh) - 1
     out = []
-    for a, b in _blocks(bounds[:-1], len(key), max(1, SORTED // 32)):
-        n = more[a:b] + 1
-        who = np.repeat(np.arange(a, b), n)
-        step = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
-        # equal strings hold their trigger at the same place
-        rank = _suffix_ranks(text, at[who] + step, rest, group[who] * length + back[who] - step)
-        begin = low[who] + step
-        o = np.lexsort((begin, doc[who], rank))
-        run = np.concatenate([[True], rank[o][1:] != rank[o][:-1]])
-        lead = o[np.flatnonzero(run)[np.cumsum(run) - 1]]
-        later = np.zeros(len(who), bool)
-        later[o] = (doc[who][o] != doc[who][lead]) | (begin[o] != begin[lead])
-        if later.any():
+    for a, b in _blocks(np.flatnonzero(fresh), len(key), SORTED):
+        if b - a < 2:
+            continue
+        x = slice(a, b)
+        first, last = _repeats(text, begin[x], back[x], more[x], group[x], doc[x], low[x], rest)
+        some = np.flatnonzero(first <= last)
+        if len(some):
             # strings of a phrase begin within one another's reach, so what they cover is one run
-            x = runs(who[later])
-            w, s = who[later][x[:-1]], begin[later]
-            out.append((doc[w], mark[w], s[x[:-1]].astype(np.uint32), (s[x[1:] - 1] + length).astype(np.uint32)))
+            s = low[x][some]
+            out.append((doc[x][some], mark[x][some], (s + first[some]).astype(np.uint32), (s + last[some] + length).astype(np.uint32)))
     return pa.Table.from_batches([_rows(_dealt(out, _by_doc(p), p, 1) if out else [])])
 
 
@@ -320,35 +323,56 @@ def _blocks(starts: np.ndarray, n: int, most: int):
             a = bounds[k]
 
 
-def _suffix_ranks(text: np.ndarray, begin: np.ndarray, length: int, kind: np.ndarray) -> np.ndarray:
-    """The rank of each suffix of the dictionary, cut to `length` bytes, in the sorted order of all, within its kind; equal strings of a kind share a rank.
-
-    Eight bytes at a time, as prefix doubling does with ranks: the suffixes of one group are sorted by
-    their next words until all are told apart or `length` bytes are used up.
+def _ordered(text: np.ndarray, begin: np.ndarray, step: int, size: np.ndarray, most: int, group: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Sorts strings that are read from `begin` in steps of 1 or -1, within their groups. Returns the order, and how many bytes each shares with the one before it in that order (-1 in another group)."""
+    width = -(-max(most, 1) // 8) * 8
+    k = np.arange(width)
+    held = np.minimum(size, most)
+    index = begin[:, None] + step * k
+    inside = k < held[:, None]
+    bytes_ = np.where(inside, text[np.where(inside, index, 0)], 0).astype(np.uint8)
+    columns = np.ascontiguousarray(bytes_).view(">u8").astype(U)
+    order = np.lexsort((held, *columns.T[::-1], group))
+    rows, held, group = bytes_[order], held[order], group[order]
+    unlike = rows[1:] != rows[:-1]
+    same = np.where(unlike.any(1), unlike.argmax(1), width)
+    common = np.minimum(same, np.minimum(held[1:], held[:-1]))
+    return order, np.concatenate([[-1], np.where(group[1:] == group[:-1], common, -1)])
+
+
+def _repeats(text, begin, back, more, group, doc, low, rest) -> tuple[np.ndarray, np.ndarray]:
+    """The first and last string of each phrase that another place holds earlier (first over last: none). Phrases stand in groups by trigger, within them by place.
+
+    String k of a phrase has back - k bytes before the trigger and the others after it. Two strings of a group are equal if they have
+    equally many before it, and the phrases' suffixes and the parse's suffixes agree that far: each is a run in its order.
     """
-    _, rank, many = np.unique(kind, return_inverse=True, return_counts=True)
-    rank = (np.cumsum(many) - many)[rank]
-    open_ = np.arange(len(begin))
-    for k in range(0, length, 8):
-        width = min(8, length - k)
-        index = begin[open_] + k
-        word = np.zeros(len(open_), U)
-        for j in range(width):
-            word = (word << U(8)) | text[index + j].astype(U)
-        o = np.lexsort((word, rank[open_]))
-        r, w = rank[open_][o], word[o]
-        new = np.concatenate([[True], (r[1:] != r[:-1]) | (w[1:] != w[:-1])])
-        # ranks stay ordered and distinct: a group's rank is where it begins among all suffixes
-        base = np.concatenate([[True], r[1:] != r[:-1]])
-        begins = np.flatnonzero(base)[np.cumsum(base) - 1]
-        value = r + np.flatnonzero(new)[np.cumsum(new) - 1] - begins
-        rank[open_[o]] = value
-        size = np.diff(np.concatenate([np.flatnonzero(new), [len(o)]]))
-        shared = np.repeat(size > 1, size)
-        open_ = np.sort(open_[o[shared]])
-        if not len(open_):
-            break
-    return rank
+    n = len(begin)
+    left, l_common = _ordered(text, begin + back - 1, -1, back, rest, group)
+    right, r_common = _ordered(text, begin + back, 1, more + rest - back, rest, group)
+    l_place, r_place = np.empty(n, np.int64), np.empty(n, np.int64)
+    l_place[left], r_place[right] = np.arange(n), np.arange(n)
+    l_next, r_next = np.append(l_common[1:], -1), np.append(r_common[1:], -1)
+    # how far a phrase agrees with any other on either side
+    l_most, r_most = np.maximum(l_common, l_next)[l_place], np.maximum(r_common, r_next)[r_place]
+    first, last = np.full(n, 1 << 40), np.full(n, -1)
+    at = np.arange(n)
+    for before in range(rest + 1):
+        use = np.flatnonzero((before <= back) & (before >= back - more) & (l_most >= before) & (r_most >= rest - before))
+        if len(use) < 2:
+            continue
+        l_class = np.maximum.accumulate(np.where(l_common < before, at, 0))[l_place[use]]
+        r_class = np.maximum.accumulate(np.where(r_common < rest - before, at, 0))[r_place[use]]
+        pair = l_class * n + r_class
+        o = np.argsort(pair, kind="stable")  # `use` is in order of place
+        new = np.concatenate([[True], pair[o][1:] != pair[o][:-1]])
+        lead = use[o][np.flatnonzero(new)[np.cumsum(new) - 1]]
+        who = use[o]
+        step = back - before
+        later = (doc[who] != doc[lead]) | (low[who] + step[who] != low[lead] + step[lead])
+        who = who[later]
+        np.minimum.at(first, who, step[who])
+        np.maximum.at(last, who, step[who])
+    return first, last
 
 
 def _by_document(table: pa.Table) -> pa.Table:
@@ -358,17 +382,19 @@ def _by_document(table: pa.Table) -> pa.Table:
     firsts = np.flatnonzero(own)
     pairs = np.stack([lo, hi], 1).astype("<u4")
     cuts = [*firsts.tolist(), len(doc)]
-    return pa.table({"doc_id": pa.array(doc[firsts]), "mark": pa.array(mark[firsts].astype(np.int32)), "spans": pa.array([pairs[x:y].tobytes() for x, y in zip(cuts[:-1], cuts[1:], strict=True)], pa.binary())})
+    return pa.table({"doc_id": pa.array(doc[firsts]), "mark": pa.array(mark[firsts]), "spans": pa.array([pairs[x:y].tobytes() for x, y in zip(cuts[:-1], cuts[1:], strict=True)], pa.binary())})
 
 
+@lean
 def _marked(batches):
     for batch in batches:
         marks = []
         for _, _, data, offs in chunks(batch):
             marks += [_text_mark(data[a:b].tobytes()) for a, b in zip(offs[:-1], offs[1:], strict=True)]
-        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(marks, pa.int32())], [*batch.schema.names, "mark"])
+        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(marks, pa.int64())], [*batch.schema.names, "mark"])
 
 
+@lean
 def _cut(batches):
     """doc_id, n_bytes, n_removed, n_spans, kept bytes."""
     for batch in batches:
@@ -391,32 +417,34 @@ def _cut(batches):
         yield pa.RecordBatch.from_arrays([batch.column(batch.schema.get_field_index("doc_id")), pa.array(n, pa.int64()), pa.array(removed, pa.int64()), pa.array(runs_, pa.int64()), pa.array(kept, pa.binary())], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept"])
 
 
-def substring_dedup(docs: DataFrame, length: int = 100) -> DataFrame:
+def substring_dedup(docs: DataFrame, length: int = 100, key_bits: int = 64) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept (the bytes that stay) for each row.
 
     Every byte goes that is covered by a string of `length` bytes which also starts earlier: in a
     smaller doc_id, or in the same document before. Texts are UTF-8; null is empty. Strings never
     cross documents, may overlap, and are judged on the input. Rows that repeat a doc_id with the same
     text are one document: neither starts earlier; rows that repeat it with other texts compare by
-    where strings start. Null ids count as the smallest long. length must be over GRAM.
+    where strings start. Null ids count as the smallest long. length must be over GRAM. key_bits: of a phrase's
+    128 bits, how many of the first half deal it out; equal phrases agree in these and in the whole second half.
+    An empty table gives no rows; extra columns play no part.
     """
     spark = docs.sparkSession
     work = Workspace(spark, "substring-dedup")
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    p = min(65536, slices(docs))
+    p = max(slices(docs), slices_by_size(docs, each=16 << 20))
     bits = slice_bits(docs)
     made = docs.select("text").mapInArrow(partial(_trigger_filters, length=length, bits=bits), "slice int, filter binary")
     [known] = bitmaps_of(spark, made, bits, 2)
     packed = "slice int, kind int, blob binary"
-    parsed = docs.mapInArrow(partial(_parse, length=length, known=known, p=p), packed)
+    parsed = docs.mapInArrow(partial(_parse, length=length, known=known, p=p, key_bits=key_bits), packed)
     found = work.save(parsed.groupBy("slice").applyInArrow(grouped(_repeated, length=length, p=p), FIRSTS))
     covered, first = found.where("kind = 1").select("slice", "kind", "blob"), found.where("kind = 2")
     of_trigger = first.select(F.col("trigger").alias("fp"))
     firsts, (several, common) = bitmap(first.select("fp"), repeated=False), bitmaps(of_trigger, 2, COMMON)
-    dictionary = docs.mapInArrow(partial(_dictionary, length=length, firsts=firsts, several=several, common=common, p=p), packed)
+    dictionary = docs.mapInArrow(partial(_dictionary, length=length, firsts=firsts, several=several, common=common, p=p, key_bits=key_bits), packed)
     more = dictionary.groupBy("slice").applyInArrow(grouped(_sorted, length=length, p=p), packed)
-    spans = work.save(covered.unionByName(more).groupBy("slice").applyInArrow(grouped(_by_document), "doc_id long, mark int, spans binary"))
-    texts = docs.mapInArrow(_marked, "doc_id long, text string, mark int")
+    spans = work.save(covered.unionByName(more).groupBy("slice").applyInArrow(grouped(_by_document), "doc_id long, mark long, spans binary"))
+    texts = docs.mapInArrow(_marked, "doc_id long, text string, mark long")
     spans = spans.select(F.col("doc_id").alias("of"), F.col("mark").alias("of_mark"), "spans")
     key = F.coalesce("doc_id", F.lit(FIRST))
     joined = texts.join(spans, (key == F.col("of")) & (F.col("mark") == F.col("of_mark")), "left").select("doc_id", "text", "spans")
