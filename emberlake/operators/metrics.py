@@ -32,13 +32,15 @@ def _falling(counts: DataFrame, by: list[str]) -> DataFrame:
     w = Window.partitionBy(*by)
     run = w.orderBy(F.desc("prob")).rowsBetween(Window.unboundedPreceding, 0)
     if not by:
-        counts = counts.withColumn("__range", F.floor(F.col("prob") * 256))
+        # ranges between quantiles of the distinct probabilities, which may crowd a small part of [0, 1]
+        cuts = sorted(set(counts.agg(F.percentile_approx("prob", [k / 64 for k in range(1, 64)], 2000)).first()[0] or [0.5]))
+        counts = counts.withColumn("__range", reduce(lambda a, b: a + b, [(F.col("prob") >= c).cast("int") for c in cuts]))
         sums = counts.groupBy("__range").agg(F.sum("n").alias("sn"), F.sum("n1").alias("s1"))
         above = Window.orderBy(F.desc("__range")).rowsBetween(Window.unboundedPreceding, -1)
         all_ = Window.partitionBy()
         sums = sums.select("__range", F.coalesce(F.sum("sn").over(above), F.lit(0)).alias("an"), F.coalesce(F.sum("s1").over(above), F.lit(0)).alias("a1"), F.sum("sn").over(all_).alias("total"), F.sum("s1").over(all_).alias("positives"))
         run = Window.partitionBy("__range").orderBy(F.desc("prob")).rowsBetween(Window.unboundedPreceding, 0)
-        df = counts.join(F.broadcast(sums), "__range")  # a row for each 256th part of [0, 1]
+        df = counts.join(F.broadcast(sums), "__range")  # a row for each range, 64 at most
         return df.select("prob", "n", "n1", (F.col("a1") + F.sum("n1").over(run)).alias("tp"), (F.col("an") - F.col("a1") + F.sum(F.col("n") - F.col("n1")).over(run)).alias("fp"), "total", "positives")
     return counts.select(*by, "prob", "n", "n1", F.sum("n1").over(run).alias("tp"), F.sum(F.col("n") - F.col("n1")).over(run).alias("fp"), F.sum("n").over(w).alias("total"), F.sum("n1").over(w).alias("positives"))
 
@@ -158,3 +160,21 @@ def hindcast_summary(scored: DataFrame, group: str = "grp") -> DataFrame:
     """Mean and sample standard deviation of the groups' metrics."""
     h = hindcast(scored, group)
     return h.agg(F.count(F.lit(1)).alias("n_groups"), *[F.round(f(c), 6).alias(f"{c}_{n}") for c in ("auc", "brier", "ece") for f, n in ((F.avg, "mean"), (F.stddev_samp, "std"))])
+
+
+def targets(results: DataFrame, burn_auc: float, ece: float) -> DataFrame:
+    """results (auc, ece) with what is met: discrimination at least `burn_auc`, calibration error under `ece`."""
+    return results.withColumn("burn_auc_met", F.col("auc") >= burn_auc).withColumn("ece_met", F.col("ece") < ece)
+
+
+def validate_year(parcels: DataFrame, year: int) -> DataFrame:
+    """One row: how well parcels' burn_prob_mean foretold the year's actually_burned."""
+    scored = parcels.select(F.col("burn_prob_mean").alias("prob"), F.col("actually_burned").cast("int").alias("label"))
+    return discrimination(scored).select(F.lit(year).alias("year"), "n", "n_positive", "auc", "brier").join(F.broadcast(calibration_error(scored).select("ece")))
+
+
+def report(results: DataFrame) -> DataFrame:
+    """Lines of a validation report: a row for each measure of each result."""
+    names = [c for c in results.columns if c != "year"]
+    each = F.explode(F.array(*[F.struct(F.lit(c).alias("measure"), F.col(c).cast("string").alias("value")) for c in names]))
+    return results.select("year", each.alias("m")).select("year", "m.measure", "m.value")

@@ -90,11 +90,10 @@ def santa_ana_days(weather: DataFrame) -> DataFrame:
 
 
 def days_since_rain(weather: DataFrame, threshold: float = RAIN, look_back: int = LOOK_BACK) -> DataFrame:
-    """Days since the last rain of at least `threshold` within the look-back, the look-back if there was none. Years are windows of their own plus the year before, so no task sees all days."""
+    """Days since the last rain of at least `threshold` within the look-back, the look-back if there was none. Years are windows of their own plus the year before, so no task sees all days. Rows that repeat a day each get theirs."""
     n = F.unix_date("day")
     rows = weather.withColumn("__n", n)
-    twice = rows.withColumn("__y", F.explode(F.array(F.year("day"), F.year(F.date_add("day", look_back)))))
-    twice = twice.dropDuplicates(["day", "__y"]) if "lat" not in weather.columns else twice.dropDuplicates(["day", "lat", "lon", "__y"])
+    twice = rows.withColumn("__y", F.explode(F.array_distinct(F.array(F.year("day"), F.year(F.date_add("day", look_back))))))
     by = [c for c in ("lat", "lon") if c in weather.columns]
     w = Window.partitionBy(*by, "__y").orderBy("__n").rangeBetween(-look_back, 0)
     last = F.max(F.when(F.col("pr") >= threshold, F.col("__n"))).over(w)
