@@ -4,7 +4,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..config import production
+from ..config import pilot, production
 from ..functions.grid import GridSpec, tile_bounds
 from ..functions.hashing import uniform
 from ..operators import fuel, holdout, metrics, ml, montecarlo, parcels, spread, terrain, weather
@@ -84,6 +84,12 @@ def landscape_layers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return g.select("row", "col", F.col("elevation").cast("smallint").cast("int").alias("elevation_i"), F.col("cover_i").cast("int").alias("cover_i"), F.col("height_dm").cast("int").alias("height_dm"))
 
 
+@query
+def canopy_layers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    g = fuel.canopy_layers(tables.grid(spark, sf_dir))
+    return g.select("row", "col", F.col("base_height_dm").cast("int").alias("base_height_dm"), F.col("bulk_density_i").cast("int").alias("bulk_density_i"))
+
+
 @query
 def raster_info(spark: SparkSession, sf_dir: str) -> DataFrame:
     g = tables.grid(spark, sf_dir)
@@ -179,7 +185,18 @@ def sampled_scenarios(spark: SparkSession, sf_dir: str) -> DataFrame:
     return weather.scenarios(_weather(spark, sf_dir), 1000).select("scenario_id", "day", "is_extreme")
 
 
+@query
+def weather_at_points(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(weather.nearest_cell(tables.weather_cells(spark, sf_dir), tables.places(spark, sf_dir)).select("id", "day", "tmmx", "vs", "rmin"), "tmmx", "vs", "rmin")
+
+
 # holding out
+@query
+def temporal_split(spark: SparkSession, sf_dir: str) -> DataFrame:
+    train, test = ml.temporal_split(tables.fires(spark, sf_dir), (1995, 1997), (1998, 1999), "alarm_date")
+    return train.select("fire_id", F.lit("train").alias("part")).unionByName(test.select("fire_id", F.lit("test").alias("part")))
+
+
 @query
 def holdout_split(spark: SparkSession, sf_dir: str) -> DataFrame:
     return holdout.split_by_year(tables.fires(spark, sf_dir)).select("fire_id", "year_", "holdout")
@@ -231,13 +248,9 @@ def hazard_zones(spark: SparkSession, sf_dir: str) -> DataFrame:
     return parcels.hazard_zones(tables.parcels(spark, sf_dir), tables.zones(spark, sf_dir)).select("apn", "fhsz", "zone_id", "hazard_rank")
 
 
-def _year_fires(spark, sf_dir):
-    return tables.fires(spark, sf_dir).where("gis_acres < 200")
-
-
 @query
 def burned_parcels(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return parcels.burned_flag(tables.parcels(spark, sf_dir), _year_fires(spark, sf_dir), 1997).select("apn", "actually_burned")
+    return parcels.burned_flag(tables.parcels(spark, sf_dir), tables.fires(spark, sf_dir), 1997).select("apn", "actually_burned")
 
 
 @query
@@ -263,16 +276,24 @@ def county_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def burned_mask(spark: SparkSession, sf_dir: str) -> DataFrame:
     world = tables.world(spark, sf_dir)
-    return parcels.burned_mask(_year_fires(spark, sf_dir), world)
+    return parcels.burned_mask(tables.fires(spark, sf_dir), world)
 
 
 @query
 def calibration_factor(spark: SparkSession, sf_dir: str) -> DataFrame:
     world = tables.world(spark, sf_dir)
-    mask = parcels.burned_mask(_year_fires(spark, sf_dir).where("year_ = 1997"), world)
+    mask = parcels.burned_mask(tables.fires(spark, sf_dir).where("year_ = 1997"), world)
     return montecarlo.calibration(mask, burn_cells(spark, sf_dir), world.nrows * world.ncols, 8)
 
 
+@query
+def year_validation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parcels' mean probability against the fires of a year, and whether the settings' targets are met."""
+    world, p, goal = tables.world(spark, sf_dir), tables.parcels(spark, sf_dir), production().validation
+    z = parcels.zonal_statistics(p, burn_cells(spark, sf_dir), "burn_probability", world)
+    return metrics.targets(metrics.validate_year(parcels.burned_flag(z, tables.fires(spark, sf_dir), 1997), 1997), goal.burn_auc, goal.ece)
+
+
 @query
 def tile_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = burn_cells(spark, sf_dir)
@@ -324,6 +345,15 @@ def monte_carlo(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(montecarlo.run(spark, _landscape(spark, sf_dir), world, production().monte_carlo), "raw_probability", "burn_probability")
 
 
+@query
+def tiled_monte_carlo(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The pilot's settings, tile by tile with halos."""
+    world, config = tables.world(spark, sf_dir), pilot().monte_carlo
+    iterations = spark.range(config.n_iterations).withColumnRenamed("id", "iteration")
+    fires = montecarlo.ignitions(montecarlo.default_weather(iterations, config), world, config)
+    return rounded(montecarlo.run_tiles(_terrain(spark, sf_dir), CELL, montecarlo.Tiling(40, 8), fires, config.n_iterations), "burn_probability")
+
+
 @query
 def burn_percentiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     world = tables.world(spark, sf_dir)
@@ -334,7 +364,7 @@ def burn_percentiles(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def ignition_points(spark: SparkSession, sf_dir: str) -> DataFrame:
     world = tables.world(spark, sf_dir)
-    f = tables.fires(spark, sf_dir).where("gis_acres > 5000")
+    f = tables.fires(spark, sf_dir)
     return rounded(montecarlo.ignition_points(f, tables.grid(spark, sf_dir), world), "x", "y")
 
 
@@ -346,7 +376,7 @@ def clipped_fuels(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def common_bounds(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(parcels.common_bounds(tables.fires(spark, sf_dir).where("gis_acres > 19000")), "minx", "miny", "maxx", "maxy")
+    return rounded(parcels.common_bounds(tables.fires(spark, sf_dir)), "minx", "miny", "maxx", "maxy")
 
 
 @query

@@ -3,7 +3,7 @@ from __future__ import annotations
 
 from ..functions.hashing import uniform_sql
 from ..operators.fuel import CROSSWALK, ROS
-from ..sources.tables import CELL, FIRES_SQL, GRID_SQL, PARCELS_SQL, SCORED_BY_DAY_SQL, SCORED_SQL, WEATHER_SQL, ZONES_SQL
+from ..sources.tables import CELL, FIRES_SQL, GRID_SQL, PARCELS_SQL, PLACES_SQL, ROWS_SQL, SCORED_BY_DAY_SQL, SCORED_SQL, WEATHER_CELLS_SQL, WEATHER_SQL, ZONES_SQL
 
 
 def _with(*parts: str, select: str) -> str:
@@ -65,7 +65,7 @@ f1 AS (SELECT *, count(*) OVER (PARTITION BY year_, c) AS n, count(*) OVER (PART
 split AS (SELECT *, k <= {q} AS holdout FROM f1)"""
 
 
-WORLD_CELLS = f"""cells AS (SELECT CAST(r AS INTEGER) AS "row", CAST(c AS INTEGER) AS col, 0.3::DOUBLE * {uniform_sql('burn', 'r', 'c')} AS burn_probability, 0.0::DOUBLE - (r + 0.5::DOUBLE) * 270.0::DOUBLE AS northing FROM range(40) AS a(r), range(50) AS b(c))"""
+WORLD_CELLS = f"""cells AS (SELECT CAST(r AS INTEGER) AS "row", CAST(c AS INTEGER) AS col, 0.3::DOUBLE * {uniform_sql('burn', 'r', 'c')} AS burn_probability, 0.0::DOUBLE - (r + 0.5::DOUBLE) * 270.0::DOUBLE AS northing FROM (SELECT unnest(range(CAST({ROWS_SQL} AS BIGINT))) AS r) AS a, range(50) AS b(c))"""
 TOUCH = """touch AS (SELECT p.*, k."row", k.col, k.burn_probability, k.northing FROM parcels p JOIN cells k ON k.col BETWEEN CAST(floor(minx / 270.0::DOUBLE) AS INTEGER) AND CAST(floor(maxx / 270.0::DOUBLE) AS INTEGER)
  AND k."row" BETWEEN CAST(floor((0.0::DOUBLE - maxy) / 270.0::DOUBLE) AS INTEGER) AND CAST(floor((0.0::DOUBLE - miny) / 270.0::DOUBLE) AS INTEGER))"""
 ZONAL = """zs AS (SELECT apn, avg(burn_probability) AS mean, max(burn_probability) AS mx, min(burn_probability) AS mn, stddev_pop(burn_probability) AS sd, quantile_cont(burn_probability, 0.5) AS med, count(*) AS n FROM touch GROUP BY 1),
@@ -78,8 +78,8 @@ INSIDE = """mask AS (SELECT DISTINCT k."row", k.col FROM fires f JOIN cells k ON
 
 
 def _bilinear() -> str:
-    corners = "\nUNION ALL ".join(f'SELECT r, c, least(greatest(CAST(floor(fy) AS INTEGER) + {a}, 0), 39) AS sr, least(greatest(CAST(floor(fx) AS INTEGER) + {b}, 0), 49) AS sc, ({"fy - floor(fy)" if a else "1 - (fy - floor(fy))"}) * ({"fx - floor(fx)" if b else "1 - (fx - floor(fx))"}) AS w FROM t' for a in (0, 1) for b in (0, 1))
-    return _with(GRID_SQL, "t AS (SELECT CAST(r AS INTEGER) AS r, CAST(c AS INTEGER) AS c, ((c + 0.5::DOUBLE) * 540.0::DOUBLE) / 270.0::DOUBLE - 0.5::DOUBLE AS fx, ((r + 0.5::DOUBLE) * 540.0::DOUBLE) / 270.0::DOUBLE - 0.5::DOUBLE AS fy FROM range(20) AS a(r), range(25) AS b(c))", f"s AS ({corners})", select='SELECT r AS "row", c AS col, round(sum(w * elevation) / sum(w), 6) AS elevation FROM s JOIN grid g ON g."row" = sr AND g.col = sc GROUP BY 1, 2')
+    corners = "\nUNION ALL ".join(f'SELECT r, c, least(greatest(CAST(floor(fy) AS INTEGER) + {a}, 0), {ROWS_SQL} - 1) AS sr, least(greatest(CAST(floor(fx) AS INTEGER) + {b}, 0), 49) AS sc, ({"fy - floor(fy)" if a else "1 - (fy - floor(fy))"}) * ({"fx - floor(fx)" if b else "1 - (fx - floor(fx))"}) AS w FROM t' for a in (0, 1) for b in (0, 1))
+    return _with(GRID_SQL, f"t AS (SELECT CAST(r AS INTEGER) AS r, CAST(c AS INTEGER) AS c, ((c + 0.5::DOUBLE) * 540.0::DOUBLE) / 270.0::DOUBLE - 0.5::DOUBLE AS fx, ((r + 0.5::DOUBLE) * 540.0::DOUBLE) / 270.0::DOUBLE - 0.5::DOUBLE AS fy FROM (SELECT unnest(range(CAST({ROWS_SQL} // 2 AS BIGINT))) AS r) AS a, range(25) AS b(c))", f"s AS ({corners})", select='SELECT r AS "row", c AS col, round(sum(w * elevation) / sum(w), 6) AS elevation FROM s JOIN grid g ON g."row" = sr AND g.col = sc GROUP BY 1, 2')
 
 
 def _poisson() -> str:
@@ -115,8 +115,11 @@ ORACLE_SQL = {
     "reference_grid": 'SELECT CAST(r AS INTEGER) AS "row", CAST(c AS INTEGER) AS col, round(-200000.0::DOUBLE + (c + 0.5::DOUBLE) * (100000.0::DOUBLE / 37), 6) AS x, round(100000.0::DOUBLE - (r + 0.5::DOUBLE) * (100000.0::DOUBLE / 37), 6) AS y FROM range(37) AS a(r), range(37) AS b(c)',
     "distance_to_roads": _with(GRID_SQL, 'f AS (SELECT "row" AS fr, col AS fc FROM grid WHERE "row" % 17 = 3 AND col % 11 = 5)', select='SELECT "row", col, round(least(sqrt(min(("row" - fr) * ("row" - fr) + (col - fc) * (col - fc))::DOUBLE) * 270.0::DOUBLE, 50000.0::DOUBLE), 6) AS distance FROM grid, f GROUP BY 1, 2'),
     "resample_bilinear": _bilinear(),
-    "resample_nearest": _with(GRID_SQL, select='SELECT CAST(r AS INTEGER) AS "row", CAST(c AS INTEGER) AS col, round(elevation, 6) AS elevation FROM range(20) AS a(r), range(25) AS b(c) LEFT JOIN grid g ON g."row" = CAST(floor((r + 0.5::DOUBLE) * 2) AS INTEGER) AND g.col = CAST(floor((c + 0.5::DOUBLE) * 2) AS INTEGER)'),
+    "resample_nearest": _with(GRID_SQL, select=f'SELECT CAST(r AS INTEGER) AS "row", CAST(c AS INTEGER) AS col, round(elevation, 6) AS elevation FROM (SELECT unnest(range(CAST({ROWS_SQL} // 2 AS BIGINT))) AS r) AS a, range(25) AS b(c) LEFT JOIN grid g ON g."row" = CAST(floor((r + 0.5::DOUBLE) * 2) AS INTEGER) AND g.col = CAST(floor((c + 0.5::DOUBLE) * 2) AS INTEGER)'),
     "fuel_mosaic": _with(GRID_SQL, select='SELECT "row", col, CASE WHEN col < 30 THEN fuel_model ELSE fuel_model + 1000 END AS fuel_model, CASE WHEN col < 30 THEN 1 ELSE 2 END AS tile FROM grid'),
+    "canopy_layers": _with(GRID_SQL, select='SELECT "row", col, CAST(trunc(canopy_base_height * 10.0::DOUBLE) AS INTEGER) AS base_height_dm, CAST(trunc(canopy_bulk_density * 100.0::DOUBLE) AS INTEGER) AS bulk_density_i FROM grid'),
+    "weather_at_points": _with(WEATHER_SQL, WEATHER_CELLS_SQL, PLACES_SQL, "n AS (SELECT id, w.lat, w.lon, row_number() OVER (PARTITION BY id ORDER BY (w.lat - p.lat) * (w.lat - p.lat) + (w.lon - p.lon) * (w.lon - p.lon)) AS k FROM pts p, places w)", select="SELECT p.id, p.day, round(tmmx, 6) AS tmmx, round(vs, 6) AS vs, round(rmin, 6) AS rmin FROM pts p JOIN n ON n.id = p.id AND n.k = 1 LEFT JOIN weather_cells w ON w.day = p.day AND w.lat = n.lat AND w.lon = n.lon"),
+    "temporal_split": _with(FIRES_SQL, select="SELECT fire_id, CASE WHEN year(alarm_date) BETWEEN 1995 AND 1997 THEN 'train' ELSE 'test' END AS part FROM fires WHERE year(alarm_date) BETWEEN 1995 AND 1999"),
     "fire_weather_index": _with(WEATHER_SQL, select=f"SELECT day, round(100.0::DOUBLE * (0.3::DOUBLE * {CLAMP.format(f'({TMAX_C} - 10.0::DOUBLE) / 30.0::DOUBLE')} + 0.4::DOUBLE * (1.0::DOUBLE - {CLAMP.format('rmin / 100.0::DOUBLE')}) + 0.3::DOUBLE * least(vs / 15.0::DOUBLE, 1.0::DOUBLE)) * CASE WHEN pr < 1 THEN 1.0::DOUBLE WHEN pr < 5 THEN 0.5::DOUBLE ELSE 0.2::DOUBLE END, 6) AS fwi FROM weather"),
     "weather_features": _with(WEATHER_SQL, f"x AS (SELECT *, CASE WHEN tmmx > 100 THEN {TMAX_C} ELSE tmmx END AS t FROM weather)", select="SELECT day, CAST(dayofyear(day) AS INTEGER) AS day_of_year, CAST(isodow(day) - 1 AS INTEGER) AS day_of_week, CAST(month(day) AS INTEGER) AS month, CAST((month(day) % 12) // 3 AS INTEGER) AS season, CAST(isodow(day) >= 6 AS INTEGER) AS is_weekend, round(6.112::DOUBLE * exp(17.67::DOUBLE * t / (t + 243.5::DOUBLE)) * (1.0::DOUBLE - rmin / 100.0::DOUBLE), 6) AS vpd, round(greatest(t - 10.0::DOUBLE, 0.0::DOUBLE) * (100.0::DOUBLE - rmin) * (1.0::DOUBLE + vs / 10.0::DOUBLE) / 1000.0::DOUBLE, 6) AS fwi FROM x"),
     "extreme_days": _with(WEATHER_SQL, select=f"SELECT day, {STREAM} AS stream, {GENERATOR} AS generator, {HIGH} AS high_wind FROM weather"),
@@ -139,18 +142,20 @@ ORACLE_SQL = {
     "zonal_statistics": _with(PARCELS_SQL, WORLD_CELLS, TOUCH, ZONAL, select="SELECT * FROM zonal"),
     "multi_raster_statistics": _with(PARCELS_SQL, WORLD_CELLS, TOUCH, select="SELECT p.apn, round(avg(burn_probability), 6) AS burn_probability_mean, round(max(burn_probability), 6) AS burn_probability_max, round(avg(northing), 6) AS northing_mean, round(max(northing), 6) AS northing_max FROM parcels p LEFT JOIN touch t ON t.apn = p.apn GROUP BY 1"),
     "hazard_zones": _with(PARCELS_SQL, ZONES_SQL, HAZARD, select="SELECT apn, fhsz, zone_id, hazard_rank FROM hazard"),
-    "burned_parcels": _with(PARCELS_SQL, FIRES_SQL, select=f"SELECT a.apn, EXISTS (SELECT 1 FROM fires b WHERE b.gis_acres < 200 AND b.year_ = 1997 AND {MEETS}) AS actually_burned FROM parcels a"),
+    "burned_parcels": _with(PARCELS_SQL, FIRES_SQL, select=f"SELECT a.apn, EXISTS (SELECT 1 FROM fires b WHERE b.year_ = 1997 AND {MEETS}) AS actually_burned FROM parcels a"),
     "parcel_output": _with(PARCELS_SQL, ZONES_SQL, WORLD_CELLS, TOUCH, ZONAL, HAZARD, select="SELECT apn, 2020 AS year, burn_prob_mean, burn_prob_max, burn_prob_std, fhsz, county FROM zonal JOIN hazard USING (apn)"),
     "parcels_by_county": _with(PARCELS_SQL, select="SELECT county, count(*) AS n_parcels FROM parcels GROUP BY 1"),
     "county_summary": _with(PARCELS_SQL, WORLD_CELLS, TOUCH, ZONAL, select="SELECT county, count(*) AS n_parcels, round(avg(burn_prob_mean), 6) AS mean, round(max(burn_prob_max), 6) AS max, count_if(burn_prob_mean > 0)::BIGINT AS n_exposed FROM zonal GROUP BY 1"),
-    "burned_mask": _with(FIRES_SQL, WORLD_CELLS, INSIDE.format("f.gis_acres < 200"), select='SELECT "row", col FROM mask'),
-    "calibration_factor": _with(FIRES_SQL, WORLD_CELLS, INSIDE.format("f.gis_acres < 200 AND f.year_ = 1997"), "o AS (SELECT count(*) / 2000.0::DOUBLE AS o FROM mask)", "p AS (SELECT sum(burn_probability) / 2000.0::DOUBLE AS p FROM cells)", "r AS (SELECT o, p, CASE WHEN o > 0 AND o < 1 THEN 1.0::DOUBLE - pow(1.0::DOUBLE - o, 0.125::DOUBLE) ELSE o / 8 END AS a FROM o, p)", select="SELECT round(o, 6) AS observed, round(a, 6) AS annual, round(p, 6) AS predicted, round(CASE WHEN a > 0 AND p > 0 THEN a / p ELSE 1.0::DOUBLE END, 6) AS factor FROM r"),
+    "burned_mask": _with(FIRES_SQL, WORLD_CELLS, INSIDE.format("true"), select='SELECT "row", col FROM mask'),
+    "calibration_factor": _with(FIRES_SQL, WORLD_CELLS, INSIDE.format("f.year_ = 1997"), "o AS (SELECT count(*) / (SELECT count(*) FROM cells)::DOUBLE AS o FROM mask)", "p AS (SELECT sum(burn_probability) / (SELECT count(*) FROM cells)::DOUBLE AS p FROM cells)", "r AS (SELECT o, p, CASE WHEN o > 0 AND o < 1 THEN 1.0::DOUBLE - pow(1.0::DOUBLE - o, 0.125::DOUBLE) ELSE o / 8 END AS a FROM o, p)", select="SELECT round(o, 6) AS observed, round(a, 6) AS annual, round(p, 6) AS predicted, round(CASE WHEN a > 0 AND p > 0 THEN a / p ELSE 1.0::DOUBLE END, 6) AS factor FROM r"),
+    "year_validation": _with(PARCELS_SQL, FIRES_SQL, WORLD_CELLS, TOUCH, ZONAL, f"scored AS (SELECT burn_prob_mean AS prob, CAST(EXISTS (SELECT 1 FROM fires b WHERE b.year_ = 1997 AND {MEETS}) AS INTEGER) AS label FROM zonal z JOIN parcels a USING (apn))", V, BINS, _discrimination(), "e AS (SELECT round(sum(n * abs(p - y)) / sum(n), 6) AS ece FROM b)",
+        select="SELECT 1997 AS year, n, n_positive, auc, brier, ece, auc >= 0.8 AS burn_auc_met, ece < 0.05 AS ece_met FROM m, e"),
     "tile_merge": _with(WORLD_CELLS, select='SELECT "row", col, round(CASE WHEN col < 20 THEN burn_probability WHEN col < 30 THEN (burn_probability + burn_probability / 2) / 2 ELSE burn_probability / 2 END, 6) AS burn_probability, CAST(CASE WHEN col BETWEEN 20 AND 29 THEN 2 ELSE 1 END AS BIGINT) AS n_tiles FROM cells'),
     "fuel_at_points": _with(FIRES_SQL, GRID_SQL, select='SELECT fire_id, coalesce(fuel_model, -1) AS value FROM fires LEFT JOIN grid g ON g."row" = CAST(floor((0.0::DOUBLE - (miny + maxy) / 2) / 270.0::DOUBLE) AS INTEGER) AND g.col = CAST(floor(((minx + maxx) / 2) / 270.0::DOUBLE) AS INTEGER)'),
-    "ignition_points": _with(FIRES_SQL, GRID_SQL, f"t0 AS (SELECT fire_id, k, CASE WHEN k = 0 THEN (minx + maxx) / 2 ELSE minx + (maxx - minx) * {uniform_sql('ix', 'fire_id', 'k')} END AS x, CASE WHEN k = 0 THEN (miny + maxy) / 2 ELSE miny + (maxy - miny) * {uniform_sql('iy', 'fire_id', 'k')} END AS y FROM fires, range(51) AS r(k) WHERE gis_acres > 5000)",
-        """t AS (SELECT t0.*, row_number() OVER (PARTITION BY fire_id ORDER BY k) AS n FROM t0 JOIN grid g ON g."row" = CAST(floor((0.0::DOUBLE - y) / 270.0::DOUBLE) AS INTEGER) AND g.col = CAST(floor(x / 270.0::DOUBLE) AS INTEGER) WHERE g."row" < 40 AND fuel_model BETWEEN 101 AND 204)""", select="SELECT fire_id, round(x, 6) AS x, round(y, 6) AS y FROM t WHERE n = 1"),
-    "clipped_fuels": _with(GRID_SQL, ZONES_SQL, select='SELECT "row", col, fuel_model FROM grid k WHERE "row" < 40 AND EXISTS (SELECT 1 FROM zones f WHERE (k.col + 0.5::DOUBLE) * 270.0::DOUBLE BETWEEN f.minx AND f.maxx AND 0.0::DOUBLE - (k."row" + 0.5::DOUBLE) * 270.0::DOUBLE BETWEEN f.miny AND f.maxy)'),
-    "common_bounds": _with(FIRES_SQL, select="SELECT round(max(minx), 6) AS minx, round(max(miny), 6) AS miny, round(min(maxx), 6) AS maxx, round(min(maxy), 6) AS maxy FROM fires WHERE gis_acres > 19000"),
+    "ignition_points": _with(FIRES_SQL, GRID_SQL, f"t0 AS (SELECT fire_id, k, CASE WHEN k = 0 THEN (minx + maxx) / 2 ELSE minx + (maxx - minx) * {uniform_sql('ix', 'fire_id', 'k')} END AS x, CASE WHEN k = 0 THEN (miny + maxy) / 2 ELSE miny + (maxy - miny) * {uniform_sql('iy', 'fire_id', 'k')} END AS y FROM fires, range(51) AS r(k))",
+        """t AS (SELECT t0.*, row_number() OVER (PARTITION BY fire_id ORDER BY k) AS n FROM t0 JOIN grid g ON g."row" = CAST(floor((0.0::DOUBLE - y) / 270.0::DOUBLE) AS INTEGER) AND g.col = CAST(floor(x / 270.0::DOUBLE) AS INTEGER) WHERE fuel_model BETWEEN 101 AND 204)""", select="SELECT fire_id, round(x, 6) AS x, round(y, 6) AS y FROM t WHERE n = 1"),
+    "clipped_fuels": _with(GRID_SQL, ZONES_SQL, select='SELECT "row", col, fuel_model FROM grid k WHERE EXISTS (SELECT 1 FROM zones f WHERE (k.col + 0.5::DOUBLE) * 270.0::DOUBLE BETWEEN f.minx AND f.maxx AND 0.0::DOUBLE - (k."row" + 0.5::DOUBLE) * 270.0::DOUBLE BETWEEN f.miny AND f.maxy)'),
+    "common_bounds": _with(FIRES_SQL, select="SELECT round(max(minx), 6) AS minx, round(max(miny), 6) AS miny, round(min(maxx), 6) AS maxx, round(min(maxy), 6) AS maxy FROM fires"),
     "poisson_ignitions": _poisson(),
     "weighted_ignitions": _with(GRID_SQL, f'w AS (SELECT "row", col, ln({uniform_sql("pick", chr(34) + "row" + chr(34), "col")} + 1.1102230246251565e-16::DOUBLE) / {ROS_OF} AS k FROM grid WHERE {ROS_OF} > 0)', 'n AS (SELECT *, row_number() OVER (PARTITION BY "row" ORDER BY k DESC, col) AS i FROM w)', select='SELECT "row", col FROM n WHERE i <= 4'),
     "daily_events": "SELECT CAST(ts AS DATE) AS day, count(*) AS n, round(avg(value), 6) AS mean, round(max(value), 6) AS max FROM events GROUP BY 1",

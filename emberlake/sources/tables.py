@@ -12,6 +12,7 @@ from ..functions.grid import GridSpec
 from ..functions.hashing import uniform, uniform_sql
 
 COLS, CELL = 50, 270.0
+PERIMETER = 32.0
 LEAST_ROWS = 40  # the rows that 2000 parts make
 # Fuel codes that the synthetic grid goes through, the last two not burnable.
 FUELS = (101, 102, 103, 104, 105, 106, 107, 108, 109, 121, 122, 123, 124, 141, 142, 143, 144, 145, 146, 147, 148, 149, 161, 162, 163, 164, 165, 181, 182, 183, 184, 185, 186, 187, 188, 189, 201, 202, 203, 204, 98, 99)
@@ -28,6 +29,11 @@ def world(spark: SparkSession, sf_dir: str) -> GridSpec:
     return GridSpec(0.0, -rows * CELL, COLS * CELL, 0.0, CELL)
 
 
+#: The rows of the world, and its southern bound.
+ROWS_SQL = f"(SELECT greatest({LEAST_ROWS}, coalesce(max(p_partkey), -1) // {COLS} + 1) FROM part)"
+SOUTH_SQL = f"(SELECT greatest({LEAST_ROWS}, coalesce(max(p_partkey), -1) // {COLS} + 1) * -{CELL}::DOUBLE FROM part)"
+
+
 def grid(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.col("p_partkey")
     return table(spark, sf_dir, "part").select(
@@ -37,12 +43,14 @@ def grid(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.element_at(F.array(*map(F.lit, FUELS)), (k % len(FUELS) + 1).cast("int")).alias("fuel_model"),
         F.least(F.col("p_size") * 2, F.lit(100)).alias("canopy_cover"),
         (F.col("p_size") * 0.5).alias("canopy_height"),
+        (F.col("p_size") * 0.125).alias("canopy_base_height"),
+        (F.col("p_size") / 128.0).alias("canopy_bulk_density"),
     )
 
 
 GRID_SQL = f"""grid AS (SELECT CAST(p_partkey // {COLS} AS INTEGER) AS "row", CAST(p_partkey % {COLS} AS INTEGER) AS col,
  (p_retailprice - 900.0::DOUBLE) * 10.0::DOUBLE AS elevation, ([{', '.join(map(str, FUELS))}])[CAST(p_partkey % {len(FUELS)} + 1 AS INTEGER)] AS fuel_model,
- least(p_size * 2, 100) AS canopy_cover, p_size * 0.5::DOUBLE AS canopy_height FROM part)"""
+ least(p_size * 2, 100) AS canopy_cover, p_size * 0.5::DOUBLE AS canopy_height, p_size * 0.125::DOUBLE AS canopy_base_height, p_size / 128.0::DOUBLE AS canopy_bulk_density FROM part)"""
 
 
 def weather(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -76,19 +84,19 @@ weather AS (SELECT day, 285.0::DOUBLE + 30.0::DOUBLE * {_u('tmmx')} AS tmmx, 275
 
 
 def fires(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Square perimeters of the given acreage."""
+    """Square perimeters; of the acreage, a core of one part in PERIMETER * PERIMETER, so that a year's fires leave some of the world unburned at any scale."""
     v, k = F.col("o_totalprice") / 500000.0, F.col("o_orderkey")
     df = table(spark, sf_dir, "orders").select(
         k.alias("fire_id"), F.year("o_orderdate").alias("year_"), (v * v * v * 20000.0).alias("gis_acres"), F.to_date("o_orderdate").alias("alarm_date"), (13500.0 * uniform("fx", k)).alias("cx"), (world(spark, sf_dir).miny * uniform("fy", k)).alias("cy")
     )
-    half = F.sqrt(F.col("gis_acres") * 4046.86) / 2.0
+    half = F.sqrt(F.col("gis_acres") * 4046.86) / (2.0 * PERIMETER)
     return df.select("fire_id", "year_", "gis_acres", "alarm_date", (F.col("cx") - half).alias("minx"), (F.col("cy") - half).alias("miny"), (F.col("cx") + half).alias("maxx"), (F.col("cy") + half).alias("maxy"))
 
 
 FIRES_SQL = f"""fires0 AS (SELECT o_orderkey AS fire_id, CAST(year(o_orderdate) AS INTEGER) AS year_, (o_totalprice / 500000.0::DOUBLE) * (o_totalprice / 500000.0::DOUBLE) * (o_totalprice / 500000.0::DOUBLE) * 20000.0::DOUBLE AS gis_acres,
- CAST(o_orderdate AS DATE) AS alarm_date, 13500.0::DOUBLE * {uniform_sql('fx', 'o_orderkey')} AS cx, -10800.0::DOUBLE * {uniform_sql('fy', 'o_orderkey')} AS cy FROM orders),
-fires AS (SELECT fire_id, year_, gis_acres, alarm_date, cx - sqrt(gis_acres * 4046.86::DOUBLE) / 2.0::DOUBLE AS minx, cy - sqrt(gis_acres * 4046.86::DOUBLE) / 2.0::DOUBLE AS miny,
- cx + sqrt(gis_acres * 4046.86::DOUBLE) / 2.0::DOUBLE AS maxx, cy + sqrt(gis_acres * 4046.86::DOUBLE) / 2.0::DOUBLE AS maxy FROM fires0)"""
+ CAST(o_orderdate AS DATE) AS alarm_date, 13500.0::DOUBLE * {uniform_sql('fx', 'o_orderkey')} AS cx, {SOUTH_SQL} * {uniform_sql('fy', 'o_orderkey')} AS cy FROM orders),
+fires AS (SELECT fire_id, year_, gis_acres, alarm_date, cx - sqrt(gis_acres * 4046.86::DOUBLE) / {2 * PERIMETER}::DOUBLE AS minx, cy - sqrt(gis_acres * 4046.86::DOUBLE) / {2 * PERIMETER}::DOUBLE AS miny,
+ cx + sqrt(gis_acres * 4046.86::DOUBLE) / {2 * PERIMETER}::DOUBLE AS maxx, cy + sqrt(gis_acres * 4046.86::DOUBLE) / {2 * PERIMETER}::DOUBLE AS maxy FROM fires0)"""
 
 
 def parcels(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -99,7 +107,7 @@ def parcels(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 PARCELS_SQL = f"""parcels0 AS (SELECT CAST(c_custkey AS VARCHAR) AS apn, n_name AS county, 13000.0::DOUBLE * {uniform_sql('px', 'c_custkey')} AS minx,
- -10500.0::DOUBLE * {uniform_sql('py', 'c_custkey')} - 300.0::DOUBLE AS miny, 100.0::DOUBLE + 400.0::DOUBLE * {uniform_sql('ps', 'c_custkey')} AS side FROM customer LEFT JOIN nation ON c_nationkey = n_nationkey),
+ ({SOUTH_SQL} + 300.0::DOUBLE) * {uniform_sql('py', 'c_custkey')} - 300.0::DOUBLE AS miny, 100.0::DOUBLE + 400.0::DOUBLE * {uniform_sql('ps', 'c_custkey')} AS side FROM customer LEFT JOIN nation ON c_nationkey = n_nationkey),
 parcels AS (SELECT apn, county, minx, miny, minx + side AS maxx, miny + side AS maxy FROM parcels0)"""
 
 
@@ -111,7 +119,7 @@ def zones(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 ZONES_SQL = f"""zones AS (SELECT n_nationkey AS zone_id, (['Very High', 'High', 'Moderate', 'Other', 'High'])[n_regionkey + 1] AS haz_class, 11000.0::DOUBLE * {uniform_sql('zx', 'n_nationkey')} AS minx,
- -9000.0::DOUBLE * {uniform_sql('zy', 'n_nationkey')} - 1800.0::DOUBLE AS miny, 11000.0::DOUBLE * {uniform_sql('zx', 'n_nationkey')} + 2500.0::DOUBLE AS maxx, -9000.0::DOUBLE * {uniform_sql('zy', 'n_nationkey')} - 1800.0::DOUBLE + 1800.0::DOUBLE AS maxy FROM nation)"""
+ ({SOUTH_SQL} + 1800.0::DOUBLE) * {uniform_sql('zy', 'n_nationkey')} - 1800.0::DOUBLE AS miny, 11000.0::DOUBLE * {uniform_sql('zx', 'n_nationkey')} + 2500.0::DOUBLE AS maxx, ({SOUTH_SQL} + 1800.0::DOUBLE) * {uniform_sql('zy', 'n_nationkey')} - 1800.0::DOUBLE + 1800.0::DOUBLE AS maxy FROM nation)"""
 
 
 def scored(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -127,3 +135,36 @@ def scored_by_day(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 SCORED_BY_DAY_SQL = "scored AS (SELECT CAST(day(ts) AS INTEGER) AS grp, CAST(event_type = 'error' AS INTEGER) AS label, least(value / 500.0::DOUBLE, 1.0::DOUBLE) AS prob FROM events)"
+
+
+LATS, LONS = (38.0, 38.5, 39.0), (-123.0, -122.5, -122.0)
+
+
+def weather_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The days' weather on a small regular grid of places; wind and temperature differ by place."""
+    places = F.explode(F.array(*[F.struct(F.lit(a).alias("lat"), F.lit(b).alias("lon"), F.lit(float(i * len(LONS) + j)).alias("k")) for i, a in enumerate(LATS) for j, b in enumerate(LONS)]))
+    w = weather(spark, sf_dir).withColumn("place", places)
+    return w.select("day", "place.lat", "place.lon", (F.col("tmmx") + F.col("place.k")).alias("tmmx"), (F.col("vs") + F.col("place.k") / 8.0).alias("vs"), "rmin", "th", "pr", "erc")
+
+
+WEATHER_CELLS_SQL = f"""places AS (SELECT lat, lon, (i * {len(LONS)} + j)::DOUBLE AS k FROM (SELECT unnest([{', '.join(map(str, LATS))}])::DOUBLE AS lat, unnest(range({len(LATS)})) AS i), (SELECT unnest([{', '.join(map(str, LONS))}])::DOUBLE AS lon, unnest(range({len(LONS)})) AS j)),
+weather_cells AS (SELECT day, lat, lon, tmmx + k AS tmmx, vs + k / 8.0::DOUBLE AS vs, rmin, th, pr, erc FROM weather, places)"""
+
+
+def places(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A place and a day for each customer, some outside the grid of places."""
+    k = F.col("c_custkey")
+    day = F.date_add(F.lit("1996-01-01").cast("date"), (k % 365).cast("int"))
+    return table(spark, sf_dir, "customer").select(k.alias("id"), (F.lit(37.8) + 1.4 * uniform("lat", k)).alias("lat"), (F.lit(-123.2) + 1.4 * uniform("lon", k)).alias("lon"), day.alias("day"))
+
+
+PLACES_SQL = f"pts AS (SELECT c_custkey AS id, 37.8::DOUBLE + 1.4::DOUBLE * {uniform_sql('lat', 'c_custkey')} AS lat, -123.2::DOUBLE + 1.4::DOUBLE * {uniform_sql('lon', 'c_custkey')} AS lon, CAST(DATE '1996-01-01' + CAST(c_custkey % 365 AS INTEGER) AS DATE) AS day FROM customer)"
+
+VIEWS = {"grid": grid, "weather_daily": weather, "weather_cells": weather_cells, "fires": fires, "parcels": parcels, "zones": zones, "scored": scored}
+
+
+def register(spark: SparkSession, sf_dir: str) -> list[str]:
+    """Makes the domain tables temporary views, for Spark SQL; returns their names."""
+    for name, make in VIEWS.items():
+        make(spark, sf_dir).createOrReplaceTempView(name)
+    return [*VIEWS]
