@@ -1,6 +1,7 @@
 """Properties and hand-checked values of the engine's operators."""
 import datetime as dt
 import math
+import shutil
 
 import numpy as np
 import pytest
@@ -50,7 +51,9 @@ def test_calibration_and_skill(spark):
     assert 0 <= metrics.calibration_error(s).first().ece < 0.5
     assert metrics.skill(s).first().bss > 0
     assert metrics.skill(s.limit(0)).count() == 0
-    curve = metrics.roc_curve(s).orderBy(F.desc("threshold")).collect()
+    curve = metrics.roc_curve(s).orderBy(F.desc("threshold"), "tp", "fp").collect()  # rounded thresholds may tie
+    falling = np.argsort(-p)
+    assert [(r.tp, r.fp) for r in curve] == sorted(zip(np.cumsum(y[falling]).tolist(), np.cumsum(1 - y[falling]).tolist()))
     assert all(a.tpr <= b.tpr and a.fpr <= b.fpr for a, b in zip(curve, curve[1:], strict=False)) and curve[-1].tpr == 1.0
 
 
@@ -173,6 +176,17 @@ def test_spread_equals_visiting_in_order(wind, cell):
     assert (np.isfinite(got) == np.isfinite(want)).all() and np.allclose(got[np.isfinite(got)], want[np.isfinite(want)])
 
 
+def test_many_fires_at_once_are_each_by_itself():
+    rng = np.random.default_rng(8)
+    land = spread.Landscape.of(rng.choice([101, 104, 98, 165], (13, 9)), rng.uniform(0, 30, (13, 9)), rng.uniform(0, 360, (13, 9)), 90.0)
+    rows, cols = rng.integers(-1, 14, 40), rng.integers(-1, 10, 40)
+    sim, r, c, a = spread.spread_many(land, rows, cols, 6.0, 200.0, 240.0)
+    for k in range(40):
+        y, x, t = spread.spread(land, int(rows[k]), int(cols[k]), 6.0, 200.0, 240.0)
+        mine = sim == k
+        assert sorted(zip(r[mine], c[mine], a[mine])) == sorted(zip(y, x, t))
+
+
 def test_spread_edges():
     land = spread.Landscape.of(np.full((3, 3), 98), np.zeros((3, 3)), np.zeros((3, 3)), 270.0)
     assert len(spread.spread(land, 1, 1, 0.0, 0.0, 480.0)[0]) == 1
@@ -339,3 +353,145 @@ def test_all_fires_and_days_are_used(spark, monkeypatch):
     lit = fires.select(world.row_of(y).alias("row"), world.col_of(x).alias("col")).join(cells, ["row", "col"])
     assert t.where("label = 1").count() == lit.count() > 0
     assert t.where("label = 0 AND erc >= 50").count() > 0
+
+
+def test_positions_are_those_of_the_order(spark, monkeypatch):
+    from emberlake.functions import order
+    from emberlake.functions.hashing import uniform
+
+    monkeypatch.setattr(order, "EACH", 16)
+    df = spark.range(300).select((F.col("id") % 100).alias("id"), (F.col("id") % 3).alias("g"))
+    got = order.positions(df.distinct(), uniform("p", F.col("id")), "id", by=("g",)).withColumn("u", uniform("p", F.col("id"))).collect()
+    for g in range(3):
+        rows = sorted((r for r in got if r.g == g), key=lambda r: (r.u, r.id))
+        assert [r.position for r in rows] == list(range(len(rows))) and len(rows) == 100
+
+
+def test_split_and_folds(spark):
+    from emberlake.operators import ml
+
+    df = spark.range(500).select(F.col("id").alias("key"), (F.col("id") % 5 == 0).cast("int").alias("label"))
+    train, test = ml.split(df, "key")
+    assert sorted((r.label, r["count"]) for r in test.groupBy("label").count().collect()) == [(0, 80), (1, 20)]
+    assert train.count() == 400 and train.join(test, "key").count() == 0
+    sizes = ml.folds(df, "key").groupBy("fold", "label").count().collect()
+    assert len(sizes) == 10 and {r["count"] for r in sizes if r.label} == {20}
+
+
+def test_cross_validation(spark):
+    from emberlake.operators import ml
+
+    df = spark.range(200).select(F.col("id").alias("key"), (F.col("id") % 2).cast("int").alias("label"), ((F.col("id") % 2) * 2 + F.rand(1)).alias("x"))
+    got = ml.cross_validate(df, "key", ["x"], k=2, numTrees=5, maxDepth=3).first()
+    assert got.auc_mean == 1.0 and got.auc_std == 0.0
+
+
+def test_distance_in_wide_grids(spark):
+    g = spark.range(3 * 90).select((F.col("id") % 3).cast("int").alias("row"), F.floor(F.col("id") / 3).cast("int").alias("col"))
+    feature = [(0, 2), (2, 40), (1, 41)]
+    f = spark.createDataFrame(feature, "row int, col int")
+    for cap in (5.0, 20.0, 1000.0):
+        got = terrain.distance(g, f, 1.0, cap).collect()
+        assert len(got) == 270
+        for r in got:
+            assert math.isclose(r.distance, min(cap, min(math.hypot(r.row - a, r.col - b) for a, b in feature)), abs_tol=1e-9)
+
+
+def test_tiles_of_a_landscape(spark):
+    from emberlake.operators import montecarlo, spread
+
+    rng = np.random.default_rng(3)
+    n = 24
+    rows = [(r, c, int(rng.choice([101, 102, 98])), float(rng.uniform(0, 20)), float(rng.uniform(0, 360))) for r in range(n) for c in range(n)]
+    cells = spark.createDataFrame(rows, "row int, col int, fuel_model int, slope double, aspect double")
+    fires = spark.createDataFrame([(k, int(rng.integers(n)), int(rng.integers(n)), 5.0 + k % 2, 270.0, 240) for k in range(12)], "scenario_id long, ignition_row int, ignition_col int, wind_speed double, wind_direction double, duration_min int")
+    whole = spread.simulate_counts(fires, spread.landscape(cells, 270.0))
+    one = {(r.row, r.col): r.burn_probability * 12 for r in montecarlo.run_tiles(cells, 270.0, montecarlo.Tiling(100, 5), fires, 12).collect()}
+    assert len(one) == n * n
+    want = {(r.row, r.col): r.burn_count for r in whole.collect()}
+    assert all(math.isclose(x, want.get(k, 0), abs_tol=1e-9) for k, x in one.items()) and want
+    several = montecarlo.run_tiles(cells, 270.0, montecarlo.Tiling(8, 3), fires, 12).collect()
+    assert len(several) == n * n and max(r.n_tiles for r in several) == 4 and 0 < max(r.burn_probability for r in several) <= 1
+
+
+def test_few_cells_take_all_the_ignitions_wanted(spark):
+    from emberlake.functions.grid import GridSpec
+    from emberlake.operators import montecarlo
+
+    config = montecarlo.MonteCarloConfig(n_iterations=20, ignition_rate=1e6)
+    w = montecarlo.default_weather(spark.range(20).withColumnRenamed("id", "iteration"), config)
+    got = montecarlo.ignitions(w, GridSpec(0.0, 0.0, 810.0, 1080.0, 270.0), config).groupBy("iteration").agg(F.countDistinct("ignition_row", "ignition_col").alias("n"), F.count(F.lit(1)).alias("m")).collect()
+    assert len(got) == 20 and all(r.n == r.m == 10 for r in got)
+
+
+def test_albers(spark):
+    from emberlake.functions.grid import GridSpec
+    from emberlake.functions.projection import Albers, reproject
+
+    a = Albers()
+    p = spark.createDataFrame([(-120.0, 38.0), (-123.4, 41.9), (-114.2, 32.6), (-122.45, 38.3)], "lon double, lat double")
+    x, y = a.forward(F.col("lon"), F.col("lat"))
+    p = p.withColumn("x", x).withColumn("y", y)
+    lon, lat = a.inverse(F.col("x"), F.col("y"))
+    for r in p.withColumn("lon2", lon).withColumn("lat2", lat).collect():
+        assert abs(r.lon - r.lon2) < 1e-9 and abs(r.lat - r.lat2) < 1e-7
+        assert (r.x > 0) == (r.lon > -120) or r.lon == -120
+    # a metre on the ground is a metre on the map, near a standard parallel: a minute of latitude at 34 degrees is 1848.9 m
+    q = spark.createDataFrame([(34.0,), (34.0 + 1 / 60,)], "lat double")
+    north = [r.y for r in q.select(a.forward(F.lit(-120.0), F.col("lat"))[1].alias("y")).collect()]
+    assert abs(north[1] - north[0] - 1848.9) < 1.0
+    source = GridSpec(-123.0, 38.0, -122.0, 39.0, 0.1)
+    cells = source.cells(spark).select("row", "col", (F.col("row") * 100 + F.col("col")).alias("v"))
+    x0, y0 = p.select(*[c.alias(n) for c, n in zip(a.forward(F.lit(-122.5), F.lit(38.5)), "xy")]).first()
+    got = reproject(cells, "v", source, GridSpec(x0 - 500, y0 - 500, x0 + 500, y0 + 500, 500.0), a).collect()
+    assert len(got) == 4 and {r.v for r in got} <= {404, 405, 504, 505}
+
+
+def test_tables_are_loaded_by_contract(spark, tmp_path):
+    from emberlake.sources import readers, tables
+
+    path = str(tmp_path / "p.csv")
+    with open(path, "w") as f:
+        f.write("PARCELID,County,minx,miny,maxx,maxy,extra\n1,Sonoma,0,0,1,1,a\n2,Napa,5,5,6,6,b\n3,Sonoma,9,9,10,10,c\n")
+    df = readers.load(spark, "parcels", path)
+    assert dict(df.dtypes)["apn"] == "string" and dict(df.dtypes)["minx"] == "double" and "extra" in df.columns
+    assert [r.apn for r in readers.load(spark, "parcels", path, county="Sonoma").orderBy("apn").collect()] == ["1", "3"]
+    assert [r.apn for r in readers.load(spark, "parcels", path, bounds=(0.5, 0.5, 5.5, 5.5)).orderBy("apn").collect()] == ["1", "2"]
+    with pytest.raises(KeyError, match="x0"):
+        readers.load(spark, "roads", path)
+    lines = spark.createDataFrame([(7, 0.0, 0.0, 4.0, 4.0), (8, 9.0, 9.0, 8.0, 8.0)], "osm_id long, x0 double, y0 double, x1 double, y1 double")
+    lines.write.parquet(str(tmp_path / "roads"))
+    assert [r.road_id for r in readers.load(spark, "roads", str(tmp_path / "roads"), bounds=(8.5, 8.5, 9.5, 9.5)).collect()] == ["8"]
+    assert "fires" in tables.register(spark, f"{DATA}/sf0.001")
+    assert spark.sql("SELECT year_, count(*) AS n FROM fires GROUP BY year_").agg(F.sum("n")).first()[0] == 1500
+
+
+def test_targets_and_report(spark):
+    from emberlake.operators import metrics
+
+    p = spark.createDataFrame([(k, (k % 10) / 10.0, k % 10 > 6) for k in range(100)], "apn int, burn_prob_mean double, actually_burned boolean")
+    out = metrics.targets(metrics.validate_year(p, 2020), 0.8, 0.05)
+    got = out.first()
+    assert (got.year, got.n, got.n_positive, got.auc, got.burn_auc_met, got.ece_met) == (2020, 100, 30, 1.0, True, False)
+    lines = {r.measure: r.value for r in metrics.report(out).collect()}
+    assert lines["auc"] == "1.0" and lines["burn_auc_met"] == "true"
+
+
+def test_canopy_layers(spark):
+    from emberlake.operators import fuel
+
+    g = spark.createDataFrame([(2.55, 0.129), (-1.0, 0.0), (None, 0.4)], "canopy_base_height double, canopy_bulk_density double")
+    assert [(r.base_height_dm, r.bulk_density_i) for r in fuel.canopy_layers(g).collect()] == [(25, 12), (0, 0), (0, 40)]
+
+
+def test_daily_summary_of_a_stream(spark, tmp_path):
+    from emberlake.streaming.daily import daily_summary
+
+    schema = spark.read.parquet(f"{DATA}/sf0.001/events.parquet").schema
+    (tmp_path / "in").mkdir()
+    shutil.copy(f"{DATA}/sf0.001/events.parquet", tmp_path / "in")
+    stream = spark.readStream.schema(schema).parquet(str(tmp_path / "in"))
+    run = daily_summary(stream).writeStream.format("memory").queryName("daily").outputMode("update").trigger(availableNow=True).start()
+    run.awaitTermination(60)
+    want = {r.day: r.n for r in daily_summary(spark.read.parquet(f"{DATA}/sf0.001/events.parquet")).collect()}
+    assert {r.day: r.n for r in spark.sql("SELECT day, max(n) AS n FROM daily GROUP BY day").collect()} == want
