@@ -19,7 +19,7 @@ def size_of(text: Column) -> Column:
 
 def numbered(df: DataFrame, work: Workspace, *order: Column) -> DataFrame:
     """df with column `place`, its 0-based position in the order; sorted in ranges, so no task sees all rows."""
-    ranged = work.save(df.repartitionByRange(8, *order).withColumn("__part", F.spark_partition_id()))
+    ranged = work.save(df.repartitionByRange(*order).withColumn("__part", F.spark_partition_id()))
     counts = ranged.groupBy("__part").count()
     before = counts.select("__part", F.coalesce(F.sum("count").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__before"))
     within = F.row_number().over(Window.partitionBy("__part").orderBy(*order)) - 1
@@ -127,18 +127,20 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), shard_rows: int =
 def mixed(docs: DataFrame, **options) -> DataFrame:
     """docs as the mix takes them: each row once for every full round, and once more with the words of its last, partial round.
 
-    Rows that the mix leaves out go. Text that is cut keeps the bytes between the words it keeps; n_chars, where it exists, follows.
+    Rows that the mix leaves out go: those without words (null and empty texts), and those past their source's
+    target. Text that is cut keeps the bytes between the words it keeps; n_chars, where it exists, follows.
+    All columns stay, whatever their names. Rows alike in all columns are taken each for itself.
     """
     columns = docs.columns
     work = Workspace(docs.sparkSession, "mixed")
     key = F.xxhash64(F.coalesce("text", F.lit("")), *[F.col("`" + c + "`").cast("string") for c in columns if c not in ("doc_id", "text")])
     docs = docs.withColumn("__key", key)
     taken = mix(docs, extra=["__key"], **options).where("taken > 0")
-    taken = work.save(taken.groupBy("doc_id", "__key").agg(F.sum("taken").alias("__taken"), F.count(F.lit(1)).alias("__rows"), F.first("first").alias("__first"), F.first("size").alias("__size")))
-    out = docs.join(taken.withColumnsRenamed({"doc_id": "__id", "__key": "__k"}), docs["doc_id"].eqNullSafe(F.col("__id")) & (docs["__key"] == F.col("__k")))
-    # rows alike in every column share what they take evenly; the remainder is theirs together
-    share = F.floor(F.col("__taken") / F.col("__rows"))
-    full, part = F.floor(share / F.col("__size")), share % F.col("__size")
+    taken = work.save(taken.select(F.col("doc_id").alias("__id"), F.col("__key").alias("__k"), F.col("taken").alias("__taken"), F.col("first").alias("__first"), F.col("size").alias("__size")))
+    # rows alike in all columns are one here, and each of them that the mix takes meets it
+    one = docs.dropDuplicates(["doc_id", "__key"])
+    out = one.join(taken, one["doc_id"].eqNullSafe(F.col("__id")) & (one["__key"] == F.col("__k")))
+    full, part = F.floor(F.col("__taken") / F.col("__size")), F.col("__taken") % F.col("__size")
     out = out.withColumn("__full", full).withColumn("__part", part)
     copies = F.concat(F.array_repeat(F.lit(False), F.col("__full").cast("int")), F.array_repeat(F.lit(True), F.when(F.col("__part") > 0, 1).otherwise(0)))
     out = out.withColumn("__cut", F.explode(copies))
