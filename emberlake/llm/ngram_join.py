@@ -1,51 +1,98 @@
 """Jaccard join of word n-gram sets: universe partitioning with one-deletion neighbourhoods, exact verification, components.
 
 Two sets of sizes a and b with Jaccard similarity of at least P/100 differ in at most
-(100-P)/(100+P) * (a+b) elements. A band of sizes has a bound H on that difference. Hashing the
-universe into G = ceil((H+1)/2) groups of segments leaves a group with one difference at most
-(pigeonhole), which lies in one of the group's segments: without that segment the groups are equal.
-So each set indexes, for each group, all subsets of its segments that leave one out. How many
-segments a group has is chosen by cost: more segments make longer, rarer subsets, but more of them.
+(100-P)/(100+P) * (a+b) elements. A band of sizes has a bound H on that difference. The universe is
+hashed into groups of segments. A set probes with the N = ceil((H+1)/2) groups that it fills best:
+if it differed from its partner by two elements in each, that would be more than H (pigeonhole). So
+in one of them the two differ by one element at most, which lies in one segment, and without that
+segment the groups are equal. Each set indexes, for each group, all subsets of its segments that
+leave one out. There are more groups than N, so a set need not probe with those that it hardly
+fills, whose subsets many unlike sets share. How many segments a group has is chosen by cost: more
+segments make longer, rarer subsets, but more of them. Where H is two at most, the whole set is one
+group, and the subsets leave out up to H elements.
 """
 from __future__ import annotations
 
+import hashlib
 from functools import partial
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .kernels import U, chunks, column_of, dealt, grouped, longs, mix, pack, runs, unpack, words
+from .kernels import ROOT_2, U, chunks, column_of, dealt, grouped, lean, mix, pack, runs, squeezed, unpack, unsqueezed, words
 from .quotient import bitmap, hit
-from .workspace import Workspace, slices
+from .workspace import Workspace, slices, slices_by_size
 
 #: Cost of testing one pair of sketches, in index entries; and the share of all sets in one band.
 PAIR_COST, BAND_SHARE = 0.02, 0.25
+SEGMENTS = (3, 4, 6)
+SPARE = 5  # one group more for each so many that a set must probe with
+CHUNK = 1 << 20  # bytes of text whose sets are made at once
+TOGETHER = 1 << 20  # index entries that a task gathers before it deals them out
+WIDER = 8  # pairs of a set that the first round of a bucket verifies, and by how much further rounds grow
+FEW_LINKS = 1000  # new links that needn't change components before the next round
+FEW = 100_000  # ids that may be broadcast: some megabytes
+LEADERS = 1 << 16  # sets that a task remembers to tell copies by
 PLACE = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3], U)
 
 
-def sets_of(data: np.ndarray, offs: np.ndarray, n: int) -> list[np.ndarray]:
-    """For each text the sorted distinct hashes of its n-word shingles; of all words as one, if there are fewer."""
-    _, _, doc, h = words(data, offs)
-    rows = len(offs) - 1
-    bounds = np.searchsorted(doc, np.arange(rows + 1))
+def _weights(n: int) -> np.ndarray:
+    """An odd factor for each place in a shingle."""
+    k = np.arange(n)
+    return PLACE[k % len(PLACE)] ** (1 + k // len(PLACE)).astype(U)
+
+
+def _shingles(h: np.ndarray, n: int) -> np.ndarray:
     many = max(0, len(h) - n + 1)
     s = np.zeros(many, U)
-    for k in range(n if many else 0):
-        s += h[k : k + many] * PLACE[k % len(PLACE)] ** U(1 + k // len(PLACE))
-    s = mix(s)
+    for k, w in enumerate(_weights(n if many else 0)):
+        s += h[k : k + many] * w
+    return mix(s)
+
+
+def sets_of(data: np.ndarray, offs: np.ndarray, n: int) -> list[tuple[np.ndarray, np.ndarray]]:
+    """For each text the distinct n-word shingles, of all words as one if there are fewer: 128 bits each, as two arrays in order of the first."""
+    _, _, doc, first = words(data, offs)
+    second = words(data, offs, ROOT_2)[3]
+    bounds = np.searchsorted(doc, np.arange(len(offs)))
+    x, y = _shingles(first, n), _shingles(second, n)
     out = []
-    for a, b in zip(bounds[:-1], bounds[1:], strict=True):
+    for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
         if b - a >= n:
-            out.append(np.unique(s[a : b - n + 1]))
+            p, q = x[a : b - n + 1], y[a : b - n + 1]
+            order = np.argsort(p)
+            p, q = p[order], q[order]
+            same = p[1:] == p[:-1]
+            if (same & (q[1:] != q[:-1])).any():  # unlike shingles with one first hash
+                order = np.lexsort((q, p))
+                p, q = p[order], q[order]
+                same = p[1:] == p[:-1]
+            fresh = np.concatenate([[True], ~same | (q[1:] != q[:-1])])
+            out.append((p[fresh], q[fresh]))
         elif b > a:
-            out.append(mix((h[a:b] * PLACE[: b - a]).sum(keepdims=True) ^ U(int(b - a))))
+            out.append(tuple(mix((h[a:b] * _weights(b - a)).sum(keepdims=True) ^ U(b - a)) for h in (first, second)))
         else:
-            out.append(s[:0])
+            out.append((x[:0], y[:0]))
     return out
 
 
+def shared(p: tuple, q: tuple) -> int:
+    """How many elements two sets share."""
+    if len(p[0]) > len(q[0]):
+        p, q = q, p
+    if not len(p[0]):
+        return 0
+    at = np.searchsorted(q[0], p[0])
+    at[at == len(q[0])] = 0
+    both = q[0][at] == p[0]
+    sure = q[1][at] == p[1]
+    if (both & ~sure).any():
+        return len(set(zip(*map(np.ndarray.tolist, p), strict=True)) & set(zip(*map(np.ndarray.tolist, q), strict=True)))
+    return int(both.sum())
+
+
 class Scheme:
     """Bands of set sizes, and each band's groups and segments."""
 
@@ -54,47 +101,75 @@ class Scheme:
         while hi[-1] < largest:
             hi.append(max(hi[-1] + 1, hi[-1] * 100 // percent))
         self.percent, self.hi = percent, np.array(hi, np.int64)
-        differ = 2 * (100 - percent) * self.hi // (100 + percent)
-        self.groups = np.maximum(1, (differ + 2) // 2)
-        self.segments = np.ones(len(hi), np.int64)  # no difference: one segment, the whole set
-        for k in np.flatnonzero(differ > 0):
+        self.differ = 2 * (100 - percent) * self.hi // (100 + percent)
+        self.probes = (self.differ + 2) // 2
+        self.groups = self.probes + -(-self.probes // SPARE)
+        self.segments = np.ones(len(hi), np.int64)
+        for k in np.flatnonzero(self.differ > 2):
             g = int(self.groups[k])
-            cost = {s: g * s * (1 + PAIR_COST * n_sets * BAND_SHARE * np.exp(-2 * (s - 1) / s * 0.85 * self.hi[k] / g)) for s in (2, 3, 4, 6)}
+            cost = {s: g * s * (1 + PAIR_COST * n_sets * BAND_SHARE * np.exp(-2 * (s - 1) / s * 0.85 * self.hi[k] / g)) for s in SEGMENTS}
             self.segments[k] = min(cost, key=cost.get)
 
     def signatures(self, sets: list[np.ndarray], ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Keys and ids: of each set's own band, and of the next, where its larger partners may be."""
+        """Keys and ids: of each set's own band, and of the next, where its larger partners may be. A key's last bit says whether it probes: a pair is found by the probes of its larger set."""
         sizes = np.array([len(s) for s in sets])
-        tokens = np.concatenate(sets)
-        of = np.repeat(np.arange(len(sets)), sizes)
-        value = mix(tokens ^ U(0x2545F4914F6CDD1D))
-        keys, owners = [], []
         own = np.searchsorted(self.hi, sizes)
+        keys, owners = [np.zeros(0, U)], [np.zeros(0, np.int64)]
         for next_ in (0, 1):
             band = own + next_
             use = (sizes * 100 // self.percent > self.hi[own]) if next_ else np.ones(len(sets), bool)
-            if not use.any():
-                continue
-            cells = np.where(use, self.groups[band] * self.segments[band], 0)
-            base = np.cumsum(cells) - cells
-            pick = use[of]
-            t, o = tokens[pick], of[pick]
-            x = mix(t ^ (band[o].astype(U) * PLACE[1]))
-            cell = base[o] + (((x >> U(32)) * cells[o].astype(U)) >> U(32)).astype(np.int64)
-            acc = np.zeros(int(cells.sum()), U)
-            np.add.at(acc, cell, value[pick])
-            n, s = self.groups[band][use], self.segments[band][use]
-            width = np.repeat(s, n)
-            starts = np.cumsum(width) - width
-            rest = np.repeat(np.add.reduceat(acc, starts), width)
-            rest = np.where(np.repeat(width, width) > 1, rest - acc, rest)
-            local = np.arange(len(acc)) - np.repeat(base[use], cells[use])
-            keys.append(mix(rest ^ mix((np.repeat(band[use], cells[use]).astype(U) << U(40)) | local.astype(U))))
-            owners.append(np.repeat(ids[use], cells[use]))
+            differ = self.differ[band]
+            for k in np.flatnonzero(use & (differ > 0) & (differ <= 2)):
+                found = _neighbourhood(sets[k], int(differ[k]), int(band[k]))
+                keys.append(found & ~U(1) | U(1 - next_))
+                owners.append(np.full(len(found), ids[k]))
+            use &= differ > 2
+            if use.any():
+                found, of = self._subsets([sets[k] for k in np.flatnonzero(use)], band[use], not next_)
+                keys.append(found)
+                owners.append(ids[use][of])
         return np.concatenate(keys), np.concatenate(owners)
 
-
-def differences(sizes: int, percent: int) -> int:
+    def _subsets(self, sets: list[np.ndarray], band: np.ndarray, probe: bool) -> tuple[np.ndarray, np.ndarray]:
+        """The keys of all groups' subsets that leave a segment out, and whose they are."""
+        groups, segments = self.groups[band], self.segments[band]
+        cells = groups * segments
+        base = np.cumsum(cells) - cells
+        t = np.concatenate(sets)
+        o = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+        x = mix(t ^ (band[o].astype(U) * PLACE[1]))
+        cell = base[o] + (((x >> U(32)) * cells[o].astype(U)) >> U(32)).astype(np.int64)
+        acc = np.zeros(int(cells.sum()), U)
+        np.add.at(acc, cell, mix(t ^ U(0x2545F4914F6CDD1D)))
+        many = np.bincount(cell, minlength=len(acc))
+        width = np.repeat(segments, groups)  # of each group
+        starts = np.cumsum(width) - width
+        rest = np.repeat(np.add.reduceat(acc, starts), width) - acc
+        local = np.arange(len(acc)) - np.repeat(base, cells)
+        keys = mix(rest ^ mix((np.repeat(band, cells).astype(U) << U(40)) | local.astype(U))) & ~U(1)
+        if probe:
+            least = np.add.reduceat(many, starts) - np.maximum.reduceat(many, starts)  # elements of the group's poorest subset
+            of = np.repeat(np.arange(len(sets)), groups)
+            order = np.lexsort((-least, of))
+            first = np.cumsum(groups) - groups
+            use = np.zeros(len(width), bool)
+            use[order] = np.arange(len(width)) - np.repeat(first, groups) < np.repeat(self.probes[band], groups)
+            keys |= np.repeat(use, width).astype(U)
+        return keys, np.repeat(np.arange(len(sets)), cells)
+
+
+def _neighbourhood(s: np.ndarray, deletions: int, band: int) -> np.ndarray:
+    """Keys of a small set without up to one or two of its elements."""
+    v = mix(s ^ U(0x2545F4914F6CDD1D))
+    whole = v.sum()
+    found = [np.array([whole]), whole - v]
+    if deletions > 1:
+        i, j = np.triu_indices(len(v), 1)
+        found.append(whole - v[i] - v[j])
+    return mix(np.concatenate(found) ^ mix(np.array([band], U) << U(40)))
+
+
+def differences(sizes, percent: int):
     """How many elements two sets of so many together may differ in."""
     return (100 - percent) * sizes // (100 + percent)
 
@@ -110,133 +185,173 @@ def sketch(s: np.ndarray, percent: int) -> np.ndarray:
     return np.packbits(parity.astype(np.uint8), bitorder="little").view("<u8")
 
 
-def apart(x: np.ndarray, y: np.ndarray) -> int:
-    """Bits in which two sketches differ, the longer one folded to the other's length."""
-    while len(x) > len(y):
-        x = x[: len(x) // 2] ^ x[len(x) // 2 :]
-    while len(y) > len(x):
-        y = y[: len(y) // 2] ^ y[len(y) // 2 :]
-    return int(np.bitwise_count(x ^ y).sum())
+def plausible_pairs(sketches: list[np.ndarray], i: np.ndarray, j: np.ndarray, total: np.ndarray, percent: int) -> np.ndarray:
+    """Whether the sketches of each pair (i, j) differ in as few bits as sets of so many elements together may. The longer one is folded to the other's length."""
+    length = np.array([len(s) for s in sketches], np.int64)
+    short = np.minimum(length[i], length[j])
+    most, out = differences(total, percent), np.zeros(len(i), bool)
+    for size in np.unique(short):
+        rows = np.flatnonzero(short == size)
+        for at in range(0, len(rows), step := max(1, (1 << 20) // int(size))):
+            part = rows[at : at + step]
+            used, back = np.unique(np.concatenate([i[part], j[part]]), return_inverse=True)
+            folded = np.stack([np.bitwise_xor.reduce(sketches[k].reshape(-1, size), axis=0) for k in used.tolist()])
+            x, y = back[: len(part)], back[len(part) :]
+            out[part] = np.bitwise_count(folded[x] ^ folded[y]).sum(1, dtype=np.int64) <= most[part]
+    return out
+
+
+INDEXED = "slice int, blob binary, id long, n long, lead long, mark binary, sketch binary"
 
 
+@lean
 def _index(batches, scheme: Scheme, n: int, p: int):
-    """Packed index entries by slice, and each row's size, sketch and leader: the first row in this task with the same set."""
+    """Packed index entries by slice; and each row's size, and its leader: a row that this task met before with the same set. Leaders come with their set's digest and sketch."""
     leaders: dict[bytes, int] = {}
+    held, size = [], 0
+
+    def put():
+        keys, owners = (np.concatenate(x) for x in zip(*held, strict=True))
+        # the low half of a key says its slice; of the high half 31 bits tell keys of a slice apart, as clashes only cost a test
+        order, cuts = dealt(((keys & U(0xFFFFFFFF)) // U(2) % U(p)).astype(np.int64), p)
+        keys, owners = (keys >> U(32) & ~U(1) | keys & U(1)).astype(np.uint32)[order], owners[order]
+        some = np.flatnonzero(np.diff(cuts))
+        # owners stand in the order of rows: their steps compress well
+        blobs = [squeezed(pack(keys[a:b], np.diff(owners[a:b], prepend=0))) for a, b in zip(cuts[some].tolist(), cuts[some + 1].tolist(), strict=True)]
+        m = len(some)
+        return pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array(blobs, pa.binary()), *[pa.nulls(m, pa.int64())] * 3, *[pa.nulls(m, pa.binary())] * 2], ["slice", "blob", "id", "n", "lead", "mark", "sketch"])
+
     for batch in batches:
-        every = longs(batch, "doc_id")
-        for at, rows, data, offs in chunks(batch):
-            ids = every[at : at + rows]
+        for at, rows, data, offs in chunks(batch, most=CHUNK):
+            ids = column_of(batch, "doc_id").slice(at, rows).to_pylist()
             sets = sets_of(data, offs, n)
-            lead = ids.copy()
-            new = []
-            for k, s in enumerate(sets):
-                if len(s):
-                    mark = np.array([mix(s).sum(), np.bitwise_xor.reduce(mix(s ^ PLACE[2])), len(s)], U).tobytes()
-                    lead[k] = leaders.setdefault(mark, int(ids[k]))
+            lead, marks, sketches, new = list(ids), [None] * rows, [None] * rows, []
+            for k, (s, t) in enumerate(sets):
+                if len(s) and ids[k] is not None:
+                    mark = hashlib.blake2b(s.tobytes() + t.tobytes(), digest_size=16).digest()
+                    lead[k] = leaders.setdefault(mark, ids[k])
                     if lead[k] == ids[k]:
+                        marks[k], sketches[k] = mark, sketch(s, scheme.percent).tobytes()
                         new.append(k)
-            sketches = [sketch(s, scheme.percent) for s in sets]
-            out = [(int(mix(ids[:1].view(U))[0] % U(p)), 0, pack(ids, np.array([len(s) for s in sets], np.int64), lead, np.array([len(x) for x in sketches]), np.concatenate(sketches)))]
+                    if len(leaders) > LEADERS:
+                        leaders.clear()
+            yield pa.RecordBatch.from_arrays([pa.nulls(rows, pa.int32()), pa.nulls(rows, pa.binary()), pa.array(ids, pa.int64()), pa.array([len(s) for s, _ in sets], pa.int64()), pa.array(lead, pa.int64()), pa.array(marks, pa.binary()), pa.array(sketches, pa.binary())], ["slice", "blob", "id", "n", "lead", "mark", "sketch"])
             if new:
-                keys, owners = scheme.signatures([sets[k] for k in new], ids[new])
-                order, cuts = dealt((keys % U(p)).astype(np.int64), p)
-                keys, owners = keys[order], owners[order]
-                out += [(k, 1, pack(keys[a:b], owners[a:b])) for k, (a, b) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)) if b > a]
-            yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.int32()), pa.array([x[1] for x in out], pa.int32()), pa.array([x[2] for x in out], pa.binary())], ["slice", "kind", "blob"])
-
-
-MADE = "kind int, key long, id long, n long, lead long, sketch binary"
+                held.append(scheme.signatures([sets[k][0] for k in new], np.array([ids[k] for k in new], np.int64)))
+                size += len(held[-1][0])
+                if size >= TOGETHER:
+                    yield put()
+                    held, size = [], 0
+    if size:
+        yield put()
 
 
 def _buckets(table: pa.Table) -> pa.Table:
-    """The rows as they are, and of the index the entries whose key another id has too; lead is the bucket's least id."""
-    kinds = table.column("kind").to_numpy()
-    blobs = [x.as_buffer() for c in table.column("blob").chunks for x in c]
-    docs = [unpack(b) for k, b in zip(kinds, blobs, strict=True) if k == 0]
-    entries = [unpack(b) for k, b in zip(kinds, blobs, strict=True) if k == 1]
-    cat = lambda parts, i, kind: np.concatenate([np.zeros(0, kind), *[x[i] for x in parts]])
-    key, id_ = cat(entries, 0, U), cat(entries, 1, np.int64)
-    order = np.lexsort((id_, key))
-    key, id_ = key[order], id_[order]
-    if len(key):
-        fresh = np.ones(len(key), bool)
-        fresh[1:] = (key[1:] != key[:-1]) | (id_[1:] != id_[:-1])
-        key, id_ = key[fresh], id_[fresh]
+    """Of the index the entries whose key several ids have, one of them with a probe; with the least of these ids."""
+    parts = [unpack(unsqueezed(x.as_buffer())) for c in table.column("blob").chunks for x in c]
+    key, id_ = np.concatenate([x[0] for x in parts]), np.concatenate([np.cumsum(x[1]) for x in parts])
+    key = key.astype(np.int64) | table.column("slice")[0].as_py() << 32
+    order = np.lexsort((~key & 1, id_, key >> 1))
+    probe, key, id_ = (key[order] & 1).astype(bool), key[order] >> 1, id_[order]
+    fresh = np.ones(len(key), bool)
+    fresh[1:] = (key[1:] != key[:-1]) | (id_[1:] != id_[:-1])
+    key, id_, probe = key[fresh], id_[fresh], probe[fresh]
     at = runs(key)
     size = np.diff(at)
-    first = np.repeat(id_[at[:-1]], size) if len(key) else id_
-    more = np.repeat(size > 1, size) if len(key) else np.zeros(0, bool)
-    key, id_, first = key[more], id_[more], first[more]
-    d_id, d_n, d_lead = (cat(docs, i, np.int64) for i in range(3))
-    sketches = []
-    for x in docs:
-        ends = np.cumsum(x[3])
-        sketches += [x[4][e - k : e].tobytes() for k, e in zip(x[3], ends, strict=True)]
-    a, b = len(d_id), len(key)
-    zeros = np.zeros(b, np.int64)
-    return pa.table({"kind": pa.array(np.concatenate([np.zeros(a), np.ones(b)]).astype(np.int32)), "key": pa.array(np.concatenate([np.zeros(a, np.int64), key.view(np.int64)])), "id": pa.array(np.concatenate([d_id, id_])), "n": pa.array(np.concatenate([d_n, zeros])), "lead": pa.array(np.concatenate([d_lead, first])), "sketch": pa.concat_arrays([pa.array(sketches, pa.binary()), pa.nulls(b, pa.binary())])})
+    more = np.repeat((size > 1) & np.logical_or.reduceat(probe, at[:-1]), size)
+    return pa.table({"key": pa.array(key[more]), "id": pa.array(id_[more]), "probe": pa.array(probe[more]), "lead": pa.array(np.repeat(id_[at[:-1]], size)[more])})
+
+
+MEMBERS = "key long, id long, probe boolean, lead long"
 
 
 def _open_pairs(table: pa.Table, percent: int, width: int) -> pa.Table:
-    """Pairs of a bucket to verify next: of different components so far, with sizes and sketches that allow a link, not verified before. Those that join the bucket's sets into trees, and `width` - 1 further ones for each set: whether more matter shows once these are verified."""
+    """Pairs of a bucket to verify next: of different components so far, one of them a probe, with sizes and sketches that allow a link, not verified before (rows with `other` say which were). Those that join the bucket's sets into trees, and `width` - 1 further ones for each set: whether more matter shows once these are verified."""
+    done = table.column("other").is_valid()
+    tried = set(zip(*(table.filter(done).column(c).to_pylist() for c in ("key", "id", "other")), strict=True))
+    table = table.filter(table.column("other").is_null())
     key, id_, comp, n = (table.column(c).to_numpy() for c in ("key", "id", "comp", "n"))
+    probe = table.column("probe").to_numpy()
     sketches = [np.frombuffer(x.as_buffer(), U) for c in table.column("sketch").chunks for x in c]
-    failed = [set(x) if x else () for x in table.column("failed").to_pylist()]
     order = np.lexsort((id_, key))
-    key, id_, comp, n = key[order], id_[order], comp[order], n[order]
-    found = []
+    key, id_, comp, n, probe = key[order], id_[order], comp[order], n[order], probe[order].astype(bool)
     at = runs(key)
-    for a, b in zip(at[:-1], at[1:], strict=True):
-        tree = comp[a:b].copy()
-        size, ids, part = n[a:b], id_[a:b], comp[a:b]
-        for i in range(b - a - 1):
-            x, y, spare = size[i], size[i + 1 :], width - 1
-            near = ((part[i + 1 :] != part[i]) if spare else (tree[i + 1 :] != tree[i])) & (100 * np.minimum(x, y) >= percent * np.maximum(x, y)) & (ids[i + 1 :] != ids[i])
-            for j in (i + 1 + np.flatnonzero(near)).tolist():
-                if tree[j] == tree[i] and not spare or int(ids[j]) in failed[order[a + i]]:
-                    continue
-                if apart(sketches[order[a + i]], sketches[order[a + j]]) <= differences(int(x + size[j]), percent):
-                    found.append((ids[i], ids[j]))
-                    if tree[j] == tree[i]:
-                        spare -= 1
-                    else:
-                        tree[tree == tree[j]] = tree[i]
-    pairs = np.unique(np.array(found, np.int64).reshape(-1, 2), axis=0)
-    return pa.table({"a": pa.array(pairs[:, 0]), "b": pa.array(pairs[:, 1])})
-
-
-def _sets(batches, n: int):
-    for batch in batches:
-        ids = longs(batch, "doc_id")
-        for at, rows, data, offs in chunks(batch):
-            yield pa.RecordBatch.from_arrays([pa.array(ids[at : at + rows]), pa.array([s.tobytes() for s in sets_of(data, offs, n)], pa.binary())], ["id", "elements"])
+    left = np.repeat(at[1:], np.diff(at)) - np.arange(len(key))  # rows from here to the bucket's end
+    row, step, pairs = np.arange(len(key)), 1, [np.zeros((2, 0), np.int64)]
+    while len(row := row[left[row] > step]):
+        other = row + step
+        x, y = n[row], n[other]
+        near = (comp[row] != comp[other]) & (id_[row] != id_[other]) & (probe[row] | probe[other]) & (100 * np.minimum(x, y) >= percent * np.maximum(x, y))
+        pairs.append(np.stack([row[near], other[near]]))
+        step += 1
+    i, j = np.concatenate(pairs, 1)
+    allowed = plausible_pairs(sketches, order[i], order[j], n[i] + n[j], percent) if len(i) else np.zeros(0, bool)
+    i, j = i[allowed], j[allowed]
+    o = np.lexsort((j, i))
+    found, tree, bucket, spare = [], {}, None, {}
+
+    def top(c):
+        while tree.get(c, c) != c:
+            c = tree[c]
+        return c
+
+    for a, b in zip(i[o].tolist(), j[o].tolist(), strict=True):
+        k, x, y = int(key[a]), int(id_[a]), int(id_[b])
+        if k != bucket:
+            bucket, tree, spare = k, {}, {}
+        if (k, x, y) in tried:
+            continue
+        p, q = top(int(comp[a])), top(int(comp[b]))
+        if p == q:
+            if spare.get(x, 1) >= width:
+                continue
+            spare[x] = spare.get(x, 1) + 1
+        else:
+            tree[max(p, q)] = min(p, q)
+        found.append((k, x, y))
+    pairs = np.array(found, np.int64).reshape(-1, 3)
+    return pa.table({"key": pa.array(pairs[:, 0]), "a": pa.array(pairs[:, 1]), "b": pa.array(pairs[:, 2])})
 
 
+@lean
 def _plausible(batches, percent: int):
     """Pairs whose sketches allow a link."""
     for batch in batches:
-        total = column_of(batch, "n").to_numpy()
-        x, y = column_of(batch, "a_sketch"), column_of(batch, "b_sketch")
-        keep = [apart(np.frombuffer(x[k].as_buffer(), U), np.frombuffer(y[k].as_buffer(), U)) <= differences(int(total[k]), percent) for k in range(batch.num_rows)]
+        m = batch.num_rows
+        sketches = [np.frombuffer(x.as_buffer(), U) for c in ("a_sketch", "b_sketch") for x in column_of(batch, c)]
+        keep = plausible_pairs(sketches, np.arange(m), np.arange(m) + m, column_of(batch, "n").to_numpy(), percent)
         yield pa.RecordBatch.from_arrays([column_of(batch, "a"), column_of(batch, "b")], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
 
-def _linked(batches, percent: int):
+@lean
+def _linked(batches, n: int, percent: int):
+    """Pairs whose whole sets link, made anew from both texts."""
     for batch in batches:
-        x, y = batch.column(2), batch.column(3)
-        keep = []
-        for k in range(batch.num_rows):
-            p, q = np.frombuffer(x[k].as_buffer(), U), np.frombuffer(y[k].as_buffer(), U)
-            both = len(np.intersect1d(p, q, assume_unique=True))
-            keep.append(100 * both >= percent * (len(p) + len(q) - both) and both > 0)
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
+        right = column_of(batch, "b_text")
+        for at, rows, data, offs in chunks(batch, "a_text", CHUNK):
+            left = sets_of(data, offs, n)
+            part = pa.RecordBatch.from_arrays([right.slice(at, rows)], ["b_text"])
+            keep, k = [], 0
+            for _, m, data_, offs_ in chunks(part, "b_text", CHUNK):
+                for q in sets_of(data_, offs_, n):
+                    p = left[k]
+                    both = shared(p, q)
+                    keep.append(both > 0 and 100 * both >= percent * (len(p[0]) + len(q[0]) - both))
+                    k += 1
+            yield pa.RecordBatch.from_arrays([column_of(batch, "a").slice(at, rows), column_of(batch, "b").slice(at, rows)], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
 
 def components(links: DataFrame, work: Workspace) -> DataFrame:
-    """id, comp: the least id of each linked id's component. Alternating large and small stars; each round is written, so lineage stays short and nothing comes to the driver but counts."""
+    """id, comp: the least id of each linked id's component. Alternating large and small stars; each round is written, so lineage stays short and nothing comes to the driver but counts.
+
+    Done when all are stars: each id points to one other, which points to none.
+    """
     edges = work.save(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u != v").distinct())
-    state = None
     while True:
+        ends = edges.select("u", F.lit(1).alias("out")).union(edges.select(F.col("v").alias("u"), F.lit(0).alias("out")))
+        ends = ends.groupBy("u").agg(F.sum("out").alias("out"), F.count(F.lit(1)).alias("all"))
+        if ends.where("out > 1 OR (out = 1 AND all > 1)").isEmpty():
+            return edges.select(F.col("u").alias("id"), F.col("v").alias("comp"))
         both = edges.union(edges.select("v", "u"))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
         large = work.save(both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct())
@@ -245,31 +360,36 @@ def components(links: DataFrame, work: Workspace) -> DataFrame:
         small = small.select(F.col("v").alias("u"), F.col("m").alias("v")).union(least.select("u", F.col("m").alias("v"))).where("u != v").distinct()
         old, edges = edges, work.save(small)
         work.drop(old, large)
-        row = edges.agg(F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("u", "v")).alias("h")).first()
-        if (row.n, row.h) == state:
-            break
-        state = (row.n, row.h)
-    return edges.select(F.col("u").alias("id"), F.col("v").alias("comp"))
 
 
 def ngram_join(docs: DataFrame, n: int = 4, percent: int = 85) -> DataFrame:
     """doc_id, n_shingles, component_id for each row.
 
-    A document's set holds the distinct hashes of its n-word shingles (64 bits), of the whole word
-    sequence if it has fewer words; documents without words have an empty set and no links, their
-    component_id is their own id. Two documents link when their Jaccard similarity is at least
-    percent/100. component_id is the least doc_id that links lead to. Null texts are empty; null ids
-    count as the smallest long; rows with the same doc_id count as one document with several texts.
+    A document's set holds its distinct n-word shingles (hashed to 128 bits), or the whole word sequence
+    if it has fewer words; documents without words have an empty set and no links, their component_id is
+    their own id. Two documents link when their Jaccard similarity is at least percent/100. component_id
+    is the least doc_id that links lead to. Null texts are empty. Rows with a null id link with nothing
+    and have a null component_id. Rows that repeat a doc_id are one document: links of any of its texts
+    are its own. Extra columns play no part; an empty table gives no rows.
     """
     spark = docs.sparkSession
     work = Workspace(spark, "ngram-join")
-    docs = docs.select("doc_id", "text")
-    p = min(65536, slices(docs))
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    p = max(slices(docs), slices_by_size(docs, each=32 << 20))
     scheme = Scheme(percent, docs.count())
-    packed = docs.mapInArrow(partial(_index, scheme=scheme, n=n, p=p), "slice int, kind int, blob binary")
-    made = work.save(packed.groupBy("slice").applyInArrow(grouped(_buckets), MADE))
-    rows = made.where("kind = 0")
-    info = rows.where("n > 0 AND id = lead").select("id", "n", "sketch")
+    made = work.save(docs.mapInArrow(partial(_index, scheme=scheme, n=n, p=p), INDEXED))
+    entries = work.save(made.where("blob IS NOT NULL").select("slice", "blob").groupBy("slice").applyInArrow(grouped(_buckets), MEMBERS))
+    rows = work.save(made.where("blob IS NULL").select("id", "n", "lead", "mark", "sketch"))
+    work.drop(made)
+    # a set's label is the least id of all rows that hold it. Tasks have reduced copies to one leader each.
+    lows = rows.where("lead IS NOT NULL").groupBy("lead").agg(F.min("id").alias("low")).withColumnRenamed("lead", "id")
+    own = rows.where("mark IS NOT NULL").select("id", "n", "mark", "sketch").dropDuplicates(["id", "mark"]).join(lows, "id")
+    own = own.withColumn("sets", F.count(F.lit(1)).over(Window.partitionBy("id"))).withColumn("label", F.min("low").over(Window.partitionBy("mark")))
+    own = work.save(own.select("id", "n", "sketch", "sets", "label"))
+    moved = own.where("id != label AND sets = 1").select("id", "label")
+    alone = own.where("id != label AND sets > 1")  # ids that lead several sets stay by themselves
+    info = work.save(own.select(F.col("label").alias("id"), "n", "sketch").union(alone.select("id", "n", "sketch")).distinct())
+    labels = rows.where("lead IS NOT NULL").select("id", "lead").join(moved.withColumnRenamed("id", "lead"), "lead", "left").select("id", "lead", F.coalesce("label", "lead").alias("label"))
 
     def plausible(edges: DataFrame) -> DataFrame:
         x, y = (info.select(F.col("id").alias(e), *[F.col(c).alias(f"{e}_{c}") for c in info.columns[1:]]) for e in "ab")
@@ -278,47 +398,73 @@ def ngram_join(docs: DataFrame, n: int = 4, percent: int = 85) -> DataFrame:
         return both.mapInArrow(partial(_plausible, percent=percent), "a long, b long").distinct()
 
     def verified(edges: DataFrame) -> DataFrame:
-        """The pairs that link, by their whole sets. Only texts that a candidate pair names are read into sets."""
-        ids = edges.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-        bits = bitmap(ids.select(F.xxhash64("id").alias("fp")), repeated=False)
-        sets = work.save(docs.where(hit(F.xxhash64(F.coalesce("doc_id", F.lit(-(2**63)))), bits)).mapInArrow(partial(_sets, n=n), "id long, elements binary"))
-        x, y = (sets.select(F.col("id").alias(e), F.col("elements").alias(f"{e}_set")) for e in "ab")
-        out = work.save(edges.join(x, "a").join(y, "b").select("a", "b", "a_set", "b_set").mapInArrow(partial(_linked, percent=percent), "a long, b long").distinct())
-        work.drop(sets)
+        """The pairs that link, by their whole texts. Only texts that a candidate pair names are shuffled."""
+        ids = work.save(edges.select(F.explode(F.array("a", "b")).alias("id")).distinct())
+        texts = docs.select(F.col("doc_id").alias("id"), "text").where("id IS NOT NULL")
+        if ids.count() > FEW:
+            texts = texts.where(hit(F.xxhash64("id"), bitmap(ids.select(F.xxhash64("id").alias("fp")), repeated=False))).join(ids, "id", "left_semi")
+        else:
+            texts = texts.join(F.broadcast(ids), "id", "left_semi")
+        texts = work.save(texts)
+        x, y = (texts.select(F.col("id").alias(e), F.col("text").alias(f"{e}_text")) for e in "ab")
+        out = work.save(edges.join(x, "a").join(y, "b").select("a", "b", "a_text", "b_text").mapInArrow(partial(_linked, n=n, percent=percent), "a long, b long").distinct())
+        work.drop(ids, texts)
         return out
 
-    # first each bucket's least id with each other; most buckets are whole after that
-    members = made.where("kind = 1").select("key", "id", "lead")
-    stars = work.save(plausible(members.where("id != lead").select(F.col("lead").alias("a"), F.col("id").alias("b")).distinct()))
+    # first each bucket's least id with each other; most buckets are whole after that. Copies' leaders stand for their labels
+    def labelled(df: DataFrame, *columns: str) -> DataFrame:
+        for c in columns:
+            df = df.join(moved.select(F.col("id").alias(c), F.col("label").alias("__to")), c, "left").withColumn(c, F.coalesce("__to", c)).drop("__to")
+        return df
+
+    pairs = labelled(entries.where("id != lead").select(F.col("lead").alias("a"), F.col("id").alias("b")).distinct(), "a", "b").where("a != b")
+    stars = work.save(plausible(pairs))
     links = verified(stars)
     failed = work.save(stars.join(links, ["a", "b"], "left_anti"))
+    # an id with several texts leads several sets, or follows several leaders: it joins them
+    twice = labels.groupBy("id").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x != y").select("id")
+    same = labels.join(twice, "id", "left_semi").select("id", "label").union(alone.select("id", "label"))
+    links = work.save(links.union(same))
     found = components(links, work)
     # then pairs of buckets that still span components, until none is left to verify: no link is lost
-    # each round may take four times as many as the one before, so rounds grow as the logarithm of a bucket
-    width = 1
+    # each round may take WIDER times as many as the one before, so rounds grow as the logarithm of a bucket
+    # a bucket without any such pair is done: components only grow
+    place = found.withColumnRenamed("id", "node")
+    placed = labelled(entries, "id", "lead").join(place, F.col("id") == F.col("node"), "left").select("key", "id", "probe", "lead", F.coalesce("comp", "id").alias("comp"))
+    split = placed.groupBy("key").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x != y").select("key")
+    open_ = placed.join(split, "key", "left_semi").groupBy("key", "id").agg(F.max("probe").alias("probe"), F.min("lead").alias("lead"), F.min("comp").alias("comp"))
+    open_ = work.save(open_.join(info, "id").select("key", "id", "probe", "lead", "comp", "n", "sketch"))
+    work.drop(entries)
+    tried = work.save(open_.select("key", F.col("lead").alias("a"), F.col("id").alias("b")).join(failed, ["a", "b"], "left_semi").select("key", "a", "b"))
+    width, waiting = WIDER, links.limit(0)
     while True:
-        placed = work.save(members.select("key", "id").join(found, "id", "left").select("key", "id", F.coalesce("comp", "id").alias("comp")))
-        split = placed.groupBy("key").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x != y").select("key")
-        open_ = placed.join(split, "key", "left_semi").join(info, "id").withColumn("slice", F.pmod("key", F.lit(p)))
-        before = failed.groupBy(F.col("a").alias("id")).agg(F.collect_set("b").alias("failed"))
-        open_ = open_.join(before, "id", "left").select("slice", "key", "id", "comp", "n", "sketch", "failed")
-        pairs = work.save(open_.groupBy("slice").applyInArrow(grouped(_open_pairs, percent=percent, width=width), "a long, b long").distinct())
-        work.drop(placed)
-        if pairs.isEmpty():
+        slice_ = F.pmod("key", F.lit(p)).alias("slice")
+        rows_ = open_.select(slice_, "key", "id", "probe", "comp", "n", "sketch", F.lit(None).cast("long").alias("other"))
+        done = tried.select(slice_, "key", F.col("a").alias("id"), F.lit(False).alias("probe"), F.lit(0).cast("long").alias("comp"), F.lit(0).cast("long").alias("n"), F.lit(None).cast("binary").alias("sketch"), F.col("b").alias("other"))
+        next_ = work.save(rows_.unionByName(done).groupBy("slice").applyInArrow(grouped(_open_pairs, percent=percent, width=width), "key long, a long, b long"))
+        if next_.isEmpty():
             break
-        width *= 4
+        # what has failed in one bucket is not read again for another
+        pairs = work.save(next_.select("a", "b").distinct().join(failed, ["a", "b"], "left_anti"))
         links = verified(pairs)
         failed = work.save(failed.union(pairs.join(links, ["a", "b"], "left_anti")))
-        if not links.isEmpty():
-            found = components(links.union(found.select(F.col("id").alias("a"), F.col("comp").alias("b"))), work)
-    joined = rows.select("id", "n", "lead").join(found.select(F.col("id").alias("lead"), "comp"), "lead", "left")
-    joined = joined.select("id", "n", F.coalesce("comp", "lead").alias("comp"))
-    least = joined.groupBy("comp").agg(F.min("id").alias("component_id"))
-    return joined.join(least, "comp").select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), "component_id")
+        waiting, n_links = waiting.union(links), links.count()
+        still = next_.select("key").distinct()
+        if n_links > FEW_LINKS:
+            found = components(waiting.union(found.select(F.col("id").alias("a"), F.col("comp").alias("b"))), work)
+            waiting = waiting.limit(0)
+            open_ = open_.drop("comp").join(found, "id", "left").withColumn("comp", F.coalesce("comp", "id"))
+        open_ = work.save(open_.join(still, "key", "left_semi").select("key", "id", "probe", "lead", "comp", "n", "sketch"))
+        tried = work.save(tried.join(still, "key", "left_semi").select("key", "a", "b").union(next_))
+        width *= WIDER
+    if not waiting.isEmpty():
+        found = components(waiting.union(found.select(F.col("id").alias("a"), F.col("comp").alias("b"))), work)
+    nodes = labels.select("lead", "label").distinct().join(found.withColumnRenamed("id", "label"), "label", "left").groupBy("lead").agg(F.min(F.coalesce("comp", "label")).alias("component_id"))
+    return rows.select("id", "n", "lead").join(nodes, "lead", "left").select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), "component_id")
 
 
 def one_of_each(docs: DataFrame, n: int = 4, percent: int = 85) -> DataFrame:
-    """docs without the documents whose component has a smaller doc_id; all columns stay."""
+    """docs without the documents whose component has a smaller doc_id; all columns stay. Rows with a null id, with no words, or that repeat the least id of their component all stay."""
     from .quotient import without
 
     work = Workspace(docs.sparkSession, "one-of-each")
