@@ -405,7 +405,9 @@ FEATURES = ["elevation", "slope", "tpi", "ros", "canopy_cover", "tmmx", "rmin",
 
 @query
 def training_set(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _training(spark, sf_dir)
+    """The whole table, its features rounded."""
+    exact = ("ros", "canopy_cover")
+    return rounded(_training(spark, sf_dir).select("row", "col", "day", "label", *FEATURES), *[c for c in FEATURES if c not in exact])
 
 
 @query

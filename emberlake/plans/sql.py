@@ -89,6 +89,10 @@ def _poisson() -> str:
     return f"WITH d AS (SELECT o_orderkey, {u} AS u FROM orders) SELECT o_orderkey, CASE {sums} ELSE 10 END AS k FROM d"
 
 
+def _draw(stream: str) -> str:
+    return uniform_sql(stream, "strftime(day, '%Y-%m-%d')", "k")
+
+
 ORACLE_SQL = {
     "calibration_curve": _with(SCORED_SQL, V, BINS, select="SELECT bin, n, round(p, 6) AS mean_prob, round(y, 6) AS mean_label, round(abs(p - y), 6) AS gap FROM b"),
     "reliability_diagram": _with(SCORED_SQL, V, select=f"SELECT {_edges('>')} AS bin, count(*) AS n, round(avg(prob), 6) AS prob_pred, round(avg(label::DOUBLE), 6) AS prob_true FROM v GROUP BY 1"),
@@ -156,6 +160,16 @@ ORACLE_SQL = {
         """t AS (SELECT t0.*, row_number() OVER (PARTITION BY fire_id ORDER BY k) AS n FROM t0 JOIN grid g ON g."row" = CAST(floor((0.0::DOUBLE - y) / 270.0::DOUBLE) AS INTEGER) AND g.col = CAST(floor(x / 270.0::DOUBLE) AS INTEGER) WHERE fuel_model BETWEEN 101 AND 204)""", select="SELECT fire_id, round(x, 6) AS x, round(y, 6) AS y FROM t WHERE n = 1"),
     "clipped_fuels": _with(GRID_SQL, ZONES_SQL, select='SELECT "row", col, fuel_model FROM grid k WHERE EXISTS (SELECT 1 FROM zones f WHERE (k.col + 0.5::DOUBLE) * 270.0::DOUBLE BETWEEN f.minx AND f.maxx AND 0.0::DOUBLE - (k."row" + 0.5::DOUBLE) * 270.0::DOUBLE BETWEEN f.miny AND f.maxy)'),
     "common_bounds": _with(FIRES_SQL, select="SELECT round(max(minx), 6) AS minx, round(max(miny), 6) AS miny, round(min(maxx), 6) AS maxx, round(min(maxy), 6) AS maxy FROM fires"),
+    "quadkey_bounds": """WITH k AS (SELECT n_nationkey, '0230' || CASE WHEN n_nationkey >= 16 THEN CAST(n_nationkey // 16 AS VARCHAR) ELSE '' END || CASE WHEN n_nationkey >= 4 THEN CAST((n_nationkey // 4) % 4 AS VARCHAR) ELSE '' END || CAST(n_nationkey % 4 AS VARCHAR) AS q FROM nation),
+d AS (SELECT n_nationkey, length(q) AS l, unnest(range(length(q))) AS i, CAST(unnest(string_split(q, '')) AS INTEGER) AS v FROM k),
+t AS (SELECT n_nationkey, pow(2.0::DOUBLE, max(l)) AS n, sum((v % 2) * pow(2.0::DOUBLE, l - 1 - i)) AS x, sum((v // 2) * pow(2.0::DOUBLE, l - 1 - i)) AS y FROM d GROUP BY 1),
+a AS (SELECT *, 3.141592653589793::DOUBLE * (1.0::DOUBLE - 2.0::DOUBLE * y / n) AS up, 3.141592653589793::DOUBLE * (1.0::DOUBLE - 2.0::DOUBLE * (y + 1) / n) AS low FROM t)
+SELECT n_nationkey, round(x / n * 360.0::DOUBLE - 180.0::DOUBLE, 6) AS west, round(degrees(atan((exp(low) - exp(-low)) / 2)), 6) AS south, round((x + 1) / n * 360.0::DOUBLE - 180.0::DOUBLE, 6) AS east, round(degrees(atan((exp(up) - exp(-up)) / 2)), 6) AS north FROM a""",
+    "training_set": _with(GRID_SQL, TERRAIN, WEATHER_SQL, FIRES_SQL, 'pos AS (SELECT CAST(floor((0.0::DOUBLE - (miny + maxy) / 2) / 270.0::DOUBLE) AS INTEGER) AS "row", CAST(floor(((minx + maxx) / 2) / 270.0::DOUBLE) AS INTEGER) AS col, alarm_date AS day FROM fires)',
+        'size AS (SELECT max("row") + 1 AS nr, max(col) + 1 AS nc FROM grid)', f"tries AS (SELECT day, k, CAST(floor({_draw('row')} * nr) AS INTEGER) AS \"row\", CAST(floor({_draw('col')} * nc) AS INTEGER) AS col FROM weather, range(1, 21) AS r(k), size)",
+        'hits AS (SELECT day, t."row", t.col, min(k) AS k FROM tries t JOIN grid g ON g."row" = t."row" AND g.col = t.col WHERE NOT EXISTS (SELECT 1 FROM pos p WHERE p."row" = t."row" AND p.col = t.col) GROUP BY 1, 2, 3)', 'neg AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY day ORDER BY k) AS n FROM hits) WHERE n <= 2)',
+        'both_ AS (SELECT "row", col, day, 1 AS label FROM pos UNION ALL SELECT "row", col, day, 0 FROM neg)',
+        select=f'SELECT b."row", b.col, b.day, label, round(elevation, 6) AS elevation, round(slope, 6) AS slope, round(tpi, 6) AS tpi, {ROS_OF} AS ros, canopy_cover, round(tmmx, 6) AS tmmx, round(rmin, 6) AS rmin, round(vs, 6) AS vs, round(erc, 6) AS erc, round(pr, 6) AS pr FROM both_ b JOIN terrain t ON t."row" = b."row" AND t.col = b.col JOIN weather w ON w.day = b.day'),
     "poisson_ignitions": _poisson(),
     "weighted_ignitions": _with(GRID_SQL, f'w AS (SELECT "row", col, ln({uniform_sql("pick", chr(34) + "row" + chr(34), "col")} + 1.1102230246251565e-16::DOUBLE) / {ROS_OF} AS k FROM grid WHERE {ROS_OF} > 0)', 'n AS (SELECT *, row_number() OVER (PARTITION BY "row" ORDER BY k DESC, col) AS i FROM w)', select='SELECT "row", col FROM n WHERE i <= 4'),
     "daily_events": "SELECT CAST(ts AS DATE) AS day, count(*) AS n, round(avg(value), 6) AS mean, round(max(value), 6) AS max FROM events GROUP BY 1",
