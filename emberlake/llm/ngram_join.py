@@ -31,7 +31,7 @@ SEGMENTS = (3, 4, 6)
 SPARE = 5  # one group more for each so many that a set must probe with
 CHUNK = 1 << 20  # bytes of text whose sets are made at once
 TOGETHER = 1 << 20  # index entries that a task gathers before it deals them out
-WIDER = 8  # pairs of a set that the first round of a bucket verifies, and by how much further rounds grow
+FIRST_WIDTH, WIDER = 4, 8  # pairs that a set takes in the first round, and by how much they grow in each further one
 FEW_LINKS = 1000  # new links that needn't change components before the next round
 FEW = 100_000  # ids that may be broadcast: some megabytes
 LEADERS = 1 << 16  # sets that a task remembers to tell copies by
@@ -436,7 +436,7 @@ def ngram_join(docs: DataFrame, n: int = 4, percent: int = 85) -> DataFrame:
     open_ = work.save(open_.join(info, "id").select("key", "id", "probe", "lead", "comp", "n", "sketch"))
     work.drop(entries)
     tried = work.save(open_.select("key", F.col("lead").alias("a"), F.col("id").alias("b")).join(failed, ["a", "b"], "left_semi").select("key", "a", "b"))
-    width, waiting = WIDER, links.limit(0)
+    width, waiting = FIRST_WIDTH, links.limit(0)
     while True:
         slice_ = F.pmod("key", F.lit(p)).alias("slice")
         rows_ = open_.select(slice_, "key", "id", "probe", "comp", "n", "sketch", F.lit(None).cast("long").alias("other"))
@@ -444,8 +444,11 @@ def ngram_join(docs: DataFrame, n: int = 4, percent: int = 85) -> DataFrame:
         next_ = work.save(rows_.unionByName(done).groupBy("slice").applyInArrow(grouped(_open_pairs, percent=percent, width=width), "key long, a long, b long"))
         if next_.isEmpty():
             break
+        # a set may be in many buckets: in a round it takes `width` pairs of all, the others' turn comes later
+        turn = F.row_number().over(Window.partitionBy("a").orderBy("b"))
+        taken = work.save(next_.select("a", "b").distinct().withColumn("turn", turn).where(F.col("turn") <= width).select("a", "b"))
         # what has failed in one bucket is not read again for another
-        pairs = work.save(next_.select("a", "b").distinct().join(failed, ["a", "b"], "left_anti"))
+        pairs = work.save(taken.join(failed, ["a", "b"], "left_anti"))
         links = verified(pairs)
         failed = work.save(failed.union(pairs.join(links, ["a", "b"], "left_anti")))
         waiting, n_links = waiting.union(links), links.count()
@@ -455,7 +458,7 @@ def ngram_join(docs: DataFrame, n: int = 4, percent: int = 85) -> DataFrame:
             waiting = waiting.limit(0)
             open_ = open_.drop("comp").join(found, "id", "left").withColumn("comp", F.coalesce("comp", "id"))
         open_ = work.save(open_.join(still, "key", "left_semi").select("key", "id", "probe", "lead", "comp", "n", "sketch"))
-        tried = work.save(tried.join(still, "key", "left_semi").select("key", "a", "b").union(next_))
+        tried = work.save(tried.join(still, "key", "left_semi").select("key", "a", "b").union(next_.join(taken, ["a", "b"], "left_semi").select("key", "a", "b")))
         width *= WIDER
     if not waiting.isEmpty():
         found = components(waiting.union(found.select(F.col("id").alias("a"), F.col("comp").alias("b"))), work)
