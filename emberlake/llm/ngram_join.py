@@ -271,17 +271,18 @@ def _open_pairs(table: pa.Table, percent: int, width: int) -> pa.Table:
     tried = set(zip(*(table.filter(done).column(c).to_pylist() for c in ("key", "id", "other")), strict=True))
     table = table.filter(table.column("other").is_null())
     key, id_, comp, n = (table.column(c).to_numpy() for c in ("key", "id", "comp", "n"))
-    probe = table.column("probe").to_numpy()
+    probe, lead = table.column("probe").to_numpy(), table.column("lead").to_numpy()
     sketches = [np.frombuffer(x.as_buffer(), U) for c in table.column("sketch").chunks for x in c]
     order = np.lexsort((id_, key))
-    key, id_, comp, n, probe = key[order], id_[order], comp[order], n[order], probe[order].astype(bool)
+    key, id_, comp, n, probe, lead = key[order], id_[order], comp[order], n[order], probe[order].astype(bool), lead[order]
+    first = id_ == lead  # its pairs with all others have been tried: where these are of other components, none links
     at = runs(key)
     left = np.repeat(at[1:], np.diff(at)) - np.arange(len(key))  # rows from here to the bucket's end
     row, step, pairs = np.arange(len(key)), 1, [np.zeros((2, 0), np.int64)]
     while len(row := row[left[row] > step]):
         other = row + step
         x, y = n[row], n[other]
-        near = (comp[row] != comp[other]) & (id_[row] != id_[other]) & (probe[row] | probe[other]) & (100 * np.minimum(x, y) >= percent * np.maximum(x, y))
+        near = (comp[row] != comp[other]) & ~first[row] & ~first[other] & (id_[row] != id_[other]) & (probe[row] | probe[other]) & (100 * np.minimum(x, y) >= percent * np.maximum(x, y))
         pairs.append(np.stack([row[near], other[near]]))
         step += 1
     i, j = np.concatenate(pairs, 1)
@@ -435,12 +436,12 @@ def ngram_join(docs: DataFrame, n: int = 4, percent: int = 85) -> DataFrame:
     open_ = placed.join(split, "key", "left_semi").groupBy("key", "id").agg(F.max("probe").alias("probe"), F.min("lead").alias("lead"), F.min("comp").alias("comp"))
     open_ = work.save(open_.join(info, "id").select("key", "id", "probe", "lead", "comp", "n", "sketch"))
     work.drop(entries)
-    tried = work.save(open_.select("key", F.col("lead").alias("a"), F.col("id").alias("b")).join(failed, ["a", "b"], "left_semi").select("key", "a", "b"))
+    tried = spark.createDataFrame([], "key long, a long, b long")
     width, waiting = FIRST_WIDTH, links.limit(0)
     while True:
         slice_ = F.pmod("key", F.lit(p)).alias("slice")
-        rows_ = open_.select(slice_, "key", "id", "probe", "comp", "n", "sketch", F.lit(None).cast("long").alias("other"))
-        done = tried.select(slice_, "key", F.col("a").alias("id"), F.lit(False).alias("probe"), F.lit(0).cast("long").alias("comp"), F.lit(0).cast("long").alias("n"), F.lit(None).cast("binary").alias("sketch"), F.col("b").alias("other"))
+        rows_ = open_.select(slice_, "key", "id", "probe", "lead", "comp", "n", "sketch", F.lit(None).cast("long").alias("other"))
+        done = tried.select(slice_, "key", F.col("a").alias("id"), F.lit(False).alias("probe"), F.lit(0).cast("long").alias("lead"), F.lit(0).cast("long").alias("comp"), F.lit(0).cast("long").alias("n"), F.lit(None).cast("binary").alias("sketch"), F.col("b").alias("other"))
         next_ = work.save(rows_.unionByName(done).groupBy("slice").applyInArrow(grouped(_open_pairs, percent=percent, width=width), "key long, a long, b long"))
         if next_.isEmpty():
             break
