@@ -2,21 +2,24 @@
 
 A word is a dish. Each preceding word is a context and has a restaurant of its own, however many there
 are; all of them share a parent, the root, whose base is uniform. A cell is a dish in a restaurant. Its
-customers are the training tokens; each of its tables is a customer of the dish in the root. A Gibbs
-step takes a customer of a cell from its table and seats it again, given all others: at a table with
-odds of its size less the discount, at a new one with odds of strength and discounted tables of the
-restaurant times the parent's probability of the dish.
+customers are the training tokens; each of its tables is a customer of the dish in the root. A
+customer sits at a table with odds of its size less the discount, at a new one with odds of strength
+and discounted tables of the restaurant times the parent's probability of the dish. A Gibbs step takes
+all customers of a cell from their tables and seats them again at once, given all other cells: only
+how many tables they take matters to anything else, and that is one draw, whose odds have generalised
+Stirling numbers in them. So a cell costs by its tables, not by its customers.
 
 Cells are dealt to slices by dish, so a dish's root and all its cells are together; a restaurant's
 tables are summed over slices after each sweep, and come back to the slices that serve in it. Within a
-sweep a cell sees other cells as the sweep before left them, and its own tables as they are. Draws are
+sweep a cell sees other cells as the sweep before left them. Draws are
 hashes of dish and context, so results depend neither on slices nor on how often a task runs.
 A cell with one customer has one table whatever is drawn, so sweeps visit only the others.
 """
 from __future__ import annotations
 
 import hashlib
-from functools import partial
+from functools import cache, partial
+from math import lgamma
 
 import numpy as np
 import pyarrow as pa
@@ -28,7 +31,9 @@ from .workspace import Workspace, slices_by_size
 
 DISCOUNT, STRENGTH = (0.6, 0.8), (20.0, 2.0)  # of the root and of the contexts
 BURN_IN, SAMPLES = 2, 2
-RESEATED = 24  # customers of a cell that a sweep reseats, drawn at random; all, as many as there are, of smaller cells
+STEPPED = 1024  # customers up to which Stirling numbers come from their recurrence
+LOSS = 20.0  # larger cells' come from a sum of alternating terms, where the log of what these lose to each other is bounded so, else from the recurrence too
+AT_ONCE = 1 << 20  # numbers of tables whose odds are held at once
 HELD_OUT_OF = 10
 CHUNK = 1 << 20  # bytes of text that are tokenised at once
 TOGETHER = 1 << 21  # tokens that a task gathers before it deals them out
@@ -211,14 +216,14 @@ def _classes(many: np.ndarray, cells: np.ndarray):
         yield cells[size == k]
 
 
-def reseat(key: np.ndarray, customers: np.ndarray, many: np.ndarray, flat: np.ndarray, base: np.ndarray, strength: float, discount: float, tables: np.ndarray, most: int = RESEATED) -> tuple[np.ndarray, np.ndarray]:
-    """A Gibbs sweep of cells. One customer after another leaves and is seated again; `tables` counts those of the restaurant, the cell's own among them. Returns each cell's number of tables and their sizes.
+def reseat(key: np.ndarray, customers: np.ndarray, many: np.ndarray, flat: np.ndarray, base: np.ndarray, strength: float, discount: float, tables: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """`seated` by single steps, which tests hold it against: of each cell as many customers as it has leave, one after another, and are seated again. Returns each cell's number of tables and their sizes.
 
     Where all customers share one table, one that leaves comes back to it or opens a new one, with the same odds each
     time until one does: how many come back first is one draw.
     """
     begin = np.cumsum(many) - many
-    times = np.minimum(customers, most)
+    times = customers.copy()
     times[customers < 2] = 0  # a lone customer has a table whatever is drawn
     other = (strength + discount * (tables - many)) * base
     alone = np.flatnonzero((many == 1) & (times > 0))
@@ -254,28 +259,113 @@ def reseat(key: np.ndarray, customers: np.ndarray, many: np.ndarray, flat: np.nd
     return new_many, merged
 
 
-def seat(key: np.ndarray, customers: np.ndarray, odds: np.ndarray, discount: float) -> tuple[np.ndarray, np.ndarray]:
-    """Where sweeps start: customers enter one by one with odds of a new table; from the 9th on, those to come spread over the tables as they stand."""
-    t = Tables(np.minimum(customers, 1)[:, None].astype(np.int64))
-    order = np.argsort(-customers, kind="stable")
-    for step in range(1, int(min(8, customers.max(initial=0)))):
-        rows = order[: int(np.searchsorted(-customers[order], -step, side="left"))]
-        if len(rows):
-            t.enter(rows, _unit(key[rows], step, 2), odds[rows], discount)
-    rest = customers - t.sizes.sum(1)
-    rows = np.flatnonzero(rest > 0)
-    if len(rows):
-        whole = t.sizes[rows]
-        share = rest[rows, None] * whole // whole.sum(1, keepdims=True)
-        share[np.arange(len(rows)), whole.argmax(1)] += rest[rows] - share.sum(1)
-        t.sizes[rows] += share
-    return t.flat()
+def _by_steps(discount: float, customers: np.ndarray, widest: int) -> np.ndarray:
+    """Logs of the generalised Stirling numbers of some numbers of customers (in order, each once), of 1 to `widest` tables."""
+    out, row = np.full((len(customers), widest), -np.inf), np.full(widest, -np.inf)
+    row[0], at = 0.0, 0
+    left = -discount * np.arange(1, widest + 1)
+    for n in range(1, int(customers[-1]) + 1 if len(customers) else 1):
+        if n > 1:
+            with np.errstate(divide="ignore"):
+                stay = row + np.log(np.maximum(n - 1 + left, 0.0))
+            row = np.logaddexp(stay, np.concatenate([[-np.inf], row[:-1]]))
+        if n == customers[at]:
+            out[at], at = row, at + 1
+    return out
+
+
+@cache
+def _stepped(discount: float) -> np.ndarray:
+    return _by_steps(discount, np.arange(1, STEPPED + 1), STEPPED)
+
+
+def _widest(customers: np.ndarray, discount: float) -> np.ndarray:
+    """Tables up to which the alternating sum holds: its terms reach exp(y) and it exp(-y), y = (1-d) x^(1/(1-d)), x = tables / customers^d."""
+    return (LOSS / 2 / (1 - discount)) ** (1 - discount) * customers.astype(np.float64) ** discount
+
+
+def _by_sum(discount: float, customers: np.ndarray, widest: int) -> np.ndarray:
+    """Logs of the generalised Stirling numbers of many customers, but for a factor for each number of customers: t! d^t S(c, t) / c! is the coefficient of z^c in (1 - (1-z)^d)^t, by the binomial theorem."""
+    t, c = np.arange(1, widest + 1, dtype=np.float64), customers.astype(np.float64)
+    total = np.zeros((len(c), widest))
+    term = np.ones((len(c), 1)) * t  # of j: C(t, j) Gamma(c - dj) Gamma(1 + dj), by those of j = 1
+    most, before = np.abs(term), np.zeros(len(c))
+    fits = t <= _widest(customers, discount)[:, None]
+    for j in range(1, widest + 1):
+        if j > 1:
+            x, y = discount * (j - 1), c - discount
+            log = -x * np.log(y) + (y - x - 0.5) * np.log1p(-x / y) + x + (1 / (y - x) - 1 / y) / 12 - (1 / (y - x) ** 3 - 1 / y**3) / 360
+            log += lgamma(1 + discount * j) - lgamma(1 + discount)
+            term *= np.maximum(t - j + 1, 0) / j * np.exp(log - before)[:, None]
+            before = log
+        turn = discount * j
+        if abs(turn - round(turn)) > 1e-9:
+            total += term * ((-1) ** (j + 1) * np.sin(np.pi * turn) / np.pi)
+        most = np.maximum(most, np.abs(total))
+        if (np.abs(term) <= 1e-17 * np.exp(-LOSS / 2) * most)[fits].all():
+            break
+    with np.errstate(divide="ignore", invalid="ignore"):
+        ways = np.cumsum(np.log(t)) + t * np.log(discount)
+        return np.where(fits & (total > 0), np.log(total) - ways, np.nan)
+
+
+def _stirling(discount: float, customers: np.ndarray, widest: int) -> np.ndarray:
+    """Logs of the generalised Stirling numbers S(c, t) of each cell, t from 1 to `widest`, but for a factor for each cell; -inf for more tables than customers."""
+    out = np.full((len(customers), widest), -np.inf)
+    few = customers <= STEPPED
+    out[few, : min(widest, STEPPED)] = _stepped(discount)[customers[few] - 1, :widest]
+    many, back = np.unique(customers[~few], return_inverse=True)
+    if len(many):
+        found = _by_sum(discount, many, widest)
+        lost = np.flatnonzero(np.isnan(found).any(1))
+        if len(lost):
+            found[lost] = _by_steps(discount, many[lost], widest)
+        out[~few] = found[back]
+    return out
+
+
+def seated(key: np.ndarray, customers: np.ndarray, base: np.ndarray, strength: float, discount: float, others: np.ndarray) -> np.ndarray:
+    """A Gibbs step of whole cells: how many tables each cell's customers take when all are seated anew. others: the tables of other cells in its restaurant.
+
+    The odds of t tables are S(c, t) times the product of base * (strength + discount * (others + i)), i < t.
+    Ranges of t double until what is beyond weighs nothing.
+    """
+    out = np.minimum(customers, 1)
+    first = (strength + discount * others) * base
+    width = np.minimum(customers, np.exp2(np.ceil(np.log2(first * np.log1p(customers / np.maximum(first, 1e-300)) + 8 * np.sqrt(first) + 8))).astype(np.int64))
+    left = np.flatnonzero(customers > 1)
+    u = _unit(key, 0)
+    while len(left):
+        again = []
+        for wide in np.unique(width[left]):
+            cells = left[width[left] == wide]
+            cells = cells[np.argsort(customers[cells], kind="stable")]
+            for at in range(0, len(cells), step := max(1, AT_ONCE // int(wide))):
+                some = cells[at : at + step]
+                grow = np.log(base[some, None] * (strength + discount * (others[some, None] + np.arange(wide))))
+                log = np.cumsum(grow, 1) + _stirling(discount, customers[some], int(wide))
+                top = log.max(1, keepdims=True)
+                short = (log[:, -1] > top[:, 0] - 40) & (customers[some] > wide)
+                reach = np.cumsum(np.exp(log - top), 1)
+                out[some] = 1 + (reach <= (u[some] * reach[:, -1])[:, None]).sum(1)
+                again.append(some[short])
+        left = np.concatenate(again)
+        width[left] = np.minimum(2 * width[left], customers[left])
+    return out
+
+
+def _sizes(customers: np.ndarray, many: np.ndarray) -> np.ndarray:
+    """Every table has one customer, each cell's first all others."""
+    out = np.ones(int(many.sum()), np.int64)
+    has = many > 0
+    out[(np.cumsum(many) - many)[has]] += (customers - many)[has]
+    return out
 
 
 class Slice:
-    """Cells of a slice's dishes, the tables of those with several customers, and the dishes' tables in the root."""
+    """Cells of a slice's dishes, how many tables those with several customers have, and the dishes' in the root."""
 
-    def __init__(self, dish, context, count, many=None, flat=None, root_many=None, root_flat=None):
+    def __init__(self, dish, context, count, many=None, root_many=None):
         at = _fresh(dish)
         self.dishes = dish[at]
         self.n = np.diff(np.concatenate([at, [len(dish)]]))
@@ -283,16 +373,16 @@ class Slice:
         self.context, self.count = context, count
         self.multi = np.flatnonzero(count > 1)
         self.total = np.bincount(self.of, count, len(at)).astype(np.int64)
-        self.many, self.flat, self.root_many, self.root_flat = many, flat, root_many, root_flat
+        self.many, self.root_many = many, root_many
 
     @classmethod
     def load(cls, blob) -> Slice:
-        dishes, n, low, high, count, many, flat, root_many, root_flat = unpack(unsqueezed(blob))[:9]
+        dishes, n, low, high, count, many, root_many = unpack(unsqueezed(blob))
         wide = lambda a: a.astype(np.int64)
-        return cls(np.repeat(dishes, n), _joined(low, high), wide(count), wide(many), wide(flat), wide(root_many), wide(root_flat))
+        return cls(np.repeat(dishes, n), _joined(low, high), wide(count), wide(many), wide(root_many))
 
     def save(self) -> bytes:
-        return squeezed(pack(self.dishes, _narrow(self.n), *_split(self.context), *map(_narrow, (self.count, self.many, self.flat, self.root_many, self.root_flat))))
+        return squeezed(pack(self.dishes, _narrow(self.n), *_split(self.context), *map(_narrow, (self.count, self.many, self.root_many))))
 
     def tables(self) -> np.ndarray:
         """Of each cell."""
@@ -307,8 +397,19 @@ class Slice:
         return key
 
     def start(self, seed: int) -> None:
-        self.many, self.flat = seat(self.key(self.multi, seed), self.count[self.multi], np.full(len(self.multi), STRENGTH[1] / 10), DISCOUNT[1])
-        self.root_many, self.root_flat = seat(mix(self.dishes + U(seed)), self.root_customers(), np.full(len(self.dishes), 1.0), DISCOUNT[0])
+        n = len(self.multi)
+        self.many = seated(self.key(self.multi, seed), self.count[self.multi], np.full(n, 0.1), STRENGTH[1], DISCOUNT[1], np.zeros(n, np.int64))
+        n = len(self.dishes)
+        self.root_many = seated(mix(self.dishes + U(seed)), self.root_customers(), np.full(n, 0.05), STRENGTH[0], DISCOUNT[0], np.zeros(n, np.int64))
+
+    @property
+    def flat(self) -> np.ndarray:
+        """Sizes of tables of a seating of these numbers; no draw depends on which."""
+        return _sizes(self.count[self.multi], self.many)
+
+    @property
+    def root_flat(self) -> np.ndarray:
+        return _sizes(self.root_customers(), self.root_many)
 
     def root_customers(self) -> np.ndarray:
         return np.bincount(self.of, self.tables(), len(self.dishes)).astype(np.int64)
@@ -321,34 +422,13 @@ class Slice:
 
     def sweep(self, served: np.ndarray, all_customers: int, all_tables: int, vocabulary: int, seed: int, sweep: int) -> None:
         """Reseats customers of all cells, then of the root. served: the tables of each context in `contexts()`."""
-        before = self.root_customers()
         base = self.root(all_customers, all_tables, vocabulary)
         us, back = self.contexts()
         if len(self.multi):
-            self.many, self.flat = reseat(self.key(self.multi, seed, sweep), self.count[self.multi], self.many, self.flat, base[self.of[self.multi]], STRENGTH[1], DISCOUNT[1], served[back])
-        # tables that have gone are customers of the root that leave, new ones are customers that enter
-        after = self.root_customers()
-        new = (STRENGTH[0] + DISCOUNT[0] * all_tables) / (vocabulary + 1)
-        key = mix(mix(self.dishes + U(seed)) + U(sweep + 1))
-        rows = np.flatnonzero(before != after)
-        if len(rows):
-            begin = np.cumsum(self.root_many) - self.root_many
-            index = np.repeat(begin[rows] - (np.cumsum(self.root_many[rows]) - self.root_many[rows]), self.root_many[rows]) + np.arange(int(self.root_many[rows].sum()))
-            t, change = Tables.of(self.root_many[rows], self.root_flat[index]), (after - before)[rows]
-            for step in range(int(np.abs(change).max())):
-                go, come = np.flatnonzero(change < -step), np.flatnonzero(change > step)
-                if len(go):
-                    t.leave(go, _unit(key[rows[go]], step, 3))
-                if len(come):
-                    t.enter(come, _unit(key[rows[come]], step, 4), np.full(len(come), new), DISCOUNT[0])
-            kept = np.ones(len(self.root_flat), bool)
-            kept[index] = False
-            owner = np.concatenate([np.repeat(np.arange(len(self.dishes)), self.root_many)[kept], rows.repeat(t.flat()[0])])
-            sizes = np.concatenate([self.root_flat[kept], t.flat()[1]])
-            self.root_flat = sizes[np.argsort(owner, kind="stable")]
-            self.root_many = np.bincount(owner, minlength=len(self.dishes))
+            self.many = seated(self.key(self.multi, seed, sweep), self.count[self.multi], base[self.of[self.multi]], STRENGTH[1], DISCOUNT[1], served[back] - self.many)
         one = np.full(len(self.dishes), 1 / (vocabulary + 1))
-        self.root_many, self.root_flat = reseat(key, after, self.root_many, self.root_flat, one, STRENGTH[0], DISCOUNT[0], np.full(len(self.dishes), all_tables))
+        key = mix(mix(self.dishes + U(seed)) + U(sweep + 1))
+        self.root_many = seated(key, self.root_customers(), one, STRENGTH[0], DISCOUNT[0], all_tables - self.root_many)
 
     def contexts(self) -> tuple[np.ndarray, np.ndarray]:
         """The contexts of cells with several customers, by their slices; and each such cell's among them."""

@@ -380,6 +380,26 @@ def test_a_cell_is_seated_as_its_posterior_says():
     assert np.abs(np.bincount(many, minlength=c + 1)[1:] / cells - odds / odds.sum()).max() < 0.015
 
 
+def test_all_customers_of_large_cells_are_seated():
+    """300 and 1500 customers of one dish: numbers of tables as the recurrence of Stirling numbers gives them, from the first sweep on."""
+    d, strength, others = pitman_yor.DISCOUNT[1], pitman_yor.STRENGTH[1], 100
+    for c in (300, 1500):
+        s = pitman_yor.Slice(np.full(400, 7, np.uint64), np.arange(400, dtype=np.uint64), np.full(400, c))
+        s.start(3)
+        base = s.root(s.root_customers().sum(), s.root_many.sum(), 1)[0]
+        s.sweep(others + s.many, s.root_customers().sum(), s.root_many.sum(), 1, 3, 0)
+        stirling = np.full(c + 1, -np.inf)
+        stirling[0] = 0.0
+        with np.errstate(divide="ignore"):
+            for n in range(c):
+                stirling = np.logaddexp(np.log(np.maximum(n - d * np.arange(c + 1), 0)) + stirling, np.concatenate([[-np.inf], stirling[:-1]]))
+        odds = stirling[1:] + np.cumsum(np.log(base * (strength + d * (others + np.arange(c)))))
+        odds = np.exp(odds - odds.max()) / np.exp(odds - odds.max()).sum()
+        mean = (odds * np.arange(1, c + 1)).sum()
+        deviation = math.sqrt((odds * (np.arange(1, c + 1) - mean) ** 2).sum())
+        assert abs(s.many.mean() - mean) < 4 * deviation / 20 and 0.8 < s.many.std() / deviation < 1.2
+
+
 class Plain:
     """The same model by one sequential sampler: every customer in turn, root and restaurants as they are at that moment."""
 
