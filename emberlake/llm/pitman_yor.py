@@ -104,6 +104,20 @@ def _dealt_out(dish, context, third, p: int, extra=()):
     return pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array(blobs, pa.binary())], ["slice", "blob"])
 
 
+def _by_cell(dish, context, of, p: int):
+    """Tokens by slice and cell, so that a cell travels once: runs of dishes, their cells' contexts and numbers of tokens, and the tokens' texts in order."""
+    order = _order(dish, context)
+    dish, context, of = dish[order], context[order], of[order]
+    order, cuts = dealt((dish % U(p)).astype(np.int64), p)
+    dish, context, of = dish[order], context[order], of[order]
+    some, blobs = np.flatnonzero(np.diff(cuts)), []
+    for a, b in zip(cuts[some].tolist(), cuts[some + 1].tolist(), strict=True):
+        at = _fresh(dish[a:b], context[a:b])
+        r = runs(dish[a:b][at])
+        blobs.append(squeezed(pack(dish[a:b][at][r[:-1]], _narrow(np.diff(r)), *_split(context[a:b][at]), _narrow(np.diff(at, append=b - a)), _narrow(of[a:b]))))
+    return pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array(blobs, pa.binary())], ["slice", "blob"])
+
+
 def _gathered(batches, *extra: str):
     """Tokens of many texts: text number, dish, context; and the texts' columns `extra`, a slice of each batch for each."""
     held, size, rows, columns = [], 0, 0, []
@@ -140,8 +154,7 @@ def _asked(batches, p: int):
     for of, dish, context, ids, held_out, print_ in _gathered(batches, "doc_id", "held_out", "print"):
         texts = pack(ids.fill_null(0).to_numpy(), ids.is_null().to_numpy(zero_copy_only=False).astype(np.uint8), held_out.to_numpy(zero_copy_only=False).astype(np.uint8))
         name = hashlib.blake2b(texts + print_.to_numpy().tobytes(), digest_size=16).digest()
-        order = np.argsort(dish, kind="stable")
-        made = _dealt_out(dish[order], context[order], of[order], p)
+        made = _by_cell(dish, context, of, p)
         n = made.num_rows
         yield pa.RecordBatch.from_arrays([made.column(0), pa.array([name] * n, pa.binary()), pa.array([0] * n, pa.int32()), made.column(1)], ["slice", "batch", "kind", "blob"])
         yield pa.RecordBatch.from_arrays([pa.array([int.from_bytes(name[:4], "little") % p], pa.int32()), pa.array([name], pa.binary()), pa.array([1], pa.int32()), pa.array([texts], pa.binary())], ["slice", "batch", "kind", "blob"])
@@ -592,9 +605,10 @@ def _scored(left: pa.Table, right: pa.Table, vocabulary: int, customers: int) ->
         for name, kind, blob in zip(names, kinds, blobs, strict=True):
             if kind:
                 continue
-            d, m, low, high, of = unpack(blob)
+            d, m, low, high, times, of = unpack(unsqueezed(blob))
             who = np.repeat(np.searchsorted(dishes, d), m)
-            at = _places(place, context, who.astype(U), _joined(low, high))
+            at = np.repeat(_places(place, context, who.astype(U), _joined(low, high)), times)
+            who = np.repeat(who, times)
             number = np.bincount(of)
             has = np.flatnonzero(number)
             sums = (np.bincount(of, x)[has] for x in (known[who], base[who], p[at]))

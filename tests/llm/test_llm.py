@@ -9,6 +9,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import public_tokenizers as P
+import pyarrow as pa
 import pytest
 import tiktoken
 from tokenizers import Tokenizer
@@ -400,6 +401,15 @@ def test_all_customers_of_large_cells_are_seated():
         assert abs(s.many.mean() - mean) < 4 * deviation / 20 and 0.8 < s.many.std() / deviation < 1.2
 
 
+def test_tokens_travel_by_cell():
+    """A text that repeats two words asks for its cells once each."""
+    texts = pa.record_batch({"text": ["ab cd " * 5000], "doc_id": [1], "held_out": [False], "print": [7]})
+    packed = [x for b in pitman_yor._asked([texts], 1) for k, x in zip(b.column(2).to_pylist(), b.column(3).to_pylist()) if not k]
+    dishes, cells, low, high, tokens, of = pitman_yor.unpack(pitman_yor.unsqueezed(packed[0]))
+    assert (len(dishes), sorted(cells), len(low), len(high), sorted(tokens)) == (3, [1, 1, 2], 4, 4, [1, 1, 4999, 5000])
+    assert len(packed[0]) < 1000 and tokens.sum() == 10_001 == len(of)
+
+
 class Plain:
     """The same model by one sequential sampler: every customer in turn, root and restaurants as they are at that moment."""
 
