@@ -187,6 +187,26 @@ def test_many_fires_at_once_are_each_by_itself():
         assert sorted(zip(r[mine], c[mine], a[mine])) == sorted(zip(y, x, t))
 
 
+def test_fires_take_the_rows_that_they_can_reach():
+    """Many short fires on a tall landscape: memory for the rows they can reach, and the same fires as on a low one."""
+    import tracemalloc
+
+    rng = np.random.default_rng(12)
+    shape = (100_000, 3)
+    land = spread.Landscape.of(rng.choice([1, 4, 104, 98], shape), rng.uniform(0, 30, shape), rng.uniform(0, 360, shape), 90.0)
+    minutes, rows, cols = land.minutes(6.0, 200.0), np.array([0, 5, 50_000, 99_999] * 10), rng.integers(0, 3, 40)
+    tracemalloc.start()
+    n, r, c, a = spread.spread_many(land, rows, cols, 6.0, 200.0, 60.0, minutes=minutes)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 10 << 20
+    part = slice(49_900, 50_100)
+    low = spread.Landscape(200, 3, 90.0, *(np.pad(x.reshape(*x.shape[:-1], -1, 5)[..., 49_901:50_101, :], [(0, 0)] * (x.ndim - 1) + [(1, 1), (0, 0)]).reshape(*x.shape[:-1], -1) for x in (land.ros, land.burnable, land.slope_factor)))
+    for k in np.flatnonzero(rows == 50_000):
+        y, x, t = spread.spread(low, 50_000 - part.start, int(cols[k]), 6.0, 200.0, 60.0)
+        assert sorted(zip(r[n == k] - part.start, c[n == k], a[n == k])) == sorted(zip(y, x, t))
+
+
 def test_spread_edges():
     land = spread.Landscape.of(np.full((3, 3), 98), np.zeros((3, 3)), np.zeros((3, 3)), 270.0)
     assert len(spread.spread(land, 1, 1, 0.0, 0.0, 480.0)[0]) == 1
