@@ -342,6 +342,22 @@ def test_counts_are_those_of_every_simulation(spark):
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect())) != []
 
 
+def test_fires_of_one_cell_meet_each_scenario_once(spark, monkeypatch):
+    rng = np.random.default_rng(4)
+    land = spread.Landscape.of(rng.choice([101, 104, 121, 98], (6, 5)), rng.uniform(0, 30, (6, 5)), rng.uniform(0, 360, (6, 5)), 270.0)
+    spec = GridSpec(0.0, -6 * 270.0, 5 * 270.0, 0.0, 270.0)
+    points = spark.createDataFrame([(k, 270.0 * (k % 2) + 100 + k, -300.0 - k) for k in range(40)] + [(90, -5000.0, 10.0)], "fire_id long, x double, y double")
+    weather = spark.createDataFrame([(0, 2.0, 10.0), (1, 6.0, 200.0)], "scenario_id long, vs double, th double")
+    sims = [(f.fire_id * 2 + w.scenario_id, 1, int(f.x // 270), w.vs, w.th, 60) for f in points.collect() if f.x > 0 for w in weather.collect()]
+    every = spark.createDataFrame(sims, "scenario_id long, ignition_row int, ignition_col int, wind_speed double, wind_direction double, duration_min int")
+    want = montecarlo.burn_probability(montecarlo.burn_counts(spread.simulate(every, land)), 82)
+    given, counts = [], montecarlo.simulate_counts
+    monkeypatch.setattr(montecarlo, "simulate_counts", lambda s, land: given.append(s.count()) or counts(s, land))
+    got = montecarlo.run_conditional(points, weather, land, spec, 60)
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect())) != []
+    assert given == [6]  # two cells and one outside, two scenarios
+
+
 def test_queries_have_production_settings(spark, monkeypatch):
     from emberlake.plans import queries
 
