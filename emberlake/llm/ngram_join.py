@@ -266,15 +266,12 @@ MEMBERS = "key long, id long, probe boolean, lead long"
 
 
 def _open_pairs(table: pa.Table, percent: int, width: int) -> pa.Table:
-    """Pairs of a bucket to verify next: of different components so far, one of them a probe, with sizes and sketches that allow a link, not verified before (rows with `other` say which were). Those that join the bucket's sets into trees, and `width` - 1 further ones for each set: whether more matter shows once these are verified."""
-    done = table.column("other").is_valid()
-    tried = set(zip(*(table.filter(done).column(c).to_pylist() for c in ("key", "id", "other")), strict=True))
-    table = table.filter(table.column("other").is_null())
-    key, id_, comp, n = (table.column(c).to_numpy() for c in ("key", "id", "comp", "n"))
+    """Pairs of a bucket to verify next: of different components so far, one of them a probe, with sizes and sketches that allow a link, beyond the `mark` of the lesser id: the greatest it has been verified with. Of each id the first `width`: whether more matter shows once these are verified."""
+    key, id_, comp, n, mark = (table.column(c).to_numpy() for c in ("key", "id", "comp", "n", "mark"))
     probe, lead = table.column("probe").to_numpy(), table.column("lead").to_numpy()
     sketches = [np.frombuffer(x.as_buffer(), U) for c in table.column("sketch").chunks for x in c]
     order = np.lexsort((id_, key))
-    key, id_, comp, n, probe, lead = key[order], id_[order], comp[order], n[order], probe[order].astype(bool), lead[order]
+    key, id_, comp, n, probe, lead, mark = key[order], id_[order], comp[order], n[order], probe[order].astype(bool), lead[order], mark[order]
     first = id_ == lead  # its pairs with all others have been tried: where these are of other components, none links
     at = runs(key)
     left = np.repeat(at[1:], np.diff(at)) - np.arange(len(key))  # rows from here to the bucket's end
@@ -282,36 +279,18 @@ def _open_pairs(table: pa.Table, percent: int, width: int) -> pa.Table:
     while len(row := row[left[row] > step]):
         other = row + step
         x, y = n[row], n[other]
-        near = (comp[row] != comp[other]) & ~first[row] & ~first[other] & (id_[row] != id_[other]) & (probe[row] | probe[other]) & (100 * np.minimum(x, y) >= percent * np.maximum(x, y))
+        near = (comp[row] != comp[other]) & ~first[row] & ~first[other] & (id_[other] > np.maximum(id_[row], mark[row])) & (probe[row] | probe[other]) & (100 * np.minimum(x, y) >= percent * np.maximum(x, y))
         pairs.append(np.stack([row[near], other[near]]))
         step += 1
     i, j = np.concatenate(pairs, 1)
     allowed = plausible_pairs(sketches, order[i], order[j], n[i] + n[j], percent) if len(i) else np.zeros(0, bool)
     i, j = i[allowed], j[allowed]
     o = np.lexsort((j, i))
-    found, tree, bucket, spare = [], {}, None, {}
-
-    def top(c):
-        while tree.get(c, c) != c:
-            c = tree[c]
-        return c
-
-    for a, b in zip(i[o].tolist(), j[o].tolist(), strict=True):
-        k, x, y = int(key[a]), int(id_[a]), int(id_[b])
-        if k != bucket:
-            bucket, tree, spare = k, {}, {}
-        if (k, x, y) in tried:
-            continue
-        p, q = top(int(comp[a])), top(int(comp[b]))
-        if p == q:
-            if spare.get(x, 1) >= width:
-                continue
-            spare[x] = spare.get(x, 1) + 1
-        else:
-            tree[max(p, q)] = min(p, q)
-        found.append((k, x, y))
-    pairs = np.array(found, np.int64).reshape(-1, 3)
-    return pa.table({"key": pa.array(pairs[:, 0]), "a": pa.array(pairs[:, 1]), "b": pa.array(pairs[:, 2])})
+    i, j = i[o], j[o]
+    at = runs(i)
+    sooner = np.arange(len(i)) - np.repeat(at[:-1], np.diff(at)) < width
+    i, j = i[sooner], j[sooner]
+    return pa.table({"a": pa.array(id_[i]), "b": pa.array(id_[j])})
 
 
 @lean
@@ -421,7 +400,6 @@ def ngram_join(docs: DataFrame, n: int = 4, percent: int = 85) -> DataFrame:
     pairs = labelled(entries.where("id != lead").select(F.col("lead").alias("a"), F.col("id").alias("b")).distinct(), "a", "b").where("a != b")
     stars = work.save(plausible(pairs))
     links = verified(stars)
-    failed = work.save(stars.join(links, ["a", "b"], "left_anti"))
     # an id with several texts leads several sets, or follows several leaders: it joins them
     twice = labels.groupBy("id").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x != y").select("id")
     same = labels.join(twice, "id", "left_semi").select("id", "label").union(alone.select("id", "label"))
@@ -436,30 +414,27 @@ def ngram_join(docs: DataFrame, n: int = 4, percent: int = 85) -> DataFrame:
     open_ = placed.join(split, "key", "left_semi").groupBy("key", "id").agg(F.max("probe").alias("probe"), F.min("lead").alias("lead"), F.min("comp").alias("comp"))
     open_ = work.save(open_.join(info, "id").select("key", "id", "probe", "lead", "comp", "n", "sketch"))
     work.drop(entries)
-    tried = spark.createDataFrame([], "key long, a long, b long")
+    # each id goes through its partners in their order: the greatest that it has met, of all buckets, says which are left
+    open_ = open_.withColumn("mark", F.lit(-(2**63)))
     width, waiting = FIRST_WIDTH, links.limit(0)
     while True:
-        slice_ = F.pmod("key", F.lit(p)).alias("slice")
-        rows_ = open_.select(slice_, "key", "id", "probe", "lead", "comp", "n", "sketch", F.lit(None).cast("long").alias("other"))
-        done = tried.select(slice_, "key", F.col("a").alias("id"), F.lit(False).alias("probe"), F.lit(0).cast("long").alias("lead"), F.lit(0).cast("long").alias("comp"), F.lit(0).cast("long").alias("n"), F.lit(None).cast("binary").alias("sketch"), F.col("b").alias("other"))
-        next_ = work.save(rows_.unionByName(done).groupBy("slice").applyInArrow(grouped(_open_pairs, percent=percent, width=width), "key long, a long, b long"))
-        if next_.isEmpty():
-            break
-        # a set may be in many buckets: in a round it takes `width` pairs of all, the others' turn comes later
+        rows_ = open_.select(F.pmod("key", F.lit(p)).alias("slice"), "key", "id", "probe", "lead", "comp", "n", "sketch", "mark")
+        next_ = rows_.groupBy("slice").applyInArrow(grouped(_open_pairs, percent=percent, width=width), "a long, b long")
+        # a set may be in many buckets: in a round it takes `width` pairs of all, the least; the others' turn comes later
         turn = F.row_number().over(Window.partitionBy("a").orderBy("b"))
-        taken = work.save(next_.select("a", "b").distinct().withColumn("turn", turn).where(F.col("turn") <= width).select("a", "b"))
-        # what has failed in one bucket is not read again for another
-        pairs = work.save(taken.join(failed, ["a", "b"], "left_anti"))
-        links = verified(pairs)
-        failed = work.save(failed.union(pairs.join(links, ["a", "b"], "left_anti")))
+        taken = work.save(next_.distinct().withColumn("turn", turn).where(F.col("turn") <= width).select("a", "b"))
+        if taken.isEmpty():
+            break
+        links = verified(taken)
         waiting, n_links = waiting.union(links), links.count()
-        still = next_.select("key").distinct()
         if n_links > FEW_LINKS:
             found = components(waiting.union(found.select(F.col("id").alias("a"), F.col("comp").alias("b"))), work)
             waiting = waiting.limit(0)
             open_ = open_.drop("comp").join(found, "id", "left").withColumn("comp", F.coalesce("comp", "id"))
-        open_ = work.save(open_.join(still, "key", "left_semi").select("key", "id", "probe", "lead", "comp", "n", "sketch"))
-        tried = work.save(tried.join(still, "key", "left_semi").select("key", "a", "b").union(next_.join(taken, ["a", "b"], "left_semi").select("key", "a", "b")))
+        # an id that took fewer than `width` has met all
+        met = taken.groupBy("a").agg(F.when(F.count(F.lit(1)) == width, F.max("b")).alias("to")).withColumnRenamed("a", "id")
+        open_ = open_.join(met, "id", "left").withColumn("mark", F.coalesce("to", F.lit(2**63 - 1)))
+        open_ = work.save(open_.select("key", "id", "probe", "lead", "comp", "n", "sketch", "mark"))
         width *= WIDER
     if not waiting.isEmpty():
         found = components(waiting.union(found.select(F.col("id").alias("a"), F.col("comp").alias("b"))), work)

@@ -381,6 +381,21 @@ def test_a_cell_is_seated_as_its_posterior_says():
     assert np.abs(np.bincount(many, minlength=c + 1)[1:] / cells - odds / odds.sum()).max() < 0.015
 
 
+def test_rounds_of_a_bucket_offer_each_pair_once():
+    """30 sets that might link and don't: a round offers `width` pairs an id at most, a mark for each id says which are left, and all pairs come once."""
+    sketch = ngram_join.sketch(np.arange(1, 101, dtype=np.uint64), 85).tobytes()
+    ids, marks, width, seen = np.arange(100, 130), np.full(30, -(2**63)), 4, []
+    for _ in range(5):
+        table = pa.table({"slice": [0] * 30, "key": [5] * 30, "id": ids, "probe": [True] * 30, "lead": [100] * 30, "comp": ids, "n": [100] * 30, "sketch": [sketch] * 30, "mark": marks})
+        offered = list(zip(*ngram_join._open_pairs(table, 85, width).to_pydict().values(), strict=True))
+        assert max(Counter(a for a, _ in offered).values(), default=0) <= width
+        for a, b in offered:
+            marks[a - 100] = max(marks[a - 100], b)
+        seen += offered
+    assert sorted(seen) == [(a, b) for a in range(101, 130) for b in range(a + 1, min(a + 21, 130))]
+    assert len(seen) == len(set(seen)) == sum(min(20, 129 - a) for a in range(101, 130))
+
+
 def test_all_customers_of_large_cells_are_seated():
     """300 and 1500 customers of one dish: numbers of tables as the recurrence of Stirling numbers gives them, from the first sweep on."""
     d, strength, others = pitman_yor.DISCOUNT[1], pitman_yor.STRENGTH[1], 100
