@@ -29,8 +29,8 @@ from .workspace import Workspace, slices, slices_by_size
 PAIR_COST, BAND_SHARE = 0.02, 0.25
 SEGMENTS = (3, 4, 6)
 SPARE = 5  # one group more for each so many that a set must probe with
-CHUNK = 1 << 20  # bytes of text whose sets are made at once
-TOGETHER = 1 << 20  # index entries that a task gathers before it deals them out
+CHUNK = 1 << 19  # bytes of text whose sets are made at once
+TOGETHER = 1 << 19  # index entries that a task gathers before it deals them out
 FIRST_WIDTH, WIDER = 4, 8  # pairs that a set takes in the first round, and by how much they grow in each further one
 FEW_LINKS = 1000  # new links that needn't change components before the next round
 FEW = 100_000  # ids that may be broadcast: some megabytes

@@ -381,6 +381,20 @@ def test_a_cell_is_seated_as_its_posterior_says():
     assert np.abs(np.bincount(many, minlength=c + 1)[1:] / cells - odds / odds.sum()).max() < 0.015
 
 
+def test_indexing_sets_takes_little_memory():
+    """Some megabytes of texts as the pipeline's third stage indexes them: a worker holds few index entries at once."""
+    import tracemalloc
+
+    rng = np.random.default_rng(2)
+    batch = pa.record_batch({"doc_id": np.arange(4000), "text": [" ".join(f"w{x}" for x in rng.integers(0, 10**6, 300)) for _ in range(4000)]})
+    scheme = ngram_join.Scheme(80, 250_000)
+    tracemalloc.start()
+    rows = sum(b.column(2).is_valid().to_numpy(zero_copy_only=False).sum() for b in ngram_join._index.__wrapped__([batch], scheme, 5, 64))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert rows == 4000 and peak < 60 << 20
+
+
 def test_rounds_of_a_bucket_offer_each_pair_once():
     """30 sets that might link and don't: a round offers `width` pairs an id at most, a mark for each id says which are left, and all pairs come once."""
     sketch = ngram_join.sketch(np.arange(1, 101, dtype=np.uint64), 85).tobytes()
