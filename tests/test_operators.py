@@ -342,6 +342,15 @@ def test_counts_are_those_of_every_simulation(spark):
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect())) != []
 
 
+def test_trees_read_rows_that_are_made_once(spark, monkeypatch):
+    df = spark.range(40).select((F.col("id") % 2).cast("int").alias("label"), F.col("id").cast("double").alias("a"))
+    seen, fit = [], ml.Pipeline.fit
+    monkeypatch.setattr(ml.Pipeline, "fit", lambda self, rows: seen.append((rows, rows.storageLevel.useMemory)) or fit(self, rows))
+    model = ml.IgnitionModel("random_forest", numTrees=2, maxDepth=2).fit(df, ["a"])
+    assert [x for _, x in seen] == [True] and not seen[0][0].storageLevel.useMemory
+    assert model.predict_proba(df).count() == 40
+
+
 def test_fires_of_one_cell_meet_each_scenario_once(spark, monkeypatch):
     rng = np.random.default_rng(4)
     land = spread.Landscape.of(rng.choice([101, 104, 121, 98], (6, 5)), rng.uniform(0, 30, (6, 5)), rng.uniform(0, 360, (6, 5)), 270.0)
