@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from emberlake.llm.bpe import decode, encode
+from emberlake.llm.bpe import checked
 from emberlake.llm.exact_dedup import drop_copies
 from emberlake.llm.mixing import mixed
 from emberlake.llm.ngram_join import one_of_each
@@ -40,9 +40,8 @@ def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def byte_bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of each whole text (null: none), and whether they decode to it. Every row stays, repeated ones too."""
-    done = decode(encode(docs, RANKS, public_tokenizers.PATTERN), RANKS, public_tokenizers.PATTERN)
-    same = F.sha2("bytes", 256) == F.sha2(F.coalesce("text", F.lit("")), 256)
-    return done.select("doc_id", "lang", "source", "ids", F.size("ids").cast("long").alias("n_tokens"), same.alias("decodes"))
+    done = checked(docs.select("doc_id", "lang", "source", "text"), RANKS, public_tokenizers.PATTERN)
+    return done.select("doc_id", "lang", "source", "ids", F.size("ids").cast("long").alias("n_tokens"), "decodes")
 
 
 STAGES = [("toxicity", toxicity), ("exact_dedup", exact_dedup), ("near_dedup", near_dedup), ("mixing", mixing), ("byte_bpe", byte_bpe)]

@@ -219,6 +219,20 @@ def _decoded(batches, path: str, pattern: str):
         yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([e.decode(x.values.to_numpy().tolist()) if x.is_valid else b"" for x in ids], pa.binary())], [*batch.schema.names, "bytes"])
 
 
+@lean
+def _checked(batches, path: str, pattern: str):
+    e = encoder(path, pattern)
+    try:
+        for batch in batches:
+            for rows, texts in texts_of(batch):
+                ids = e.encode(texts)
+                same = [e.decode(x) == t.encode() for x, t in zip(ids, texts, strict=True)]
+                rest = rows.drop_columns(["text"])
+                yield pa.RecordBatch.from_arrays([*rest.columns, pa.array(ids, pa.list_(pa.int32())), pa.array(same, pa.bool_())], [*rest.schema.names, "ids", "decodes"])
+    finally:
+        e.forget()
+
+
 @lean
 def _digests(batches, path: str, pattern: str):
     e = encoder(path, pattern)
@@ -251,6 +265,15 @@ def decode(encoded: DataFrame, path: str, pattern: str) -> DataFrame:
     return encoded.mapInArrow(partial(_decoded, path=path, pattern=pattern), StructType([*encoded.schema.fields, StructField("bytes", BinaryType())]))
 
 
+def checked(docs: DataFrame, path: str, pattern: str) -> DataFrame:
+    """docs with `ids` in place of `text`, and `decodes`: whether they decode to it (null is empty). Encoded and decoded in one pass, so a task has one worker and texts don't travel back."""
+    from pyspark.sql.types import ArrayType, BooleanType, IntegerType, StructField, StructType
+
+    docs = docs.drop("ids", "decodes")
+    rest = docs.drop("text").schema.fields
+    return docs.mapInArrow(partial(_checked, path=path, pattern=pattern), StructType([*rest, StructField("ids", ArrayType(IntegerType())), StructField("decodes", BooleanType())]))
+
+
 def round_trip(docs: DataFrame, path: str, pattern: str) -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256 of each row: encoded, then decoded from the ids.
 

@@ -117,3 +117,13 @@ def scores(machine, rows):
         v = machine.v[term].astype(float) * scale
         out.append(machine.bias + machine.w[term].astype(float).sum() * scale + ((v.sum(0) ** 2).sum() - (v**2).sum()) / 2)
     return out
+
+
+def test_byte_bpe_takes_one_worker_a_task(spark):
+    """Encoded and decoded in one pass, as two workers a task took an executor's memory; nulls, empty texts and repeated rows stay."""
+    rows = [(1, "Ein Wort, zwei \u00df\u4e16\u754c", "de", "web"), (1, "Ein Wort, zwei \u00df\u4e16\u754c", "de", "web"), (2, None, None, None), (3, "", "en", "web"), (None, "a  b\n" * 50, "en", None)]
+    done = corpus_pipeline.byte_bpe(spark, spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").coalesce(1), "")
+    assert done._jdf.queryExecution().optimizedPlan().toString().count("MapInArrow") == 1
+    plain = tiktoken.Encoding("plain", pat_str=P.PATTERN, mergeable_ranks=bpe.load_ranks(corpus_pipeline.RANKS), special_tokens={})
+    ids = [plain.encode_ordinary(r[1] or "") for r in rows]
+    assert [tuple(r) for r in done.collect()] == [(r[0], r[2], r[3], x, len(x), True) for r, x in zip(rows, ids, strict=True)]
