@@ -32,6 +32,7 @@ SPARE = 5  # one group more for each so many that a set must probe with
 CHUNK = 1 << 19  # bytes of text whose sets are made at once
 TOGETHER = 1 << 19  # index entries that a task gathers before it deals them out
 FIRST_WIDTH, WIDER = 4, 8  # pairs that a set takes in the first round, and by how much they grow in each further one
+SHARP = 16  # bits of a sketch for each element that two sets may differ in
 FEW_LINKS = 1000  # new links that needn't change components before the next round
 FEW = 100_000  # ids that may be broadcast: some megabytes
 LEADERS = 1 << 16  # sets that a task remembers to tell copies by
@@ -177,10 +178,10 @@ def differences(sizes, percent: int):
 def sketch(s: np.ndarray, percent: int) -> np.ndarray:
     """The parity of how many elements fall on each of some bits: two sketches differ in no more bits than the sets in elements.
 
-    A power of two of at least four times the differences that partners of this size may have, so sets
-    that share little differ in about twice as many bits as they may; a fraction of a bit an element.
+    A power of two of at least SHARP times the differences that partners of this size may have: elements seldom
+    share a bit, so sets that differ in a tenth more than they may mostly show it; a few bits an element.
     """
-    bits = max(64, 1 << (4 * differences(2 * len(s), percent)).bit_length())
+    bits = max(64, 1 << (SHARP * differences(2 * len(s), percent)).bit_length())
     parity = np.bincount((s & U(bits - 1)).astype(np.int64), minlength=bits) & 1
     return np.packbits(parity.astype(np.uint8), bitorder="little").view("<u8")
 
@@ -266,7 +267,7 @@ MEMBERS = "key long, id long, probe boolean, lead long"
 
 
 def _open_pairs(table: pa.Table, percent: int, width: int) -> pa.Table:
-    """Pairs of a bucket to verify next: of different components so far, one of them a probe, with sizes and sketches that allow a link, beyond the `mark` of the lesser id: the greatest it has been verified with. Of each id the first `width`: whether more matter shows once these are verified."""
+    """Pairs of a bucket to verify next: of different components so far, one of them a probe, with sizes and sketches that allow a link, beyond the `mark` of the lesser id: the greatest it has been verified with. Of each id the first `width` in all buckets of the slice, each once: whether more matter shows once these are verified."""
     key, id_, comp, n, mark = (table.column(c).to_numpy() for c in ("key", "id", "comp", "n", "mark"))
     probe, lead = table.column("probe").to_numpy(), table.column("lead").to_numpy()
     sketches = [np.frombuffer(x.as_buffer(), U) for c in table.column("sketch").chunks for x in c]
@@ -284,13 +285,15 @@ def _open_pairs(table: pa.Table, percent: int, width: int) -> pa.Table:
         step += 1
     i, j = np.concatenate(pairs, 1)
     allowed = plausible_pairs(sketches, order[i], order[j], n[i] + n[j], percent) if len(i) else np.zeros(0, bool)
-    i, j = i[allowed], j[allowed]
-    o = np.lexsort((j, i))
-    i, j = i[o], j[o]
-    at = runs(i)
-    sooner = np.arange(len(i)) - np.repeat(at[:-1], np.diff(at)) < width
-    i, j = i[sooner], j[sooner]
-    return pa.table({"a": pa.array(id_[i]), "b": pa.array(id_[j])})
+    a, b = id_[i[allowed]], id_[j[allowed]]
+    o = np.lexsort((b, a))
+    a, b = a[o], b[o]
+    fresh = np.ones(len(a), bool)
+    fresh[1:] = (a[1:] != a[:-1]) | (b[1:] != b[:-1])
+    a, b = a[fresh], b[fresh]
+    at = runs(a)
+    sooner = np.arange(len(a)) - np.repeat(at[:-1], np.diff(at)) < width
+    return pa.table({"a": pa.array(a[sooner]), "b": pa.array(b[sooner])})
 
 
 @lean

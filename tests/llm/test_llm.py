@@ -410,6 +410,29 @@ def test_rounds_of_a_bucket_offer_each_pair_once():
     assert len(seen) == len(set(seen)) == sum(min(20, 129 - a) for a in range(101, 130))
 
 
+def test_pairs_of_many_buckets_are_offered_once_a_slice():
+    """20 sets that meet in 10 buckets of one slice: each pair comes once, and `width` pairs an id at most in all."""
+    sketch = ngram_join.sketch(np.arange(1, 101, dtype=np.uint64), 85).tobytes()
+    ids = np.tile(np.arange(100, 120), 10)
+    table = pa.table({"slice": [0] * 200, "key": np.repeat(np.arange(10), 20), "id": ids, "probe": [True] * 200, "lead": [100] * 200, "comp": ids, "n": [100] * 200, "sketch": [sketch] * 200, "mark": [-(2**63)] * 200})
+    for width in (4, 100):
+        offered = list(zip(*ngram_join._open_pairs(table, 85, width).to_pydict().values(), strict=True))
+        assert offered == [(a, b) for a in range(101, 120) for b in range(a + 1, min(a + 1 + width, 120))]
+
+
+def test_sketches_reject_sets_that_differ_in_a_few_more():
+    """Copies that differ from each other in 1.4 times the elements that links may: few of their pairs need their texts, and no pair that links is lost."""
+    rng, size = np.random.default_rng(4), 150
+    for times, least, most in ((1.0, 1.0, 1.0), (1.4, 0.0, 0.15)):
+        whole = rng.integers(1, 2**63, size, dtype=np.uint64)
+        changed = int(times * ngram_join.differences(2 * size, 85)) // 2  # by so many elements on either side
+        copies = [np.concatenate([whole[changed:], rng.integers(1, 2**63, changed, dtype=np.uint64)]) for _ in range(300)]
+        sketches = [ngram_join.sketch(s, 85) for s in (whole, *copies)]
+        j = np.arange(1, 301)
+        passed = ngram_join.plausible_pairs(sketches, np.zeros(300, np.int64), j, np.full(300, 2 * size), 85).mean()
+        assert least <= passed <= most
+
+
 def test_all_customers_of_large_cells_are_seated():
     """300 and 1500 customers of one dish: numbers of tables as the recurrence of Stirling numbers gives them, from the first sweep on."""
     d, strength, others = pitman_yor.DISCOUNT[1], pitman_yor.STRENGTH[1], 100
