@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .kernels import grouped, longs, pack, unpack
-from .workspace import slices
+from .workspace import freed, slices
 
 #: Bits of a routing bitmap: 2 ** 27 bits are 16 MB, whatever the corpus holds.
 BITMAP_BITS = 27
@@ -124,7 +124,9 @@ def bitmaps_of(spark, made: DataFrame, bits: int, *least: int) -> list:
     whole = {n: np.zeros(1 << (BITMAP_BITS - 3), np.uint8) for n in least}
     size = 1 << (BITMAP_BITS - 3 - bits)
     parts = made.groupBy("slice").applyInArrow(grouped(_bitmap, least=least, bits=bits), "slice int, least int, bits binary")
-    for row in parts.where("bits IS NOT NULL").collect():  # 2 ** BITMAP_BITS bits each in all
+    with freed(spark):
+        rows = parts.where("bits IS NOT NULL").collect()  # 2 ** BITMAP_BITS bits each in all
+    for row in rows:
         whole[row[1]][row[0] * size : (row[0] + 1) * size] = np.frombuffer(row[2], np.uint8)
     return [spark.sparkContext.broadcast(whole[n].tobytes()) for n in least]
 

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .kernels import ROOT, ROOT_2, U, chunks, dealt, grouped, inverses, lean, longs, mix, pack, powers, runs, squeezed, unpack, unsqueezed
-from .quotient import bitmap, bitmaps, bitmaps_of, build, in_bitmap, slice_bits
+from .quotient import bitmap, bitmaps, bitmaps_of, build, hit, in_bitmap, slice_bits
 from .workspace import Workspace, slices, slices_by_size
 
 GRAM = 32
@@ -417,6 +417,13 @@ def _cut(batches):
         yield pa.RecordBatch.from_arrays([batch.column(batch.schema.get_field_index("doc_id")), pa.array(n, pa.int64()), pa.array(removed, pa.int64()), pa.array(runs_, pa.int64()), pa.array(kept, pa.binary())], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept"])
 
 
+def _parted(docs: DataFrame, spans: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Rows of docs that certainly lose nothing, and the others: only these meet their spans."""
+    known = bitmap(spans.select(F.xxhash64("doc_id").alias("fp")), repeated=False)
+    maybe = hit(F.xxhash64(F.coalesce("doc_id", F.lit(FIRST))), known)
+    return docs.where(~maybe), docs.where(maybe)
+
+
 def substring_dedup(docs: DataFrame, length: int = 100, key_bits: int = 64) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept (the bytes that stay) for each row.
 
@@ -444,8 +451,11 @@ def substring_dedup(docs: DataFrame, length: int = 100, key_bits: int = 64) -> D
     dictionary = docs.mapInArrow(partial(_dictionary, length=length, firsts=firsts, several=several, common=common, p=p, key_bits=key_bits), packed)
     more = dictionary.groupBy("slice").applyInArrow(grouped(_sorted, length=length, p=p), packed)
     spans = work.save(covered.unionByName(more).groupBy("slice").applyInArrow(grouped(_by_document), "doc_id long, mark long, spans binary"))
-    texts = docs.mapInArrow(_marked, "doc_id long, text string, mark long")
+    work.drop(found)
+    whole, rest = _parted(docs, spans)
+    texts = rest.mapInArrow(_marked, "doc_id long, text string, mark long")
     spans = spans.select(F.col("doc_id").alias("of"), F.col("mark").alias("of_mark"), "spans")
     key = F.coalesce("doc_id", F.lit(FIRST))
     joined = texts.join(spans, (key == F.col("of")) & (F.col("mark") == F.col("of_mark")), "left").select("doc_id", "text", "spans")
+    joined = joined.unionByName(whole.withColumn("spans", F.lit(None).cast("binary")))
     return joined.mapInArrow(_cut, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary")
