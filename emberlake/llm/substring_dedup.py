@@ -22,8 +22,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .kernels import ROOT, ROOT_2, U, chunks, dealt, grouped, inverses, lean, longs, mix, pack, powers, runs, squeezed, unpack, unsqueezed
-from .quotient import bitmap, bitmaps, bitmaps_of, build, hit, in_bitmap, slice_bits
+from .kernels import ROOT, ROOT_2, U, chunks, column_of, dealt, grouped, inverses, lean, longs, mix, pack, powers, runs, squeezed, unpack, unsqueezed
+from .quotient import bitmap, bitmaps, bitmaps_of, build, in_bitmap, slice_bits
 from .workspace import Workspace, slices, slices_by_size
 
 GRAM = 32
@@ -385,43 +385,64 @@ def _by_document(table: pa.Table) -> pa.Table:
     return pa.table({"doc_id": pa.array(doc[firsts]), "mark": pa.array(mark[firsts]), "spans": pa.array([pairs[x:y].tobytes() for x, y in zip(cuts[:-1], cuts[1:], strict=True)], pa.binary())})
 
 
+def _parts(batch: pa.RecordBatch, known, hits: bool):
+    """Rows of a batch whose fp hits the bitmap, or the others, some megabytes at a time."""
+    whole = np.frombuffer(known.value, np.uint8)
+    for at, rows, _, _ in chunks(batch):
+        part = batch.slice(at, rows)
+        yield part.filter(pa.array(in_bitmap(longs(part, "fp").view(U), whole) == hits, pa.bool_()))
+
+
 @lean
-def _marked(batches):
+def _marked(batches, known):
+    """doc_id, text, mark of rows that may lose bytes."""
     for batch in batches:
-        marks = []
-        for _, _, data, offs in chunks(batch):
-            marks += [_text_mark(data[a:b].tobytes()) for a, b in zip(offs[:-1], offs[1:], strict=True)]
-        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(marks, pa.int64())], [*batch.schema.names, "mark"])
+        for part in _parts(batch, known, True):
+            marks = [m for _, _, data, offs in chunks(part) for m in _marks(data, offs).tolist()]
+            yield pa.RecordBatch.from_arrays([column_of(part, "doc_id"), column_of(part, "text"), pa.array(marks, pa.int64())], ["doc_id", "text", "mark"])
+
+
+CUT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary"
+
+
+def _without_spans(batch: pa.RecordBatch, spans: pa.Array):
+    """doc_id, n_bytes, n_removed, n_spans, kept bytes, some megabytes of text at a time."""
+    ids = column_of(batch, "doc_id")
+    for at, rows, data, offs in chunks(batch):
+        out: list[list] = [[], [], [], []]
+        for k, (a, b) in enumerate(zip(offs[:-1], offs[1:], strict=True), at):
+            text = data[a:b].tobytes()
+            cuts = np.frombuffer(spans[k].as_buffer(), "<u4").reshape(-1, 2).tolist() if spans[k].is_valid else []
+            kept, end = [], 0
+            for x, y in cuts:
+                kept.append(text[end:x])
+                end = y
+            kept = b"".join([*kept, text[end:]])
+            for column, x in zip(out, (len(text), len(text) - len(kept), len(cuts), kept), strict=True):
+                column.append(x)
+        n, removed, runs_, kept = out
+        yield pa.RecordBatch.from_arrays([ids.slice(at, rows), pa.array(n, pa.int64()), pa.array(removed, pa.int64()), pa.array(runs_, pa.int64()), pa.array(kept, pa.binary())], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept"])
+
+
+@lean
+def _whole(batches, known):
+    """Rows that certainly lose nothing."""
+    for batch in batches:
+        for part in _parts(batch, known, False):
+            yield from _without_spans(part, pa.nulls(part.num_rows, pa.binary()))
 
 
 @lean
 def _cut(batches):
-    """doc_id, n_bytes, n_removed, n_spans, kept bytes."""
     for batch in batches:
-        spans = batch.column(batch.schema.get_field_index("spans"))
-        out: list[list] = [[], [], [], []]
-        k = 0
-        for _, _, data, offs in chunks(batch):
-            for a, b in zip(offs[:-1], offs[1:], strict=True):
-                text = data[a:b].tobytes()
-                cuts = np.frombuffer(spans[k].as_buffer(), "<u4").reshape(-1, 2).tolist() if spans[k].is_valid else []
-                kept, at = [], 0
-                for x, y in cuts:
-                    kept.append(text[at:x])
-                    at = y
-                kept = b"".join([*kept, text[at:]])
-                for column, x in zip(out, (len(text), len(text) - len(kept), len(cuts), kept), strict=True):
-                    column.append(x)
-                k += 1
-        n, removed, runs_, kept = out
-        yield pa.RecordBatch.from_arrays([batch.column(batch.schema.get_field_index("doc_id")), pa.array(n, pa.int64()), pa.array(removed, pa.int64()), pa.array(runs_, pa.int64()), pa.array(kept, pa.binary())], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept"])
+        yield from _without_spans(batch, column_of(batch, "spans"))
 
 
 def _parted(docs: DataFrame, spans: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Rows of docs that certainly lose nothing, and the others: only these meet their spans."""
+    """What is left of docs that certainly lose nothing; and the other rows with their marks: only these meet their spans. A task has one worker, which tells them apart itself."""
     known = bitmap(spans.select(F.xxhash64("doc_id").alias("fp")), repeated=False)
-    maybe = hit(F.xxhash64(F.coalesce("doc_id", F.lit(FIRST))), known)
-    return docs.where(~maybe), docs.where(maybe)
+    docs = docs.withColumn("fp", F.xxhash64(F.coalesce("doc_id", F.lit(FIRST))))
+    return docs.mapInArrow(partial(_whole, known=known), CUT), docs.mapInArrow(partial(_marked, known=known), "doc_id long, text string, mark long")
 
 
 def substring_dedup(docs: DataFrame, length: int = 100, key_bits: int = 64) -> DataFrame:
@@ -445,6 +466,7 @@ def substring_dedup(docs: DataFrame, length: int = 100, key_bits: int = 64) -> D
     packed = "slice int, kind int, blob binary"
     parsed = docs.mapInArrow(partial(_parse, length=length, known=known, p=p, key_bits=key_bits), packed)
     found = work.save(parsed.groupBy("slice").applyInArrow(grouped(_repeated, length=length, p=p), FIRSTS))
+    known.unpersist()
     covered, first = found.where("kind = 1").select("slice", "kind", "blob"), found.where("kind = 2")
     of_trigger = first.select(F.col("trigger").alias("fp"))
     firsts, (several, common) = bitmap(first.select("fp"), repeated=False), bitmaps(of_trigger, 2, COMMON)
@@ -452,10 +474,10 @@ def substring_dedup(docs: DataFrame, length: int = 100, key_bits: int = 64) -> D
     more = dictionary.groupBy("slice").applyInArrow(grouped(_sorted, length=length, p=p), packed)
     spans = work.save(covered.unionByName(more).groupBy("slice").applyInArrow(grouped(_by_document), "doc_id long, mark long, spans binary"))
     work.drop(found)
-    whole, rest = _parted(docs, spans)
-    texts = rest.mapInArrow(_marked, "doc_id long, text string, mark long")
+    for bits_ in (firsts, several, common):
+        bits_.unpersist()
+    whole, texts = _parted(docs, spans)
     spans = spans.select(F.col("doc_id").alias("of"), F.col("mark").alias("of_mark"), "spans")
     key = F.coalesce("doc_id", F.lit(FIRST))
     joined = texts.join(spans, (key == F.col("of")) & (F.col("mark") == F.col("of_mark")), "left").select("doc_id", "text", "spans")
-    joined = joined.unionByName(whole.withColumn("spans", F.lit(None).cast("binary")))
-    return joined.mapInArrow(_cut, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary")
+    return joined.mapInArrow(_cut, CUT).unionByName(whole)

@@ -344,6 +344,20 @@ def test_texts_that_lose_nothing_are_not_joined(spark):
     assert Counter(whole + rest) == Counter(None if k == 7 else k for k in range(500))
 
 
+def test_a_task_has_one_worker(docs):
+    """Texts are cut in one Python worker a task: no two steps in Python follow each other in the plan."""
+    plan = substring_dedup.substring_dedup(docs)._jdf.queryExecution().sparkPlan().toString().splitlines()
+    steps = [(re.search(r"\w", line).start(), bool(re.search("ArrowEvalPython|MapInArrow", line))) for line in plan]
+    above: list[tuple[int, bool]] = []
+    for depth, python in steps:
+        while above and above[-1][0] >= depth:
+            above.pop()
+        if python and not any("Join" in plan[k] for k in range(len(plan)) if steps[k] in above):
+            assert not any(p for _, p in above)
+        above.append((depth, python))
+    assert sum(p for _, p in steps) == 3
+
+
 def test_phrases_with_one_key_are_told_apart(docs):
     """Phrases whose first keys clash all the time: the other half of their digests decides."""
     got = substring_dedup.substring_dedup(docs, 100, key_bits=3)
