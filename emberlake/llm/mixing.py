@@ -78,7 +78,7 @@ def sainte_lague(parties: DataFrame, seats: int, votes: str, cap: str, order: li
     return base.join(won, same, "left").withColumn("quota", F.col("quota") + F.coalesce("extra", F.lit(0))).drop("extra", *[f"__{c}" for c in order])
 
 
-def mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), shard_rows: int = 5_000, seed: int = 0, extra: list[str] = ()) -> DataFrame:
+def mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), shard_rows: int = 5_000, seed: int = 0, extra: list[str] = (), work: Workspace | None = None) -> DataFrame:
     """For each row: doc_id, size, source, source_size, target, taken, first (the first word taken within the last round, 0-based), place (its order), and `extra` columns.
 
     Sources by code point, null last, weigh `weights` in turn. Each source's rows are dealt to shards
@@ -86,9 +86,10 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), shard_rows: int =
     words form one stream cut into blocks of equally many words. Sainte-Lague gives each (source,
     shard) a whole number of blocks; full rounds take every block, and the last round takes the run
     of blocks from a seeded start, cyclically. A row with no words takes none. Rows that repeat are
-    rows of their own. An empty table, or one without words, gives taken = 0 throughout.
+    rows of their own. An empty table, or one without words, gives taken = 0 throughout. What it returns
+    is read from `work`, which a caller may clear once that is written.
     """
-    work = Workspace(docs.sparkSession, "mixing")
+    work = work or Workspace(docs.sparkSession, "mixing")
     text_hash = F.xxhash64(F.coalesce("text", F.lit("")))
     rows = docs.select("doc_id", "source", size_of(F.col("text")).alias("size"), F.xxhash64(F.lit(seed), "doc_id", text_hash).alias("draw"), *extra)
     rows = work.save(rows)
@@ -132,11 +133,12 @@ def mixed(docs: DataFrame, **options) -> DataFrame:
     All columns stay, whatever their names. Rows alike in all columns are taken each for itself.
     """
     columns = docs.columns
-    work = Workspace(docs.sparkSession, "mixed")
+    work, own = Workspace(docs.sparkSession, "mixed"), Workspace(docs.sparkSession, "mixing")
     key = F.xxhash64(F.coalesce("text", F.lit("")), *[F.col("`" + c + "`").cast("string") for c in columns if c not in ("doc_id", "text")])
     docs = docs.withColumn("__key", key)
-    taken = mix(docs, extra=["__key"], **options).where("taken > 0")
+    taken = mix(docs, extra=["__key"], work=own, **options).where("taken > 0")
     taken = work.save(taken.select(F.col("doc_id").alias("__id"), F.col("__key").alias("__k"), F.col("taken").alias("__taken"), F.col("first").alias("__first"), F.col("size").alias("__size")))
+    own.clear()
     # rows alike in all columns are one here, and each of them that the mix takes meets it
     one = docs.dropDuplicates(["doc_id", "__key"])
     out = one.join(taken, one["doc_id"].eqNullSafe(F.col("__id")) & (one["__key"] == F.col("__k")))

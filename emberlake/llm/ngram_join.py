@@ -345,7 +345,24 @@ def components(links: DataFrame, work: Workspace) -> DataFrame:
         work.drop(old, large)
 
 
-def ngram_join(docs: DataFrame, n: int = 4, percent: int = 85) -> DataFrame:
+def only(df: DataFrame, column: str, ids: DataFrame) -> DataFrame:
+    """Rows of df whose `column` (long) is in ids, a table of that one column without repeats. Only rows that may be are shuffled."""
+    if ids.count() <= FEW:
+        return df.join(F.broadcast(ids), column, "left_semi")
+    return df.where(hit(F.xxhash64(column), bitmap(ids.select(F.xxhash64(column).alias("fp")), repeated=False))).join(ids, column, "left_semi")
+
+
+def unsettled(placed: DataFrame) -> DataFrame:
+    """key, id, probe, lead, comp: of the buckets' rows those whose pairs may still matter once each bucket's least id, its lead, has been tried with all others.
+
+    The lead is left out, and so are buckets whose other ids are of one component, or none of them a probe: most buckets hold one id beside the lead.
+    """
+    placed = placed.where("id != lead")
+    split = placed.groupBy("key").agg(F.min("comp").alias("x"), F.max("comp").alias("y"), F.max("probe").alias("p")).where("x != y AND p").select("key")
+    return placed.join(split, "key", "left_semi").groupBy("key", "id").agg(F.max("probe").alias("probe"), F.min("lead").alias("lead"), F.min("comp").alias("comp"))
+
+
+def ngram_join(docs: DataFrame, n: int = 4, percent: int = 85, work: Workspace | None = None) -> DataFrame:
     """doc_id, n_shingles, component_id for each row.
 
     A document's set holds its distinct n-word shingles (hashed to 128 bits), or the whole word sequence
@@ -353,10 +370,10 @@ def ngram_join(docs: DataFrame, n: int = 4, percent: int = 85) -> DataFrame:
     their own id. Two documents link when their Jaccard similarity is at least percent/100. component_id
     is the least doc_id that links lead to. Null texts are empty. Rows with a null id link with nothing
     and have a null component_id. Rows that repeat a doc_id are one document: links of any of its texts
-    are its own. Extra columns play no part; an empty table gives no rows.
+    are its own. Extra columns play no part; an empty table gives no rows. What it returns is read from
+    `work`, which a caller may clear once that is written.
     """
-    spark = docs.sparkSession
-    work = Workspace(spark, "ngram-join")
+    work = work or Workspace(docs.sparkSession, "ngram-join")
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     p = max(slices(docs), slices_by_size(docs, each=32 << 20))
     scheme = Scheme(percent, docs.count())
@@ -383,12 +400,7 @@ def ngram_join(docs: DataFrame, n: int = 4, percent: int = 85) -> DataFrame:
     def verified(edges: DataFrame) -> DataFrame:
         """The pairs that link, by their whole texts. Only texts that a candidate pair names are shuffled."""
         ids = work.save(edges.select(F.explode(F.array("a", "b")).alias("id")).distinct())
-        texts = docs.select(F.col("doc_id").alias("id"), "text").where("id IS NOT NULL")
-        if ids.count() > FEW:
-            texts = texts.where(hit(F.xxhash64("id"), bitmap(ids.select(F.xxhash64("id").alias("fp")), repeated=False))).join(ids, "id", "left_semi")
-        else:
-            texts = texts.join(F.broadcast(ids), "id", "left_semi")
-        texts = work.save(texts)
+        texts = work.save(only(docs.select(F.col("doc_id").alias("id"), "text").where("id IS NOT NULL"), "id", ids))
         x, y = (texts.select(F.col("id").alias(e), F.col("text").alias(f"{e}_text")) for e in "ab")
         out = work.save(edges.join(x, "a").join(y, "b").select("a", "b", "a_text", "b_text").mapInArrow(partial(_linked, n=n, percent=percent), "a long, b long").distinct())
         work.drop(ids, texts)
@@ -413,12 +425,9 @@ def ngram_join(docs: DataFrame, n: int = 4, percent: int = 85) -> DataFrame:
     # a bucket without any such pair is done: components only grow
     place = found.withColumnRenamed("id", "node")
     placed = labelled(entries, "id", "lead").join(place, F.col("id") == F.col("node"), "left").select("key", "id", "probe", "lead", F.coalesce("comp", "id").alias("comp"))
-    split = placed.groupBy("key").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x != y").select("key")
-    open_ = placed.join(split, "key", "left_semi").groupBy("key", "id").agg(F.max("probe").alias("probe"), F.min("lead").alias("lead"), F.min("comp").alias("comp"))
-    open_ = work.save(open_.join(info, "id").select("key", "id", "probe", "lead", "comp", "n", "sketch"))
-    work.drop(entries)
+    kept = open_ = work.save(unsettled(placed).join(info, "id").select("key", "id", "probe", "lead", "comp", "n", "sketch", F.lit(-(2**63)).alias("mark")))
+    work.drop(entries, stars)
     # each id goes through its partners in their order: the greatest that it has met, of all buckets, says which are left
-    open_ = open_.withColumn("mark", F.lit(-(2**63)))
     width, waiting = FIRST_WIDTH, links.limit(0)
     while True:
         rows_ = open_.select(F.pmod("key", F.lit(p)).alias("slice"), "key", "id", "probe", "lead", "comp", "n", "sketch", "mark")
@@ -437,7 +446,13 @@ def ngram_join(docs: DataFrame, n: int = 4, percent: int = 85) -> DataFrame:
         # an id that took fewer than `width` has met all
         met = taken.groupBy("a").agg(F.when(F.count(F.lit(1)) == width, F.max("b")).alias("to")).withColumnRenamed("a", "id")
         open_ = open_.join(met, "id", "left").withColumn("mark", F.coalesce("to", F.lit(2**63 - 1)))
-        open_ = work.save(open_.select("key", "id", "probe", "lead", "comp", "n", "sketch", "mark"))
+        old, kept = kept, work.save(open_.select("key", "id", "probe", "lead", "comp", "n", "sketch", "mark"))
+        work.drop(old)
+        # buckets all of whose ids have met all are done
+        keys = work.save(kept.where(F.col("mark") < 2**63 - 1).select("key").distinct())
+        if keys.isEmpty():
+            break
+        open_ = only(kept, "key", keys)
         width *= WIDER
     if not waiting.isEmpty():
         found = components(waiting.union(found.select(F.col("id").alias("a"), F.col("comp").alias("b"))), work)
@@ -449,6 +464,7 @@ def one_of_each(docs: DataFrame, n: int = 4, percent: int = 85) -> DataFrame:
     """docs without the documents whose component has a smaller doc_id; all columns stay. Rows with a null id, with no words, or that repeat the least id of their component all stay."""
     from .quotient import without
 
-    work = Workspace(docs.sparkSession, "one-of-each")
-    dropped = work.save(ngram_join(docs, n, percent).where("doc_id != component_id").select("doc_id"))
+    work, own = Workspace(docs.sparkSession, "one-of-each"), Workspace(docs.sparkSession, "ngram-join")
+    dropped = work.save(ngram_join(docs, n, percent, own).where("doc_id != component_id").select("doc_id"))
+    own.clear()
     return without(docs, "doc_id", dropped)

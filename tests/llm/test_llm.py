@@ -433,6 +433,21 @@ def test_rounds_of_a_bucket_offer_each_pair_once():
     assert len(seen) == len(set(seen)) == sum(min(20, 129 - a) for a in range(101, 130))
 
 
+def test_only_buckets_with_pairs_left_go_on(spark):
+    """Each bucket's lead has been tried: a bucket of a lead and one other id has no pair left, nor has one whose other ids are one component, or of whom none probes."""
+    buckets = {1: (10, {11: 11}), 2: (10, {11: 11, 12: 12}), 3: (20, {21: 21, 22: 21}), 4: (30, {31: 31, 32: 32})}
+    rows = [(key, k, probe, lead, comp) for key, (lead, others) in buckets.items() for k, comp in {lead: lead, **others}.items() for probe in (False, key != 4)]
+    left = ngram_join.unsettled(spark.createDataFrame(rows, "key long, id long, probe boolean, lead long, comp long"))
+    assert sorted(map(tuple, left.collect())) == [(2, 11, True, 10, 11), (2, 12, True, 10, 12)]
+
+
+def test_near_dedup_and_mixing_leave_no_tables(docs, monkeypatch, tmp_path):
+    """What a stage of the pipeline returns holds no tables but those it is read from."""
+    monkeypatch.setattr("emberlake.llm.workspace.shared_dir", lambda spark: str(tmp_path))
+    assert ngram_join.one_of_each(docs, 5, 80).count() and mixing.mixed(docs).count()
+    assert {p.relative_to(tmp_path).parts[0].rsplit("-", 1)[0] for p in tmp_path.rglob("*.parquet")} == {"mixed", "one-of-each"}
+
+
 def test_pairs_of_many_buckets_are_offered_once_a_slice():
     """20 sets that meet in 10 buckets of one slice: each pair comes once, and `width` pairs an id at most in all."""
     sketch = ngram_join.sketch(np.arange(1, 101, dtype=np.uint64), 85).tobytes()
