@@ -113,7 +113,7 @@ def _trigger_filters(batches, length: int, bits: int):
     found = []
     for batch in batches:
         for _, _, data, offs in chunks(batch, most=CHUNK):
-            found.append(Parse(data, offs, length).hash)
+            found.append(mix(Parse(data, offs, length).hash))  # triggers' own hashes are small: they would meet in a few ranges
     yield from build(found, bits)
 
 
@@ -187,7 +187,7 @@ def _parse(batches, length: int, known, p: int, key_bits: int):
         every = longs(batch, "doc_id")
         for at, rows, data, offs in chunks(batch, most=CHUNK):
             x = Parse(data, offs, length)
-            keep = in_bitmap(x.hash, whole)
+            keep = in_bitmap(mix(x.hash), whole)
             if not keep.any():
                 continue
             doc, (one, other) = x.doc[keep], x.digests()

@@ -358,6 +358,14 @@ def test_a_task_has_one_worker(docs):
     assert sum(p for _, p in steps) == 3
 
 
+def test_triggers_are_dealt_evenly():
+    """Triggers have small hashes, yet each range of fingerprints gets its share of them."""
+    text = "".join(map(chr, np.random.default_rng(5).integers(97, 123, 1 << 20)))
+    [made] = substring_dedup._trigger_filters.__wrapped__([pa.RecordBatch.from_arrays([pa.array([text])], ["text"])], 100, 6)
+    sizes = [len(quotient.CountingQuotientFilter.from_bytes(x.as_buffer()).remainders) for x in made.column("filter")]
+    assert len(sizes) == 64 and max(sizes) < 2 * sum(sizes) / 64
+
+
 def test_phrases_with_one_key_are_told_apart(docs):
     """Phrases whose first keys clash all the time: the other half of their digests decides."""
     got = substring_dedup.substring_dedup(docs, 100, key_bits=3)
