@@ -266,8 +266,14 @@ def _buckets(table: pa.Table) -> pa.Table:
 MEMBERS = "key long, id long, probe boolean, lead long"
 
 
-def _open_pairs(table: pa.Table, percent: int, width: int) -> pa.Table:
-    """Pairs of a bucket to verify next: of different components so far, one of them a probe, with sizes and sketches that allow a link, beyond the `mark` of the lesser id: the greatest it has been verified with. Of each id the first `width` in all buckets of the slice, each once: whether more matter shows once these are verified."""
+OFFERED = "a long, b long, key long, id long, probe boolean, lead long, comp long, n long, sketch binary"
+
+
+def _open_pairs(table: pa.Table, percent: int, width: int, rest: bool = False) -> pa.Table:
+    """Pairs of a bucket to verify next: of different components so far, one of them a probe, with sizes and sketches that allow a link, beyond the `mark` of the lesser id: the greatest it has been verified with. Of each id the first `width` in all buckets of the slice, each once: whether more matter shows once these are verified.
+
+    With `rest` also the rows that the further pairs need, each pair in one of its buckets; all other rows are done.
+    """
     key, id_, comp, n, mark = (table.column(c).to_numpy() for c in ("key", "id", "comp", "n", "mark"))
     probe, lead = table.column("probe").to_numpy(), table.column("lead").to_numpy()
     sketches = [np.frombuffer(x.as_buffer(), U) for c in table.column("sketch").chunks for x in c]
@@ -285,15 +291,21 @@ def _open_pairs(table: pa.Table, percent: int, width: int) -> pa.Table:
         step += 1
     i, j = np.concatenate(pairs, 1)
     allowed = plausible_pairs(sketches, order[i], order[j], n[i] + n[j], percent) if len(i) else np.zeros(0, bool)
-    a, b = id_[i[allowed]], id_[j[allowed]]
+    i, j = i[allowed], j[allowed]
+    a, b = id_[i], id_[j]
     o = np.lexsort((b, a))
-    a, b = a[o], b[o]
+    a, b, i, j = a[o], b[o], i[o], j[o]
     fresh = np.ones(len(a), bool)
     fresh[1:] = (a[1:] != a[:-1]) | (b[1:] != b[:-1])
-    a, b = a[fresh], b[fresh]
+    a, b, i, j = a[fresh], b[fresh], i[fresh], j[fresh]
     at = runs(a)
     sooner = np.arange(len(a)) - np.repeat(at[:-1], np.diff(at)) < width
-    return pa.table({"a": pa.array(a[sooner]), "b": pa.array(b[sooner])})
+    pairs = pa.table({"a": pa.array(a[sooner]), "b": pa.array(b[sooner])})
+    if not rest:
+        return pairs
+    later = order[np.unique(np.concatenate([i[~sooner], j[~sooner]]))]
+    kept = table.select(["key", "id", "probe", "lead", "comp", "n", "sketch"]).take(pa.array(later))
+    return pa.concat_tables([pairs, kept], promote_options="default")
 
 
 @lean
@@ -425,34 +437,37 @@ def ngram_join(docs: DataFrame, n: int = 4, percent: int = 85, work: Workspace |
     # a bucket without any such pair is done: components only grow
     place = found.withColumnRenamed("id", "node")
     placed = labelled(entries, "id", "lead").join(place, F.col("id") == F.col("node"), "left").select("key", "id", "probe", "lead", F.coalesce("comp", "id").alias("comp"))
-    kept = open_ = work.save(unsettled(placed).join(info, "id").select("key", "id", "probe", "lead", "comp", "n", "sketch", F.lit(-(2**63)).alias("mark")))
+    columns = ["key", "id", "probe", "lead", "comp", "n", "sketch", "mark"]
+    open_ = work.save(unsettled(placed).join(info, "id").withColumn("mark", F.lit(-(2**63))).select(columns))
     work.drop(entries, stars)
     # each id goes through its partners in their order: the greatest that it has met, of all buckets, says which are left
-    width, waiting = FIRST_WIDTH, links.limit(0)
+    width, waiting, ranked = FIRST_WIDTH, links.limit(0), None
+    late = waiting.select("a", "b")  # pairs that a slice has offered beyond an id's `width` in all
     while True:
-        rows_ = open_.select(F.pmod("key", F.lit(p)).alias("slice"), "key", "id", "probe", "lead", "comp", "n", "sketch", "mark")
-        next_ = rows_.groupBy("slice").applyInArrow(grouped(_open_pairs, percent=percent, width=width), "a long, b long")
+        rows_ = open_.select(F.pmod("key", F.lit(p)).alias("slice"), *columns)
+        made = work.save(rows_.groupBy("slice").applyInArrow(grouped(_open_pairs, percent=percent, width=width, rest=True), OFFERED))
         # a set may be in many buckets: in a round it takes `width` pairs of all, the least; the others' turn comes later
         turn = F.row_number().over(Window.partitionBy("a").orderBy("b"))
-        taken = work.save(next_.distinct().withColumn("turn", turn).where(F.col("turn") <= width).select("a", "b"))
+        old, ranked = ranked, work.save(made.where("a IS NOT NULL").select("a", "b").union(late).distinct().withColumn("turn", turn))
+        work.drop(open_, *([old] if old else []))
+        taken, late = ranked.where(F.col("turn") <= width).select("a", "b"), ranked.where(F.col("turn") > width).select("a", "b")
         if taken.isEmpty():
             break
         links = verified(taken)
         waiting, n_links = waiting.union(links), links.count()
+        open_ = made.where("id IS NOT NULL").drop("a", "b")
         if n_links > FEW_LINKS:
             found = components(waiting.union(found.select(F.col("id").alias("a"), F.col("comp").alias("b"))), work)
             waiting = waiting.limit(0)
             open_ = open_.drop("comp").join(found, "id", "left").withColumn("comp", F.coalesce("comp", "id"))
+            x, y = (found.select(F.col("id").alias(e), F.col("comp").alias(f"{e}_comp")) for e in "ab")
+            late = late.join(x, "a", "left").join(y, "b", "left").where(F.coalesce("a_comp", "a") != F.coalesce("b_comp", "b")).select("a", "b")
         # an id that took fewer than `width` has met all
         met = taken.groupBy("a").agg(F.when(F.count(F.lit(1)) == width, F.max("b")).alias("to")).withColumnRenamed("a", "id")
-        open_ = open_.join(met, "id", "left").withColumn("mark", F.coalesce("to", F.lit(2**63 - 1)))
-        old, kept = kept, work.save(open_.select("key", "id", "probe", "lead", "comp", "n", "sketch", "mark"))
-        work.drop(old)
-        # buckets all of whose ids have met all are done
-        keys = work.save(kept.where(F.col("mark") < 2**63 - 1).select("key").distinct())
-        if keys.isEmpty():
+        open_ = work.save(open_.join(met, "id", "left").withColumn("mark", F.coalesce("to", F.lit(2**63 - 1))).select(columns))
+        work.drop(made)
+        if open_.isEmpty() and late.isEmpty():
             break
-        open_ = only(kept, "key", keys)
         width *= WIDER
     if not waiting.isEmpty():
         found = components(waiting.union(found.select(F.col("id").alias("a"), F.col("comp").alias("b"))), work)

@@ -449,6 +449,48 @@ def test_only_buckets_with_pairs_left_go_on(spark):
     assert sorted(map(tuple, left.collect())) == [(2, 11, True, 10, 11), (2, 12, True, 10, 12)]
 
 
+def test_rows_without_pairs_left_leave_their_bucket():
+    """60 sets of which only 10 may link with each other: the others go after the first round, and so do all rows once the last pair has been offered."""
+    rng, size = np.random.default_rng(6), 60
+    alike = ngram_join.sketch(np.arange(1, 101, dtype=np.uint64), 85).tobytes()
+    sketches = [alike] * 10 + [ngram_join.sketch(rng.integers(1, 2**63, 100, dtype=np.uint64), 85).tobytes() for _ in range(size - 10)]
+    ids = np.arange(100, 100 + size)
+    table = pa.table({"slice": [0] * size, "key": [5] * size, "id": ids, "probe": [True] * size, "lead": [99] * size, "comp": ids, "n": [100] * size, "sketch": pa.array(sketches, pa.binary()), "mark": [-(2**63)] * size})
+    for width, left in ((4, set(range(100, 110))), (8, {100, 109}), (9, set())):
+        out = ngram_join._open_pairs(table, 85, width, rest=True)
+        kept = out.filter(out["id"].is_valid())
+        assert set(kept["id"].to_pylist()) == left and set(kept["sketch"].to_pylist()) <= {alike}
+        assert out.filter(out["a"].is_valid()).select(["a", "b"]).equals(ngram_join._open_pairs(table, 85, width))
+
+
+def test_rounds_carry_only_rows_with_pairs_left(spark, monkeypatch):
+    """30 texts that nearly link, and 60 that share their buckets and never do: later rounds hold next to none of the 60, and all rounds together offer the pairs that one round of any width does, each once."""
+    core = " ".join(f"c{i}" for i in range(140))
+    texts = {k: " ".join([core, *(f"x{k}_{i}" for i in range(13 if k < 30 else 26))]) for k in range(90)}
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(2).localCheckpoint()
+    save, saved = ngram_join.Workspace.save, []
+
+    def spy(self, df):
+        out = save(self, df)
+        if {"mark", "key"} <= set(out.columns):
+            saved.append(("rows", {r.id for r in out.select("id").collect()}))
+        elif {"a", "b", "turn"} == set(out.columns):
+            saved.append(("pairs", [tuple(r) for r in out.select("turn", "a", "b").collect()]))
+        return out
+
+    monkeypatch.setattr(ngram_join.Workspace, "save", spy)
+    offered, carried = [], []
+    for width in (2, 10**6):
+        saved.clear()
+        monkeypatch.setattr(ngram_join, "FIRST_WIDTH", width)
+        assert {r.doc_id: r.component_id for r in ngram_join.ngram_join(docs).collect()} == {k: k for k in range(90)}
+        carried.append([x for kind, x in saved if kind == "rows"])
+        offered.append([(a, b) for k, pairs in enumerate(x for kind, x in saved if kind == "pairs") for turn, a, b in pairs if turn <= width * ngram_join.WIDER**k])
+    others = [len(rows - set(range(30))) for rows in carried[0]]
+    assert others[0] > 40 and len(others) > 2 and max(others[1:]) <= 5, others
+    assert len(offered[0]) == len(set(offered[0])) > 100 and set(offered[0]) == set(offered[1])
+
+
 def test_near_dedup_and_mixing_leave_no_tables(docs, monkeypatch, tmp_path):
     """What a stage of the pipeline returns holds no tables but those it is read from."""
     monkeypatch.setattr("emberlake.llm.workspace.shared_dir", lambda spark: str(tmp_path))
