@@ -342,6 +342,26 @@ def test_counts_are_those_of_every_simulation(spark):
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect())) != []
 
 
+def test_counts_are_made_where_the_rows_are(spark):
+    """Fires are burned in the JVM, each once, as the Python kernel burns them: several bands of rows, winds and durations, ignitions of any fuel, outside, or without a wind."""
+    rng = np.random.default_rng(6)
+    shape = (90, 17)
+    land = spread.Landscape.of(rng.choice([1, 8, 104, 121, 185, 98], shape), rng.uniform(0, 60, shape), rng.uniform(0, 360, shape), 90.0)
+    winds = [(0.0, 270.0), (6.25, 200.0), (15.5, 33.0)]
+    rows = [(int(rng.integers(-2, 92)), int(rng.integers(-1, 18)), *winds[k % 3], (60, 240, 0)[k // 3 % 3], k % 4 + 1) for k in range(400)]
+    scenarios = spark.createDataFrame([*rows, (5, 5, None, 270.0, 60, 1), (None, 5, 0.0, 270.0, 60, 1)], "ignition_row int, ignition_col int, wind_speed double, wind_direction double, duration_min int, times long")
+    want = np.zeros(shape, np.int64)
+    for some, (n, r, c, _) in spread._together(land, scenarios.dropna().toPandas()):
+        np.add.at(want, (r, c), some["times"].to_numpy()[n])
+    counts = spread.simulate_counts(scenarios, land)
+    got = np.zeros(shape, np.int64)
+    for r in counts.collect():
+        got[r.row, r.col] = r.burn_count
+    assert (got == want).all() and want.any()
+    plan = counts._jdf.queryExecution().optimizedPlan().toString()
+    assert "MapInPandas" not in plan and plan.count("burn_fires(") == 1
+
+
 def test_trees_read_rows_that_are_made_once(spark, monkeypatch):
     df = spark.range(40).select((F.col("id") % 2).cast("int").alias("label"), F.col("id").cast("double").alias("a"))
     seen, fit = [], ml.Pipeline.fit
