@@ -371,6 +371,27 @@ def test_trees_read_rows_that_are_made_once(spark, monkeypatch):
     assert model.predict_proba(df).count() == 40
 
 
+def test_trees_read_rows_on_all_cores(spark, monkeypatch):
+    """Rows that lie in one part are dealt to all cores, in more parts if there are many, and all are learned from."""
+    from emberlake.plans import queries
+
+    seen, fit = [], ml.Pipeline.fit
+    monkeypatch.setattr(ml.Pipeline, "fit", lambda self, rows: seen.append((self.getStages()[-1], [r.n for r in rows.groupBy(F.spark_partition_id()).agg(F.count(F.lit(1)).alias("n")).collect()])) or fit(self, rows))
+    df = spark.range(4000).coalesce(1).select((F.col("id") % 2).cast("int").alias("label"), F.col("id").cast("double").alias("a"))
+    cores = spark.sparkContext.defaultParallelism
+    for each, parts in ((50_000, cores), (4000 // (3 * cores), 4 * cores)):
+        monkeypatch.setattr(ml, "EACH", each)
+        ml.IgnitionModel("random_forest", numTrees=2, maxDepth=2).fit(df, ["a"])
+        model, sizes = seen[-1]
+        assert len(sizes) == parts and sum(sizes) == 4000 and max(sizes) < 2 * min(sizes) and model.getCacheNodeIds()
+    kept, split = [], ml.split
+    monkeypatch.setattr(ml, "split", lambda t, key: kept.append(t.storageLevel.useMemory) or split(t, key))
+    kind = ml.IgnitionModel
+    monkeypatch.setattr(ml, "IgnitionModel", lambda name: kind(name, numTrees=1, maxDepth=2))
+    queries.QUERIES["ignition_model"](spark, f"{DATA}/sf0.001")
+    assert kept == [True]
+
+
 def test_fires_of_one_cell_meet_each_scenario_once(spark, monkeypatch):
     rng = np.random.default_rng(4)
     land = spread.Landscape.of(rng.choice([101, 104, 121, 98], (6, 5)), rng.uniform(0, 30, (6, 5)), rng.uniform(0, 360, (6, 5)), 270.0)
